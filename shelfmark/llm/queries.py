@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, language_id, license_scan, secret_scan
+from . import bpe_codec, decontaminate, embedding_dedup, language_id, license_scan, phrase_dedup, secret_scan, simhash_dedup, suffix_dedup
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,11 +20,32 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.digest(simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.digest(phrase_dedup.remove_phrases(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.find_items(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text")))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec.digest(bpe_codec.encode_documents(docs, public_tokenizers.path(VOCABULARY)))
@@ -35,6 +56,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_language_id, op9_bpe_codec, op10_license_scan)
+    f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op3_language_id, op4_suffix_dedup, op5_embedding_dedup, op7_phrase_dedup, op8_decontaminate, op9_bpe_codec, op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
