@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, embedding_dedup, language_id, license_scan, phrase_dedup, secret_scan, simhash_dedup, suffix_dedup
+from . import bpe_codec, decontaminate, embedding_dedup, language_id, license_scan, phrase_dedup, secret_scan, simhash_dedup, suffix_dedup, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -37,6 +37,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")))
+
+
 def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.digest(phrase_dedup.remove_phrases(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -56,6 +61,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op3_language_id, op4_suffix_dedup, op5_embedding_dedup, op7_phrase_dedup, op8_decontaminate, op9_bpe_codec, op10_license_scan)
+    f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op3_language_id, op4_suffix_dedup, op5_embedding_dedup, op6_toxicity, op7_phrase_dedup, op8_decontaminate, op9_bpe_codec, op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
