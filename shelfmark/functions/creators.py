@@ -158,7 +158,8 @@ def page_creators(entries: Column, anchors: Column) -> Column:
 
     entries: array of (label, value) with each label once; anchors: linked names of the author label, one string for each label.
     """
-    return F.pandas_udf(_page_udf, LISTS)(entries, anchors)
+    # not deterministic by declaration only: the optimizer then neither repeats the pass nor moves it into later expressions
+    return F.pandas_udf(_page_udf, LISTS).asNondeterministic()(entries, anchors)
 
 
 def _list_udf(raws: pd.Series, roles: pd.Series) -> pd.DataFrame:

@@ -37,7 +37,8 @@ def surface_coverage(samples: DataFrame, cohorts: tuple[str, str]) -> DataFrame:
 
 
 def creator_coverage(samples: DataFrame, cohorts: tuple[str, str]) -> DataFrame:
-    rows = samples.select("cohort", F.explode(role_counts(F.col("book.creators"))).alias("r"))
+    # outer, then filtered: an inner explode would pull the page helper into a filter
+    rows = samples.select("cohort", F.explode_outer(role_counts(F.col("book.creators"))).alias("r")).where("r is not null")
     return rows.groupBy(F.col("r.role").alias("role")).agg(F.count("*").alias("records"), F.sum("r.n").alias("creators"), *(F.count_if(F.col("cohort") == c).alias(f"{c}_records") for c in cohorts))
 
 

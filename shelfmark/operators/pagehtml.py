@@ -203,7 +203,8 @@ _COLUMNS = ("info_html", "h1_span", "page_title", "series", "abstract", "cover",
 
 def page_fields(html: Column) -> Column:
     """Struct of a detail page's raw fields."""
-    return F.pandas_udf(_parse, FIELDS)(html)
+    # declared so that the optimizer keeps it one pass instead of copying it into every use
+    return F.pandas_udf(_parse, FIELDS).asNondeterministic()(html)
 
 
 def _links(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

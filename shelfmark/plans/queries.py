@@ -74,8 +74,8 @@ def n11_urls(spark, sf):
 
 @query(
     """WITH u AS (SELECT user_id, event_id, 'https://book.example.org/subject/' || event_id || '/?a=' || user_id || '&b=1' AS url FROM events)
-SELECT event_id, 'subject-' || event_id || '-' || lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(url, ''), x -> ascii(x)::BIGINT)),
-  (h, x) -> (xor(h, x) * 16777619) & 4294967295))), 8, '0') AS cache_key FROM u"""
+SELECT event_id, 'subject-' || event_id || '-' || lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(url, ''), lambda x: ascii(x)::BIGINT)),
+  lambda h, x: (xor(h, x) * 16777619) & 4294967295))), 8, '0') AS cache_key FROM u"""
 )
 def n13_cache_keys(spark, sf):
     url = F.concat(F.lit("/subject/"), F.col("event_id").cast("string"), F.lit("/?b=1&a="), F.col("user_id").cast("string"), F.lit("#x"))
@@ -208,7 +208,7 @@ def e7_parse_failures(spark, sf):
 SELECT k, '@book{{book-' || book_id || ',' || chr(10) || array_to_string(list_filter([
   '  title = {{' || title || '}}', CASE WHEN author <> '' THEN '  author = {{' || author || '}}' END, CASE WHEN translator <> '' THEN '  translator = {{' || translator || '}}' END,
   CASE WHEN publisher <> '' THEN '  publisher = {{' || publisher || '}}' END, CASE WHEN publish_date <> '' THEN '  date = {{' || publish_date || '}}' END, '  isbn = {{' || isbn || '}}', '  pagetotal = {{' || pages || '}}',
-  '  series = {{' || series || '}}', '  url = {{' || url || '}}', '  abstract = {{' || abstract_note || '}}'], v -> v IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS entry FROM x"""
+  '  series = {{' || series || '}}', '  url = {{' || url || '}}', '  abstract = {{' || abstract_note || '}}'], lambda v: v IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS entry FROM x"""
 )
 def y3_biblatex(spark, sf):
     return pages.split_failures(parsed_pages(spark, sf))[0].select("k", exports.biblatex(F.col("book")).alias("entry"))
@@ -219,7 +219,7 @@ def y3_biblatex(spark, sf):
 SELECT k, '@book{{book-' || book_id || ',' || chr(10) || array_to_string(list_filter([
   '  title = {{' || title || '}}', CASE WHEN author <> '' THEN '  author = {{' || author || '}}' END, CASE WHEN publisher <> '' THEN '  publisher = {{' || publisher || '}}' END,
   CASE WHEN publish_date <> '' THEN '  year = {{' || substr(publish_date, 1, 4) || '}}' END, '  isbn = {{' || isbn || '}}', '  pages = {{' || pages || '}}', '  series = {{' || series || '}}', '  url = {{' || url || '}}',
-  '  abstract = {{' || abstract_note || '}}', CASE WHEN translator <> '' THEN '  note = {{Translator: ' || translator || '}}' END], v -> v IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS entry FROM x"""
+  '  abstract = {{' || abstract_note || '}}', CASE WHEN translator <> '' THEN '  note = {{Translator: ' || translator || '}}' END], lambda v: v IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS entry FROM x"""
 )
 def y2_bibtex(spark, sf):
     return pages.split_failures(parsed_pages(spark, sf))[0].select("k", exports.bibtex(F.col("book")).alias("entry"))
@@ -274,7 +274,7 @@ def samples(spark, sf) -> DataFrame:
 
 
 _LABELS = f"""SELECT k, cohort, unnest(list_filter([CASE WHEN author <> '' THEN '作者' END, CASE WHEN publisher <> '' THEN '出版社' END, CASE WHEN subtitle <> '' THEN '副标题' END, CASE WHEN translator <> '' THEN '译者' END,
-  CASE WHEN date_raw <> '' THEN '出版年' END, '页数', CASE WHEN series <> '' THEN '丛书' END, CASE WHEN isbn <> '' THEN 'ISBN' END, CASE WHEN language <> '' THEN '语言' END], v -> v IS NOT NULL)) AS label
+  CASE WHEN date_raw <> '' THEN '出版年' END, '页数', CASE WHEN series <> '' THEN '丛书' END, CASE WHEN isbn <> '' THEN 'ISBN' END, CASE WHEN language <> '' THEN '语言' END], lambda v: v IS NOT NULL)) AS label
 FROM ({synth.PAGE_FIELDS}) f WHERE NOT broken"""
 
 
@@ -331,7 +331,7 @@ _ENTRIES = f"SELECT *, cast(floor(pos / 15) AS int) AS page FROM ({synth.ENTRIES
 
 
 @query(
-    f"""SELECT uid, page, count(DISTINCT subject) AS visible, max(n) AS total, (page + 1) * 15 < max(n) AS has_next, page * 15 + 1 AS first, page * 15 + count(*) AS last,
+    f"""SELECT uid, page, count(DISTINCT subject) AS visible, max(n) AS total, (page + 1) * 15 < max(n) AS has_next, cast(page * 15 + 1 AS bigint) AS first, page * 15 + count(*) AS last,
   page * 15 + 15 < max(n) AS more FROM ({_ENTRIES}) e GROUP BY uid, page"""
 )
 def e15_page_diagnostics(spark, sf):
