@@ -1,18 +1,17 @@
 """BPE encoding and decoding with an index of pair occurrences.
 
-Texts are normalized (NFC, white space, lower case) and split into words; the words of a batch that are not known yet are laid
-out as one run of symbols. The index maps each mergeable pair to all its positions in that run. Pairs are taken in ascending
-rank; a pair's merge is applied at all its positions, and only the lists of the neighbouring pairs are extended. In a
-vocabulary where no merge makes a pair of lower rank than its own (checked when it is loaded) this yields, for every word,
-what merging word by word yields.
+Texts are normalized (NFC, white space, lower case) and split into words; the different words of a portion of a partition are
+laid out as one run of symbols. The index gives for every position of that run the pair that starts there, by its rank. Passes
+apply each word's active ranks in ascending order, at all positions of a rank at once, and renew only the entries next to a
+merge. In a vocabulary where no merge makes a pair of lower rank than its own (checked when it is loaded) this yields, for
+every word, what merging pair by pair yields.
 
 Work is per row: nothing is shuffled, and no text is cut. Null text counts as empty. The vocabulary is read from a path that
-every executor has (a parameter); it is never copied into data. Encoded words are remembered within a worker up to a bound.
+every executor has (a parameter); it is never copied into data.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
@@ -25,9 +24,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import PORTION, portions
+
 # White space as Unicode's White_Space property has it.
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-KEEP_WORDS = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,138 +44,142 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         model = data["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.end = model.get("end_of_word_suffix") or ""
+        ids: dict[str, int] = model["vocab"]
+        end = model.get("end_of_word_suffix") or ""
+        letters = _byte_letters()
+        self.inner = np.array([ids[letters[b]] for b in range(256)], dtype=np.int64)
+        self.last = np.array([ids[letters[b] + end] for b in range(256)], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.letter = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.merges: dict[int, tuple[int, int]] = {}
-        made: dict[int, int] = {}
+        named = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        self.size = max(named) + 1
+        self.names = [named.get(i, "") for i in range(self.size)]
+        pairs, made = [], {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            a, b, c = self.ids[left], self.ids[right], self.ids[left + right]
-            self.merges[a << 32 | b] = (rank, c)
+            a, b, c = ids[left], ids[right], ids[left + right]
             if max(made.get(a, -1), made.get(b, -1)) > rank or c in made:
                 raise ValueError("a merge makes a pair of lower rank; words would have to be merged one by one")
             made[c] = rank
-        pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern)
+            pairs.append((a * self.size + b, rank, c))
+        pairs.sort()
+        self.pairs, self.ranks, _ = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
+        self.merged = np.array([c for _, _, c in sorted(pairs, key=lambda x: x[1])], dtype=np.int64)
+        self.none = len(self.merged)
+        self.words = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         names = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("|".join(map(re.escape, names))) if names else None
-        self.known: dict[str, list[int]] = {}
-
-    def symbols(self, word: str) -> list[int]:
-        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letter)
-        named = [*letters[:-1], letters[-1] + self.end]
-        return [self.ids[x] for x in named if x in self.ids]
-
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word, through one index of pair positions over all of them."""
-        merges = self.merges
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        first: list[int] = []
-        for word in words:
-            own, at = self.symbols(word), len(symbol)
-            first.append(at if own else -1)
-            symbol += own
-            after += range(at + 1, at + len(own) + 1)
-            before += range(at - 1, at + len(own) - 1)
-            if own:
-                before[at] = after[-1] = -1
-        index: dict[int, list[int]] = {}
-        for at, nxt in enumerate(after):
-            if nxt >= 0:
-                pair = symbol[at] << 32 | symbol[nxt]
-                if pair in merges:
-                    if pair in index:
-                        index[pair].append(at)
-                    else:
-                        index[pair] = [at]
-        active = [(merges[pair][0], pair) for pair in index]
-        heapq.heapify(active)
-        while active:
-            _, pair = heapq.heappop(active)
-            new, left, right = merges[pair][1], pair >> 32, pair & 0xFFFFFFFF
-            places = index.pop(pair)
-            places.sort()
-            for at in places:
-                nxt = after[at]
-                if nxt < 0 or symbol[at] != left or symbol[nxt] != right:
-                    continue
-                far, near = after[nxt], before[at]
-                symbol[at], symbol[nxt], after[at] = new, -1, far
-                if far >= 0:
-                    before[far] = at
-                    made = new << 32 | symbol[far]
-                    if made in merges:
-                        if made in index:
-                            index[made].append(at)
-                        else:
-                            index[made] = [at]
-                            heapq.heappush(active, (merges[made][0], made))
-                if near >= 0:
-                    made = symbol[near] << 32 | new
-                    if made in merges:
-                        if made in index:
-                            index[made].append(near)
-                        else:
-                            index[made] = [near]
-                            heapq.heappush(active, (merges[made][0], made))
-        out = []
-        for at in first:
-            ids = []
-            while at >= 0:
-                ids.append(symbol[at])
-                at = after[at]
-            out.append(ids)
-        return out
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; ``none`` where it does not merge."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], self.none)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words one after the other, and how many each has, through one index of pair positions.
+
+        The index holds at each position the rank of the pair that starts there. A pass takes in every word its lowest active
+        rank, merges all positions of that rank and renews the entries of the pairs next to them; words without an active rank
+        leave. Within a word ranks are thus applied in ascending order.
+        """
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        symbol = self.inner[data]
+        ends = np.cumsum(size) - 1
+        symbol[ends] = self.last[data[ends]]
+        word = np.repeat(np.arange(len(words)), size)
+        rank = np.full(len(symbol), self.none, dtype=np.int64)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self.rank_of(symbol[inside], symbol[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            low = np.minimum.reduceat(rank, first)
+            least = np.repeat(low, np.diff(np.append(first, len(word))))
+            active = least < self.none
+            if not active.all():
+                done.append((word[~active], symbol[~active]))
+                word, symbol, rank, least = word[active], symbol[active], rank[active], least[active]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(rank == least)
+            head = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # in aaa only the first of two overlapping pairs merges
+            at = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0]
+            symbol[at] = self.merged[rank[at]]
+            stays = np.ones(len(symbol), dtype=bool)
+            stays[at + 1] = False
+            at = at - np.arange(len(at))  # as many symbols before each one have gone as merges
+            word, symbol, rank = word[stays], symbol[stays], rank[stays]
+            near = np.concatenate([at, at[at > 0] - 1])
+            paired = near + 1 < len(word)
+            rank[near[~paired]] = self.none
+            near = near[paired]
+            rank[near] = np.where(word[near] == word[near + 1], self.rank_of(symbol[near], symbol[near + 1]), self.none)
+        if not done:
+            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
+        word, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
+        return symbol[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
     def pieces(self, chunk: str) -> list[str]:
         """The words of a run without white space."""
-        chunk = unicodedata.normalize("NFC", chunk)
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk)
         low = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1:] in (".", ",") and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
         return self.words.findall(low)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        chunked: list[list[str]] = []
-        fresh: dict[str, None] = {}
-        known = self.known
-        if len(known) > KEEP_WORDS:
-            known.clear()
+        number: dict[str, int] = {}
+        numbered = []
         for text in texts:
             parts: list[str] = []
             at = 0
             for m in self.marks.finditer(text) if self.marks else ():
                 parts += [*_SPACE.split(text[at : m.start()]), m[0]]
                 at = m.end()
-            parts += _SPACE.split(text[at:]) if at else _SPACE.split(text)
-            chunked.append(parts)
-            fresh.update(dict.fromkeys(p for p in set(parts) if p not in known))
-        plans, words = {}, {}
-        for chunk in fresh:
+            parts += _SPACE.split(text[at:] if at else text)
+            numbered.append(np.array([number.setdefault(p, len(number)) for p in parts], dtype=np.int64))
+        words: dict[str, int] = {}
+        plan: list[int] = []  # the words of each chunk by number, or a special id below zero
+        many = []
+        for chunk in number:
             if chunk in self.special:
-                known[chunk] = [self.special[chunk]]
+                plan.append(-1 - self.special[chunk])
+                many.append(1)
             else:
-                plans[chunk] = own = self.pieces(chunk)
-                words.update(dict.fromkeys(own))
-        done = dict(zip(words, self.merge_all(list(words)), strict=True))
-        for chunk, own in plans.items():
-            known[chunk] = done[own[0]] if len(own) == 1 else [i for w in own for i in done[w]]
-        out = []
-        for parts in chunked:
-            ids: list[int] = []
-            for p in parts:
-                ids += known[p]
-            out.append(np.array(ids, dtype=np.int32))
-        return out
-
-    def decode(self, ids) -> str:
+                own = self.pieces(chunk)
+                plan += [words.setdefault(w, len(words)) for w in own]
+                many.append(len(own))
+        ids, size = self.merge_all([w.encode("utf-8", "surrogatepass") for w in words])
+        ids = np.concatenate([ids, np.arange(self.size)])  # special ids stand for themselves, at the end
+        begin = np.concatenate([np.cumsum(size) - size, np.arange(self.size) + size.sum()])
+        size = np.concatenate([size, np.ones(self.size, dtype=np.int64)])
+        step = np.array(plan, dtype=np.int64)
+        step = np.where(step < 0, len(words) - 1 - step, step)
+        ids, size = _gather(ids, begin, size, step)  # of the chunks' words
+        total = np.concatenate([[0], np.cumsum(size)])
+        edge = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+        begin, size = total[edge[:-1]], total[edge[1:]] - total[edge[:-1]]
+        ids = ids.astype(np.int32)
+        return [_gather(ids, begin, size, own)[0] for own in numbered]
+
+    def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces, as a tokenizer without a decoder does; unknown ids vanish."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except IndexError:
+            return " ".join(self.names[i] for i in ids if i < self.size)
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that ``which`` names, one after the other, and their sizes."""
+    many = size[which]
+    at = np.repeat(begin[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return values[at], many
 
 
 @lru_cache(maxsize=2)
@@ -189,7 +193,7 @@ def encode(text: Column, path: str) -> Column:
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = load(path)
-        for texts in batches:
+        for texts in portions(batches):
             yield pd.Series(vocabulary.encode_batch(["" if t is None else t for t in texts]), dtype=object)
 
     return ids(text)
@@ -201,7 +205,7 @@ def decode(ids: Column, path: str) -> Column:
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = load(path)
-        for found in batches:
+        for found in portions(batches, PORTION // 8):
             yield pd.Series(["" if x is None else vocabulary.decode(x.tolist()) for x in found], dtype=object)
 
     return text(ids)

@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PORTION = 4 << 20
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # Bytes that end a word of letters and digits (ASCII that is neither), and A-Z to a-z.
@@ -58,6 +60,21 @@ def space_words(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "surrogatepass").split()
 
 
+def portions(batches: Iterator[pd.Series], size: int = PORTION) -> Iterator[list]:
+    """The values of Arrow batches, in order, in lists of about ``size`` characters or items; a longer value stands alone."""
+    for batch in batches:
+        part, held = [], 0
+        for value in batch:
+            more = 0 if value is None else len(value)
+            if part and held + more > size:
+                yield part
+                part, held = [], 0
+            part.append(value)
+            held += more
+        if part:
+            yield part
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For the nodes 0..n-1 and links a-b, the smallest node of each one's component."""
     root = np.arange(n, dtype=np.int64)
