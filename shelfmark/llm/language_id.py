@@ -20,8 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 13
-PER_LANGUAGE = 600
+BUCKET_BITS = 12
+BUCKETS = 1 << BUCKET_BITS
+PER_LANGUAGE = 300
 CHUNK_BYTES = 4 << 20
 UNKNOWN = "und"
 
@@ -52,7 +53,7 @@ def _grams(joined: np.ndarray) -> np.ndarray:
     code <<= np.uint32(8)
     code |= joined[2:]
     code *= np.uint32(2654435761)
-    code >>= np.uint32(32 - 13)
+    code >>= np.uint32(32 - BUCKET_BITS)
     return code
 
 
@@ -101,16 +102,16 @@ class Model:
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss: y is 1 or -1, both sides weigh the same; gradient steps with momentum."""
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
     seen_w, seen_b, t = w.copy(), b, 1.0
-    norm = np.einsum("ij,ij->i", x, x).max() + 1.0
+    norm = float(np.einsum("ij,ij->i", x, x).max()) + 1.0
     step = 1.0 / (2.0 * norm + ridge)
     for _ in range(rounds * 5):
         gap = np.maximum(0.0, 1.0 - y * (x @ seen_w + seen_b))
-        pull = -2.0 * share * y * gap
-        new_w, new_b = seen_w - step * (x.T @ pull + ridge * seen_w), seen_b - step * pull.sum()
+        pull = (-2.0 * share * y * gap).astype(np.float32)
+        new_w, new_b = seen_w - step * (x.T @ pull + ridge * seen_w).astype(np.float32), seen_b - step * float(pull.sum())
         nxt = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        seen_w, seen_b = new_w + (t - 1) / nxt * (new_w - w), new_b + (t - 1) / nxt * (new_b - b)
+        seen_w, seen_b = new_w + np.float32((t - 1) / nxt) * (new_w - w), new_b + (t - 1) / nxt * (new_b - b)
         w, b, t = new_w, new_b, nxt
     return w, float(b)
 
@@ -140,8 +141,7 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE,
     got = known.where(take).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, x binary").toPandas()
     if not len(got):
         return None
-    x = np.sqrt(np.frombuffer(b"".join(got["x"]), dtype=np.float32).reshape(len(got), BUCKETS).astype(np.float64))
-    return fit(x**2, got["lang"].to_numpy())
+    return fit(np.frombuffer(b"".join(got["x"]), dtype=np.float32).reshape(len(got), BUCKETS), got["lang"].to_numpy())
 
 
 def fit(x: np.ndarray, langs: np.ndarray) -> Model:
@@ -149,13 +149,13 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model:
     names = sorted(set(langs))
     families = tuple(sorted({family_of(n) for n in names}))
     languages = {f: tuple(n for n in names if family_of(n) == f) for f in families}
-    spread = 1.0 / (np.sqrt(x.mean(axis=0)) + 1e-3)  # frequent n-grams would outweigh the telling ones
+    spread = (1.0 / (np.sqrt(x.mean(axis=0)) + 1e-3)).astype(np.float32)  # frequent n-grams would outweigh the telling ones
     z = x * spread
     of = np.array([family_of(n) for n in langs])
     rows: list[np.ndarray] = []
 
     def machine(yes: str, no: str, at: np.ndarray, positive: np.ndarray) -> Machine:
-        w, b = _svm(z[at], np.where(positive, 1.0, -1.0))
+        w, b = _svm(z if len(at) == len(z) else z[at], np.where(positive, 1.0, -1.0))
         rows.append((w * spread).astype(np.float32))
         return Machine(yes, no, len(rows) - 1, b)
 
