@@ -1,10 +1,12 @@
 """Embedding near-duplicates as an exact metric range join.
 
 Unit vectors are compared by the angle between them, which is a metric. Identical vectors of a label are one class from the
-start. ``PIVOTS`` vectors, spread by a hash over all classes, are the pivots; a class belongs to the cell of its nearest pivot.
-Take a link between x of cell p and y of cell q, at an angle of at most r. By the triangle inequality
+start. The pivots are vectors spread by a hash over all classes, about the square root of the largest label's size over
+``PER_PIVOT`` and at most ``MOST_PIVOTS``; a class belongs to the cell of its nearest pivot. Take a link between x of cell p and
+y of cell q, at an angle of at most r. By the triangle inequality
     d(y, p) <= d(y, x) + d(x, p) <= r + d(x, q) <= 2 r + d(y, q),
-so y is copied into every other cell p of its label where d(y, p) - d(y, q) <= 2 r, and into no more. Each cell then joins
+so y is copied into another cell p of its label only where d(y, p) - d(y, q) <= 2 r, and of those cells only where y's distance
+from the plane between p and q is within the chord of r, which the same argument shows for the straight distance. Each cell then joins
 its own members with its members and copies, alone: a link of x is found in the cell of x and nowhere else, so counts of links
 add up. A cell with many rows is cut into blocks of members and blocks of all its rows; each pair of blocks is one group of
 bounded size, so a label or a cell with a third of all rows spreads over many tasks. Groups return counts and spanning forests,
@@ -28,38 +30,48 @@ from pyspark.sql import functions as F
 from .common import components, cut, local_roots
 
 LEAST_COSINE = 0.98
-PIVOTS = 64
+PER_PIVOT = 12
+MOST_PIVOTS = 1024
 BLOCK = 4096
 _SLACK = 1e-6  # the angle of a rounded cosine near one is uncertain by about 1e-8
 
 
-def _units(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _units(packed) -> np.ndarray:
+    """Rows of doubles, packed as bytes, at length one."""
+    x = np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+def _copies(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell, whether it is the row's own cell, and the angle to the cell's pivot, of each row in each of its cells."""
+    dot = np.clip(x @ pivots.T, -1.0, 1.0)
+    angle = np.arccos(dot)
+    near = dot.argmax(axis=1)
+    every = np.arange(len(x))
+    gap = np.sqrt(np.maximum(2.0 - 2.0 * np.clip(pivots @ pivots.T, -1.0, 1.0), 0.0))[near]  # between the own pivot and each other
+    chord = 2.0 * np.sin(reach / 2.0)
+    inside = (angle <= angle[every, near][:, None] + 2 * reach + _SLACK) & (dot[every, near][:, None] - dot <= chord * gap + _SLACK)
+    inside[every, near] = True
+    row, cell = np.nonzero(inside)
+    return row, cell, near[row] == cell, angle[row, cell]
 
 
 def _dealt(classes: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> DataFrame:
     """Rows of each class in its own cell (own) and in the cells it is copied to: label, dim, cell, own, to_pivot."""
     held = classes.sparkSession.sparkContext.broadcast(pivots)
+    columns = ["label", "dim", "cell", "own", "to_pivot", "rep", "n", "vector"]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            outs = [pd.DataFrame(columns=["label", "dim", "cell", "own", "to_pivot", "rep", "n", "vector"])]
-            for dim, part in pdf.groupby("dim"):
-                x = _units(part["vector"])
-                d = _angles(x, held.value[int(dim)])
-                near = d.argmin(axis=1)
-                row, cell = np.nonzero(d <= d[np.arange(len(d)), near][:, None] + 2 * reach + _SLACK)
-                got = part.iloc[row][["label", "dim", "rep", "n", "vector"]].copy()
-                got["cell"], got["own"], got["to_pivot"] = cell, near[row] == cell, d[row, cell]
-                outs.append(got)
-            yield pd.concat(outs[1:] or outs)[outs[0].columns]
+            for dim, whole in pdf.groupby("dim"):
+                for at in range(0, len(whole), 1024):
+                    part = whole.iloc[at : at + 1024]
+                    row, cell, own, angle = _copies(_units(part["vector"]), held.value[int(dim)], reach)
+                    got = part.iloc[row][["label", "dim", "rep", "n", "vector"]].copy()
+                    got["cell"], got["own"], got["to_pivot"] = cell, own, angle
+                    yield got[columns]
 
-    return classes.select("label", "dim", "rep", "n", "vector").mapInPandas(deal, "label long, dim int, cell int, own boolean, to_pivot double, rep long, n long, vector array<double>")
+    return classes.select("label", "dim", "rep", "n", "vector").mapInPandas(deal, "label long, dim int, cell int, own boolean, to_pivot double, rep long, n long, vector binary")
 
 
 def _joined(pdf: pd.DataFrame, least: float, reach: float) -> pd.DataFrame:
@@ -88,20 +100,33 @@ def _joined(pdf: pd.DataFrame, least: float, reach: float) -> pd.DataFrame:
     return pd.DataFrame({"rep": rep[here], "links": links[here], "low": rep[root[here]]})
 
 
-def near_duplicates(vectors: DataFrame, key_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, n_pivots: int = PIVOTS) -> DataFrame:
+def _pack(x):
+    """An array of doubles as bytes; negative zero counts as zero, so that equal vectors are equal bytes."""
+
+    @F.pandas_udf("binary")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([None if v is None else (np.asarray(v, dtype=np.float64) + 0.0).tobytes() for v in rows], dtype=object)
+
+    return pack(x)
+
+
+def near_duplicates(vectors: DataFrame, key_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE) -> DataFrame:
     """One row for each key: ``key_col``, n_links, component_id, kept."""
     spark = vectors.sparkSession
     reach = math.acos(least)
     x = F.col(vector_col)
     sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = cut(vectors.select(F.col(key_col).cast("long").alias("key"), F.col(label_col).cast("long").alias("label"), F.when(sound, x.cast("array<double>")).alias("vector")), "vectors")
+    rows = cut(vectors.select(F.col(key_col).cast("long").alias("key"), F.col(label_col).cast("long").alias("label"), F.when(sound, _pack(F.when(sound, x.cast("array<double>")))).alias("vector")), "vectors")
     usable = rows.where("key is not null and label is not null and vector is not null")
     if usable.count() > usable.select("key").distinct().count():  # repeated keys: the same class each time
         usable = usable.groupBy("key").agg(F.min(F.struct("label", "vector")).alias("v")).select("key", "v.label", "v.vector")
-    classes = cut(usable.groupBy("label", "vector").agg(F.min("key").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vector")), "classes")
+    classes = cut(usable.groupBy("label", "vector").agg(F.min("key").alias("rep"), F.count("*").alias("n")).withColumn("dim", (F.octet_length("vector") / 8).cast("int")), "classes")
     own_class = usable.select("key", "label", "vector").join(classes.select("label", "vector", "rep", "n"), ["label", "vector"]).select("key", "rep", "n")
 
     total = classes.count()
+    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    n_pivots = max(4, min(MOST_PIVOTS, math.ceil(math.sqrt(largest) / PER_PIVOT)))
     part = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1_000_000)).cast("double")
     chosen = classes.where(part < 1_000_000 * min(1.0, 4 * n_pivots / max(total, 1))).select("dim", "vector", "rep").orderBy(part, "rep").limit(n_pivots).collect()
     pivots = {d: _units([r["vector"] for r in chosen if r["dim"] == d]) for d in {r["dim"] for r in chosen}}
