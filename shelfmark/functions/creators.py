@@ -158,7 +158,6 @@ def page_creators(entries: Column, anchors: Column) -> Column:
 
     entries: array of (label, value) with each label once; anchors: linked names of the author label, one string for each label.
     """
-    # not deterministic by declaration only: the optimizer then neither repeats the pass nor moves it into later expressions
     return F.pandas_udf(_page_udf, LISTS).asNondeterministic()(entries, anchors)
 
 
@@ -191,5 +190,5 @@ def display_names(creators: Column, role: str) -> Column:
 
 def role_counts(creators: Column) -> Column:
     """Array of (role, n) in order of first appearance."""
-    roles = F.transform(creators, lambda c: c["creator_type"])
-    return F.transform(F.array_distinct(roles), lambda r: F.struct(r.alias("role"), F.size(F.filter(roles, lambda x: x == r)).alias("n")))
+    count = lambda roles: F.transform(F.array_distinct(roles), lambda r: F.struct(r.alias("role"), F.size(F.filter(roles, lambda x: x == r)).alias("n")))
+    return let(F.transform(creators, lambda c: c["creator_type"]), count)

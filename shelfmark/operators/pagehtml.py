@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import names as people
+from ..schemas import CREATORS
+
 FIELDS = (
     "struct<info_html:string,h1_span:string,page_title:string,series:string,abstract:string,cover:string,author_anchors:array<string>,"
     "entries:array<struct<label:string,value:string>>,surfaces:struct<h1_title:boolean,abstract_block:boolean,json_ld:boolean,open_graph_title:boolean,open_graph_description:boolean>,"
-    "heading:string,info_text:string,intro:string>"
+    f"heading:string,info_text:string,intro:string,people:struct<creators:{CREATORS},notes:array<string>>>"
 )
 LINKS = "array<struct<href:string,title_attr:string,text:string>>"
 
@@ -153,6 +156,25 @@ def _entries(info: Node) -> list[dict]:
     return out
 
 
+_LABEL = re.compile(r'<span\s+class="pl">\s*(.*?)\s*</span>', re.I)
+
+
+def labelled(markup: str) -> list[tuple[str, str]]:
+    """Label and value of each line of the block's markup, by its exact label marks; the last value of a label at its first place."""
+    found: dict[str, str] = {}
+    for line in re.split(r"<br\s*/?>", markup, flags=re.I):
+        m = _LABEL.search(line)
+        if m:
+            label = re.sub("[:：]", "", "".join(_squash(re.sub("<[^>]*>", "", m[1])).split(" ")))
+            value = re.sub("<[^>]*>", "", line[m.end() :])
+            for mark, plain in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+                value = value.replace(mark, plain)
+            value = _squash(value).lstrip(_SPACES + ":：")
+            if label and value:
+                found[label] = value
+    return list(found.items())
+
+
 def parse_page(html: str | None) -> dict:
     """Raw fields of one page; null without html."""
     nodes = list(tree(html or "").walk())
@@ -170,9 +192,11 @@ def parse_page(html: str | None) -> dict:
         if text(label).replace(":", "").replace("：", "") in ("作者", "著者"):
             names = [text(n) for n in _until_break(label) if n.tag == "a"]
             anchors.append("/".join(x for x in names if x))
+    markup = info.inner() if info else None
+    creators, notes = people.of_page(labelled(markup) if markup else [], anchors)
     meta = lambda key: any(n.tag == "meta" and key in (n.attrs.get("property"), n.attrs.get("name")) for n in nodes)
     return {
-        "info_html": info.inner() if info else None,
+        "info_html": markup,
         "h1_span": text(span),
         "page_title": title.content() if title else None,
         "series": _series(labels),
@@ -190,6 +214,7 @@ def parse_page(html: str | None) -> dict:
         "heading": _squash(h.content()) if (h := first(lambda n: n.tag == "h1")) else "",
         "info_text": _squash(info.content()) if info else "",
         "intro": _squash(i.content()) if (i := first(lambda n: n.has_class("intro"))) else "",
+        "people": {"creators": creators, "notes": notes},
     }
 
 
@@ -198,7 +223,7 @@ def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([parse_page(p) for p in pages], columns=list(_COLUMNS))
 
 
-_COLUMNS = ("info_html", "h1_span", "page_title", "series", "abstract", "cover", "author_anchors", "entries", "surfaces", "heading", "info_text", "intro")
+_COLUMNS = ("info_html", "h1_span", "page_title", "series", "abstract", "cover", "author_anchors", "entries", "surfaces", "heading", "info_text", "intro", "people")
 
 
 def page_fields(html: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import creators as cr
 from ..functions import normalize as nz
 from ..functions.text import SPACE, WS, filled, js_trim, let, subject_id
 from ..schemas import BOOK_FIELDS
@@ -56,7 +55,7 @@ def books(pages: DataFrame, site: Site = SITE) -> DataFrame:
     The html is dropped right after the one helper pass.
     """
     raw = extract(pages).withColumn("entries", info_entries(F.col("raw.info_html")))
-    raw = raw.withColumn("main_title", page_title(F.col("raw"), site)).withColumn("made", cr.page_creators(F.col("entries"), F.col("raw.author_anchors")))
+    raw = raw.withColumn("main_title", page_title(F.col("raw"), site))
     raw = raw.withColumn("by_label", F.map_from_entries("entries"))
     value = lambda label: F.try_element_at(F.col("by_label"), F.lit(label))
     either = lambda *labels: F.coalesce(*(filled(value(x)) for x in labels))
@@ -66,12 +65,12 @@ def books(pages: DataFrame, site: Site = SITE) -> DataFrame:
         "publisher": F.coalesce(value("出版社"), F.lit("")), "publish_date": nz.publication_date(F.coalesce(either("出版年", "出版时间"), F.lit(""))),
         "isbn": isbn, "isbn13": nz.isbn13(isbn), "pages": value("页数"), "price": value("定价"), "format": value("装帧"), "language": value("语言"),
         "series": F.coalesce(filled(F.col("raw.series")), value("丛书")), "original_title": value("原作名"), "abstract_note": F.col("raw.abstract"), "cover_url": F.col("raw.cover"),
-        "creators": F.col("made.creators"), "creator_notes": F.when(F.size("made.notes") > 0, F.col("made.notes")),
+        "creators": F.col("raw.people.creators"), "creator_notes": F.when(F.size("raw.people.notes") > 0, F.col("raw.people.notes")),
     }
     error = F.when(F.col("raw.info_html").isNull(), "missing-info-block").when(F.col("main_title") == "", "missing-title")
     book = F.struct(*(known.get(n, F.lit(None).cast("string")).alias(n) for n in BOOK_FIELDS))
     out = raw.withColumn("parse_error", error).withColumn("book", F.when(F.col("parse_error").isNull(), book))
-    return out.drop("entries", "by_label", "main_title", "made", "raw")
+    return out.drop("entries", "by_label", "main_title", "raw")
 
 
 def split_failures(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
