@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import absolute_url, count_text, filled, has_text, owner_id, strict_subject_url, strip_tags, subject_id
+from ..functions.text import absolute_url, count_text, filled, has_text, let, owner_id, strict_subject_url, strip_tags, subject_id
 from ..site import SITE, Site
 from .pagehtml import anchor_links
 
@@ -23,7 +23,7 @@ def _subject(site: Site) -> str:
 def _first_seen(links: Column, key) -> Column:
     """The first link of each key, in order. Pages hold a few dozen links."""
     keyed = F.transform(links, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
-    return F.transform(F.array(keyed), lambda xs: F.transform(F.array_distinct(F.transform(xs, lambda s: s["k"])), lambda k: F.filter(xs, lambda s: s["k"] == k)[0]["x"]))[0]
+    return let(keyed, lambda xs: F.transform(F.array_distinct(F.transform(xs, lambda s: s["k"])), lambda k: F.filter(xs, lambda s: s["k"] == k)[0]["x"]))
 
 
 def list_links(html: Column, site: Site = SITE) -> Column:
@@ -45,15 +45,16 @@ def list_links(html: Column, site: Site = SITE) -> Column:
 def dom_links(html: Column, site: Site = SITE, backfill: bool = False) -> Column:
     """Links from the parsed page: strict subject addresses, 1-based positions; ``backfill`` takes an empty title from a later anchor."""
     made = F.transform(anchor_links(html), lambda a: F.struct(strict_subject_url(a["href"], site).alias("url"), F.coalesce(filled(a["title_attr"]), a["text"], F.lit("")).alias("title")))
-    found = F.filter(made, lambda x: x["url"].isNotNull())
-    urls = F.array_distinct(F.transform(found, lambda x: x["url"]))
 
-    def one(u: Column, i: Column) -> Column:
-        same = F.filter(found, lambda x: x["url"] == u)
-        title = F.coalesce(F.get(F.filter(same, lambda x: x["title"] != ""), F.lit(0))["title"], F.lit("")) if backfill else same[0]["title"]
-        return F.struct(u.alias("url"), title.alias("title"), (i + 1).alias("position"))
+    def unique(found: Column) -> Column:
+        def one(u: Column, i: Column) -> Column:
+            same = F.filter(found, lambda x: x["url"] == u)
+            title = F.coalesce(F.get(F.filter(same, lambda x: x["title"] != ""), F.lit(0))["title"], F.lit("")) if backfill else same[0]["title"]
+            return F.struct(u.alias("url"), title.alias("title"), (i + 1).alias("position"))
 
-    return F.transform(urls, one)
+        return F.transform(F.array_distinct(F.transform(found, lambda x: x["url"])), one)
+
+    return let(F.filter(made, lambda x: x["url"].isNotNull()), unique)
 
 
 def counter(html: Column) -> Column:
