@@ -8,6 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_codec, decontaminate, embedding_dedup, language_id, license_scan, phrase_dedup, secret_scan, simhash_dedup, suffix_dedup, toxicity
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "VOCABULARY"]
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -63,4 +66,3 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_simhash_dedup, op3_language_id, op4_suffix_dedup, op5_embedding_dedup, op6_toxicity, op7_phrase_dedup, op8_decontaminate, op9_bpe_codec, op10_license_scan)
 }
-ORACLE_SQL: dict[str, str] = {}
