@@ -39,9 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become a mark; ``n_chars`` follows the text."""
-    found = secret_scan.scan_secrets(docs, out_col="__spans")
-    masked = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("__spans")))
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return docs.withColumn("text", secret_scan.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

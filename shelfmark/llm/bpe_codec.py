@@ -193,7 +193,7 @@ def encode(text: Column, path: str) -> Column:
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = load(path)
-        for texts in portions(batches):
+        for texts in portions(batches, PORTION // 4):
             yield pd.Series(vocabulary.encode_batch(["" if t is None else t for t in texts]), dtype=object)
 
     return ids(text)
@@ -205,16 +205,32 @@ def decode(ids: Column, path: str) -> Column:
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = load(path)
-        for found in portions(batches, PORTION // 8):
+        for found in portions(batches, PORTION // 32):
             yield pd.Series(["" if x is None else vocabulary.decode(x.tolist()) for x in found], dtype=object)
 
     return text(ids)
 
 
+def encode_and_decode(text: Column, path: str) -> Column:
+    """Struct (ids, decoded) in one pass: two chained passes would hold two Python workers, and all ids between them, for each task."""
+
+    @F.pandas_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary = load(path)
+        for texts in portions(batches, PORTION // 8):
+            ids = vocabulary.encode_batch(["" if t is None else t for t in texts])
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": [vocabulary.decode(x.tolist()) for x in ids]})
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = "decoded") -> DataFrame:
     """``docs`` with the token ids of the text and, if asked for, their decoded text."""
-    out = docs.withColumn(ids_col, encode(F.col(text_col), path))
-    return out.withColumn(decoded_col, decode(F.col(ids_col), path)) if decoded_col else out
+    if not decoded_col:
+        return docs.withColumn(ids_col, encode(F.col(text_col), path))
+    named = "__tokens"
+    out = docs.withColumn(named, encode_and_decode(F.col(text_col), path))
+    return out.withColumns({ids_col: F.col(f"{named}.ids"), decoded_col: F.col(f"{named}.decoded")}).drop(named)
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut
+from .common import alnum_words, cut, portions
 
 WINDOW = 13
 SHARE = 20  # contaminated when hit words * SHARE >= words
@@ -114,7 +114,7 @@ def _shards(items: DataFrame, item_col: str, text_col: str, window: int) -> Iter
 def _look(held: Broadcast):
     @F.pandas_udf(FOUND)
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in portions(batches):
             rows = []
             for text in texts:
                 words = alnum_words(text)

@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 PER_LANGUAGE = 300
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
 
 # Language families by language code.
@@ -222,8 +224,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame(predict_texts(held.value, list(texts)), columns=["lang", "score"])
+        for texts in portions(batches, CHUNK_BYTES):
+            yield pd.DataFrame(predict_texts(held.value, texts), columns=["lang", "score"])
 
     named = "__language"
     out = docs.withColumn(named, guess(F.col(text_col)))

@@ -24,8 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 _MOST_STRINGS = 64
 
 
@@ -192,7 +194,7 @@ def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
     @F.pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in portions(batches, SEGMENT_BYTES):
             yield pd.Series(_scan(["" if t is None else t for t in texts], rules), dtype=object)
 
     return spans(text)
@@ -203,26 +205,25 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     return docs.withColumn(out_col, secret_spans(F.col(text_col), rules))
 
 
-def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span replaced by a mark; overlapping spans become one."""
+def _cut_out(text: str, spans: list[tuple], mark: str) -> str:
+    parts, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
+
+
+def redact(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> Column:
+    """The text with every span replaced by a mark, overlapping spans becoming one; null stays null."""
 
     @F.pandas_udf("string")
-    def cut_out(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, found in batches:
-            out = []
-            for t, ss in zip(texts, found, strict=True):
-                if t is None or ss is None or not len(ss):
-                    out.append(t)
-                    continue
-                parts, at = [], 0
-                for s in ss:
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                out.append("".join(parts) + t[at:])
-            yield pd.Series(out, dtype=object)
-
-    return cut_out(text, spans)
+    def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in portions(batches, SEGMENT_BYTES):
+            found = _scan(["" if t is None else t for t in texts], rules)
+            yield pd.Series([_cut_out(t, ss, mark) if ss else t for t, ss in zip(texts, found, strict=True)], dtype=object)
+
+    return redacted(text)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_roots, space_words
+from .common import components, cut, local_roots, portions, space_words
 
 RADIUS = 3
 SHINGLE = 3
@@ -60,7 +60,7 @@ _FOLD = {c: c + 32 for c in range(0x41, 0x5B)}
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in portions(batches):
             yield pd.Series([fingerprint_of(t, shingle) for t in texts], dtype="int64")
 
     return bits(text)

@@ -54,8 +54,8 @@ def test_trigram_queries():
 def test_redaction(make_docs):
     from pyspark.sql import functions as F
 
-    found = secret_scan.scan_secrets(make_docs(["a password=abcdefgh b", None]))
-    assert [r[0] for r in found.select(secret_scan.redact(F.col("text"), F.col("spans"))).collect()] == ["a [secret] b", None]
+    docs = make_docs(["a password=abcdefgh b", None, "x AKIAAKIA1234567890 password=0123456789abcdef0123456789abcdef", ""])
+    assert [r[0] for r in docs.select(secret_scan.redact(F.col("text"))).collect()] == ["a [secret] b", None, "x [secret] [secret]", ""]
 
 
 def test_empty_table_and_extra_columns(make_docs):
