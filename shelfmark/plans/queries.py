@@ -310,12 +310,21 @@ def a11_validation_coverage(spark, sf):
     return coverage.validation_coverage(samples(spark, sf), ("old", "new"))
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT *, string_split(gate, ',') AS g FROM ({_STATUS}) s WHERE cohort = 'new' AND gate <> ''), p AS (SELECT *, list_filter(g, lambda w: w <> 'minimum-ingest-missing-language') AS more, list_filter(g, lambda w: contains(w, 'author') OR contains(w, 'language')) AS pw FROM s)
+SELECT cast(k AS string) AS subject_id, 'b' || k % 3 AS batch, CASE WHEN len(more) > 0 THEN 2 ELSE 6 END AS tier, cast(1 + len(more) + CASE WHEN len(pw) > 0 THEN 1 ELSE 0 END AS int) AS score,
+  concat_ws(',', 'minimum-ingest:' || replace(gate, ',', '|'), CASE WHEN len(pw) > 0 THEN 'parser-diagnostics:' || replace(array_to_string(pw, '|'), 'minimum-ingest-', 'parser-') END) AS reasons
+FROM p ORDER BY tier, score DESC, subject_id LIMIT 12"""
+)
 def w9_golden_candidates(spark, sf):
     return coverage.golden_candidates(samples(spark, sf), "old", "new").withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query()
+@query(
+    f"""SELECT cast(k AS string) AS subject_id, 'b' || k % 3 AS batch, cast((gate <> '')::INT + (series IS NOT NULL)::INT AS int) AS score,
+  concat_ws(',', CASE WHEN gate = 'minimum-ingest-missing-language' THEN 'near-prepared-missing-language' WHEN gate <> '' THEN 'minimum-ingest-review:' || replace(gate, ',', '|') END, CASE WHEN series IS NOT NULL THEN 'series-field-review' END) AS reasons
+FROM ({_STATUS}) s WHERE gate <> '' OR series IS NOT NULL ORDER BY score DESC, subject_id LIMIT 15"""
+)
 def w10_review_candidates(spark, sf):
     return coverage.review_candidates(samples(spark, sf), "old", "new").withColumn("reasons", F.array_join("reasons", ","))
 
@@ -395,11 +404,11 @@ def v8_pagination_audit(spark, sf):
 
 
 @query(
-    """WITH l AS (SELECT DISTINCT 'u' || event_id % 5000 AS url, event_id % 5000 AS e FROM events)
+    """WITH l AS (SELECT DISTINCT 'u' || event_id AS url, event_id AS e FROM events)
 SELECT CASE WHEN e % 2 = 0 AND e % 3 = 0 THEN 'cached' WHEN e % 3 = 0 THEN 'index-repaired' WHEN e % 2 = 0 THEN 'cache-missing-refetch' ELSE 'to-fetch' END AS status, count(*) AS n FROM l GROUP BY 1"""
 )
 def j15_resume_status(spark, sf):
-    l = table(spark, sf, "events").select((F.col("event_id") % 5000).alias("e")).distinct().withColumn("url", F.concat(F.lit("u"), F.col("e").cast("string")))
+    l = table(spark, sf, "events").select(F.col("event_id").alias("e")).distinct().withColumn("url", F.concat(F.lit("u"), F.col("e").cast("string")))
     return lists.resume_status(l, l.where("e % 2 = 0"), l.where("e % 3 = 0")).groupBy("status").agg(F.count("*").alias("n"))
 
 
