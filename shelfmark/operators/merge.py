@@ -235,7 +235,10 @@ def review_manifest(candidates: DataFrame) -> DataFrame:
 
 def promotion_rows(candidates: DataFrame, with_skipped: bool = False) -> tuple[DataFrame, DataFrame]:
     """Export rows and import rows of the candidates that are prepared (and of the others, if asked)."""
-    rows = candidates if with_skipped else candidates.where("promotion_status = 'prepared'")
+    # outer, then filtered: a plain filter would be pushed down and repeat every expression that the status is made of
+    kept = F.array(F.struct("candidate_id", "model_record_id", "payload", "status", "promotion_warnings", "promotion_status"))
+    chosen = kept if with_skipped else F.when(F.col("promotion_status") == "prepared", kept)
+    rows = candidates.select(F.explode_outer(chosen).alias("r")).where("r is not null").select("r.*")
     key = F.col("candidate_id")
     exported = rows.select(F.concat(F.lit("export-catalog-json-"), key).alias("export_record_id"), F.col("model_record_id").alias("cleaned_record_id"), F.lit("catalog-json").alias("format"), F.to_json("payload").alias("payload_json"), F.col("status").alias("validation_status"), F.to_json("promotion_warnings").alias("validation_warnings_json"))
     imported = rows.select(F.concat(F.lit("import-catalog-json-"), key).alias("import_record_id"), F.col("model_record_id").alias("cleaned_record_id"), F.concat(F.lit("export-catalog-json-"), key).alias("export_record_id"), F.to_json("payload").alias("item_payload_json"), F.col("promotion_status").alias("status"), F.to_json("promotion_warnings").alias("validation_warnings_json"))
