@@ -1,9 +1,13 @@
 """License scans with one Aho-Corasick automaton and a shunting-yard parser.
 
 The automaton runs over each text's words (letters and digits, A-Z lower-cased, joined by single spaces) and finds notice
-phrases and the words of identifier tags. After a tag, the raw text up to the end of the line is read as a licence expression:
-a shunting-yard parser puts identifiers and the operators OR, AND and WITH (in rising order of binding) into reverse Polish
-order, and the evaluation yields the alternatives that a user may choose from, each a set of identifiers.
+phrases and the words of identifier tags. After a tag, the longest valid licence expression at the start of the rest of the
+line is read; text may follow it, and the next tag ends it. A shunting-yard parser puts identifiers and the operators OR, AND
+and WITH (in rising order of binding) into reverse Polish order, which is kept: its identifiers are the labels, without
+expansion. ``evaluate`` lists the alternatives that a user may choose from; their number may double with each choice.
+
+An expression that its line or the next tag breaks off after an operator or inside brackets is malformed. There is no list of
+known identifiers, so a word of prose after an operator ("MIT and then") is read as one.
 
 Null text counts as empty. Word positions count from 0. A phrase counts at each place where its words stand consecutively,
 overlaps included. Rows and all other columns stay as they are.
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words
 
-RESULT = "struct<n_words:long,notices:array<struct<label:string,phrase:string,word:int,base:boolean>>,expressions:array<struct<text:string,word:int,valid:boolean,alternatives:array<array<string>>>>>"
+RESULT = "struct<n_words:long,notices:array<struct<label:string,phrase:string,word:int,base:boolean>>,expressions:array<struct<text:string,word:int,valid:boolean,postfix:array<string>,labels:array<string>>>>"
 
 # Base phrases and labels.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -43,11 +47,43 @@ MORE_PHRASES = (
 )
 # Identifier tags as words.
 TAGS = ("spdx license identifier",)
-_TAG_IN_TEXT = re.compile(rb"spdx[^a-z0-9\x80-\xff]+license[^a-z0-9\x80-\xff]+identifier[ \t]*:?[ \t]*([^\r\n]*)")
+_TAG_IN_TEXT = re.compile(rb"spdx[^a-z0-9\x80-\xff]+license[^a-z0-9\x80-\xff]+identifier(?![a-z0-9\x80-\xff])[ \t]*:?[ \t]*")
+_LINE_END = re.compile(rb"[\r\n]")
 _WORD_BYTES = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_AROUND = "*/#-;,<>!. \t\"'"  # may stand between tokens
 _RANK = {"or": 1, "and": 2, "with": 3}
-MOST_ALTERNATIVES = 64
+
+
+def longest_expression(line: str) -> str:
+    """The longest valid expression at the start of ``line``; empty if there is none or the line ends before the expression does."""
+    operand, depth, at, end = True, 0, 0, 0
+    for m in _TOKEN.finditer(line):
+        token, between = m[0], line[at : m.start()]
+        at = m.end()
+        if between.strip(_AROUND):
+            return line[:end]
+        if token.lower() in _RANK:
+            if operand:
+                return line[:end]
+            operand = True
+        elif token == "(":
+            if not operand:
+                return line[:end]
+            depth += 1
+        elif token == ")":
+            if operand or not depth:
+                return line[:end]
+            depth -= 1
+        elif re.search(r"[A-Za-z0-9]", token):
+            if not operand:
+                return line[:end]
+            operand = False
+        else:
+            continue
+        if not operand and not depth:
+            end = at
+    return line[:end] if line[at:].strip(_AROUND) or not (operand or depth) else ""
 
 
 def to_postfix(expression: str) -> list[str] | None:
@@ -56,7 +92,7 @@ def to_postfix(expression: str) -> list[str] | None:
     waiting: list[str] = []
     operand = True  # what must come next
     rest = _TOKEN.sub("", expression).strip()
-    if rest.strip("*/#-;,<>!. \t\"'"):
+    if rest.strip(_AROUND):
         return None
     for token in _TOKEN.findall(expression):
         low = token.lower()
@@ -84,7 +120,7 @@ def to_postfix(expression: str) -> list[str] | None:
         else:
             if not operand:
                 return None
-            out.append(low)
+            out.append(low.rstrip(".:"))
             operand = False
     while waiting:
         if waiting[-1] == "(":
@@ -94,7 +130,7 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(postfix: list[str]) -> list[list[str]] | None:
-    """The alternatives of an expression, sorted, supersets dropped; None if an operator lacks an operand or the alternatives exceed MOST_ALTERNATIVES."""
+    """The alternatives of an expression, sorted, supersets dropped; None if an operator lacks an operand. All are listed, however many."""
     stack: list[list[frozenset[str]]] = []
     for token in postfix:
         if token not in _RANK:
@@ -109,12 +145,26 @@ def evaluate(postfix: list[str]) -> list[list[str]] | None:
             made = [a | b for a in left for b in right]
         else:  # an exception belongs to each licence of its left side
             made = [frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right]
-        if len(made) > MOST_ALTERNATIVES:
-            return None
         stack.append([a for a in dict.fromkeys(made) if not any(b < a for b in made)])
     return sorted(sorted(a) for a in stack[0]) if len(stack) == 1 else None
 
 
+def identifiers(postfix: list[str]) -> list[str]:
+    """Identifiers of an expression, sorted; licences with exceptions as pairs "x with y", each licence left of WITH with each name right of it."""
+    stack: list[tuple[frozenset, frozenset]] = []  # names alone, pairs
+    for token in postfix:
+        if token not in _RANK:
+            stack.append((frozenset({token}), frozenset()))
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            licences, exceptions = left[0] | {x for x, _ in left[1]}, right[0].union(*right[1])
+            stack.append((frozenset(), left[1] | {(x, y) for x in licences for y in exceptions}))
+        else:
+            stack.append((left[0] | right[0], left[1] | right[1]))
+    return sorted({*stack[0][0], *(f"{x} with {y}" for x, y in stack[0][1])})
+
+
 @lru_cache(maxsize=8)
 def _automaton(phrases: tuple, tags: tuple) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -127,17 +177,18 @@ def _automaton(phrases: tuple, tags: tuple) -> ahocorasick.Automaton:
 
 
 def _expressions(text: str) -> list[dict]:
-    """Tags whose three words stand consecutively in the words of the text, and the rest of their line."""
+    """Tags whose three words stand consecutively in the words of the text, and the expression after each."""
     low = text.encode("utf-8", "surrogatepass")
     folded = low.lower()
-    out = []
-    for m in _TAG_IN_TEXT.finditer(folded):
-        if m.start() and _WORD_BYTES.match(folded[m.start() - 1 : m.start()]):
-            continue
-        shown = low[m.start(1) : m.end(1)].decode("utf-8", "replace").strip()
-        order = to_postfix(shown)
-        choices = evaluate(order) if order else None
-        out.append({"text": shown, "word": len(_WORD_BYTES.findall(folded[: m.start()])), "valid": choices is not None, "alternatives": choices or []})
+    tags = [m.span() for m in _TAG_IN_TEXT.finditer(folded) if not (m.start() and _WORD_BYTES.match(folded[m.start() - 1 : m.start()]))]
+    out, word, at = [], 0, 0
+    for (start, after), (following, _) in zip(tags, [*tags[1:], (len(low), 0)], strict=True):
+        word, at = word + len(_WORD_BYTES.findall(folded[at:start])), start
+        line_end = _LINE_END.search(low, after, following)
+        line = low[after : line_end.start() if line_end else following].decode("utf-8", "replace").strip()
+        shown = longest_expression(line)
+        order = to_postfix(shown) if shown else None
+        out.append({"text": shown or line, "word": word, "valid": order is not None, "postfix": order or [], "labels": identifiers(order) if order else []})
     return out
 
 
@@ -179,14 +230,14 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
 def digest(found: DataFrame) -> DataFrame:
     """Counts, first and last place and labels of the base phrases, all labels, and a score.
 
-    Labels of the method are those of all phrases and the identifiers of every alternative of a valid expression. The score is
+    Labels of the method are those of all phrases and all identifiers of a valid expression. The score is
     1 with a valid expression, else 0.9 with a phrase of three words or more, else 0.6 with any phrase, else 0.
     """
     base = F.filter("licenses.notices", lambda x: x["base"])
     at = F.transform(base, lambda x: x["word"].cast("long"))
     labels = lambda xs: F.array_join(F.array_sort(F.array_distinct(xs)), ",")
     named = F.transform("licenses.notices", lambda x: x["label"])
-    tagged = F.flatten(F.transform("licenses.expressions", lambda x: F.flatten(x["alternatives"])))
+    tagged = F.flatten(F.transform("licenses.expressions", lambda x: x["labels"]))
     return found.select(
         "doc_id",
         F.col("licenses.n_words").alias("n_words"),

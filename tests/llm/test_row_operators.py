@@ -109,6 +109,21 @@ def test_expressions(text, want):
     assert license_scan.evaluate(license_scan.to_postfix(text)) == want
 
 
+def test_long_expressions_and_prose(make_docs):
+    ands, ors = [f"x{i}" for i in range(14)], [f"y{i}" for i in range(70)]
+    cases = [
+        (" AND ".join(f"({a} OR {b})" for a, b in zip(ands[::2], ands[1::2], strict=True)), ands), (" or ".join(ors), ors), ("MIT. Then prose with (brackets", ["mit"]), ("Apache-2.0 (see below) or what", ["apache-2.0"]),
+        ("MIT SPDX-License-Identifier: (BSD-3-Clause OR ISC) spdx license identifier GPL-2.0 with x", ["mit", "bsd-3-clause", "isc", "gpl-2.0 with x"]), ("MIT OR SPDX-License-Identifier: ISC", ["isc"]), ("MIT \u00e9 x", ["mit"]),
+        ("MIT and then prose", ["mit", "then"]), ("MIT OR (ISC", []), ("(MIT OR ISC more", []), (" WITH ".join(["(a OR b)"] * 40), ["a with a", "a with b", "b with a", "b with b"]),
+    ]
+    docs = make_docs([f"SPDX-License-Identifier: {text}" for text, _ in cases])
+    got = {r["doc_id"]: r for r in license_scan.digest(license_scan.scan_licenses(docs)).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert got[i]["labels"] == ",".join(sorted(want)) and got[i]["score"] == (1 if want else 0), text
+    found = license_scan._expressions("a b SPDX-License-Identifier: MIT c\nd SPDX-License-Identifier: ISC")
+    assert [(x["text"], x["word"]) for x in found] == [("MIT", 2), ("ISC", 8)]
+
+
 @pytest.mark.parametrize("text", ["", "or", "a or", "(a", "a)", "a b", "and a", "()"])
 def test_bad_expressions(text):
     assert license_scan.to_postfix(text) is None
