@@ -10,7 +10,6 @@ from ..site import SITE, Site
 from .pagehtml import anchor_links
 
 PAGE = 15
-MOST_PAGES = 200
 SERIES_PAGE = 20
 MOST_SERIES_PAGES = 50
 LINKS = "array<struct<url:string,title:string>>"
@@ -101,32 +100,33 @@ def series_info(html: Column) -> Column:
     return F.struct(name.alias("name"), F.regexp_extract(html, "册\\s*数[：:]\\s*([0-9]+)", 1).try_cast("int").alias("count"), html.rlike("(?i)class=[\"']next[\"'][^>]*>\\s*<a\\s").alias("has_next"))
 
 
-def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"], most_pages: int = MOST_PAGES) -> tuple[DataFrame, DataFrame]:
+def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"], most_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages (list_col, page, url, d: page_diagnostics) to links (list_col, position, url, title) and one summary row a list.
 
     Pages count in order up to the first empty page, repeated address, page without a next one, or the page with which the
-    declared total is reached; that page itself counts. A list has at most ``most_pages`` pages, so its window is small.
+    declared total is reached; that page itself counts. A list may have any number of pages: a link's first sight is found by
+    list and key, and the lists' windows run over rows of one page each with its new links. ``most_pages`` is a crawler's
+    limit, off unless given.
     """
-    by_list = Window.partitionBy(list_col).orderBy("page")
-    so_far = by_list.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = pages.where(F.col("page") < most_pages)
-    keys = F.transform("d.links", link_key)
-    seen = seen.withColumn("known", F.size(F.array_distinct(F.flatten(F.collect_list(keys).over(so_far)))))
-    seen = seen.withColumn("total", F.first(F.when(F.col("d.total") > 0, F.col("d.total")), ignorenulls=True).over(so_far)).withColumn("total", F.coalesce("total", F.lit(0)))
-    seen = seen.withColumn("again", F.row_number().over(Window.partitionBy(list_col, "url").orderBy("page")) > 1)
-    stop = F.col("again") | (F.col("d.visible") == 0) | ((F.col("total") > 0) & (F.col("known") >= F.col("total"))) | ~F.col("d.has_next")
-    before = by_list.rowsBetween(Window.unboundedPreceding, -1)
+    seen = pages if most_pages is None else pages.where(F.col("page") < most_pages)
+    shown = seen.select(list_col, "page", "url", *(F.col(f"d.{c}").alias(c) for c in ("visible", "total", "has_next")), F.posexplode_outer("d.links").alias("pos", "l"))
+    first = Window.partitionBy(list_col, link_key(F.col("l"))).orderBy("page", "pos", "url")
+    fresh = F.when((F.row_number().over(first) == 1) & F.col("pos").isNotNull(), F.struct("pos", F.col("l.url").alias("url"), F.col("l.title").alias("title")))
+    same = lambda c: F.first(c).alias(c)
+    seen = shown.withColumn("fresh", fresh).groupBy(list_col, "page", "url").agg(same("visible"), same("total"), same("has_next"), F.array_sort(F.collect_list("fresh")).alias("fresh"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"))
+    by_list = Window.partitionBy(list_col).orderBy("page", "url")
+    so_far, before = by_list.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_list.rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("again", F.row_number().over(Window.partitionBy(list_col, "url").orderBy("page")) > 1).withColumn("new", F.when(F.col("again"), 0).otherwise(F.size("fresh")))
+    seen = seen.withColumn("known", F.sum("new").over(so_far)).withColumn("declared", F.coalesce(F.first(F.when(F.col("total") > 0, F.col("total")), ignorenulls=True).over(so_far), F.lit(0)))
+    looped = F.col("again") | (F.col("copies") > 1)
+    stop = looped | (F.col("visible") == 0) | ((F.col("declared") > 0) & (F.col("known") >= F.col("declared"))) | ~F.col("has_next")
     used = seen.withColumn("stopped", F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).where("stopped = 0")
-    loop = F.max(F.when(F.col("again"), F.col("url")))
-    changed = F.array_distinct(F.collect_list(F.when((F.col("d.total") > 0) & (F.col("d.total") != F.col("total")), F.col("d.total"))))
-    kept = used.where(~F.col("again"))
-    spread = kept.select(list_col, "page", F.posexplode("d.links").alias("pos", "l"))
-    first = Window.partitionBy(list_col, link_key(F.col("l"))).orderBy("page", "pos")
-    unique = spread.withColumn("n", F.row_number().over(first)).where("n = 1")
-    links = unique.select(list_col, F.row_number().over(Window.partitionBy(list_col).orderBy("page", "pos")).alias("position"), "l.url", "l.title")
-    fetched = F.count_if(~F.col("again"))
+    spread = used.where(~F.col("again")).select(list_col, (F.col("known") - F.col("new")).alias("earlier"), F.posexplode("fresh").alias("i", "l"))
+    links = spread.select(list_col, (F.col("earlier") + F.col("i") + 1).cast("int").alias("position"), "l.url", "l.title")
+    changed = F.array_distinct(F.collect_list(F.when((F.col("total") > 0) & (F.col("total") != F.col("declared")), F.col("total"))))
     summary = used.groupBy(list_col).agg(
-        F.max("total").alias("total"), fetched.alias("pages"), F.sum(F.when(~F.col("again"), F.col("d.visible")).otherwise(0)).alias("visible"), F.max("known").alias("unique_links"), loop.alias("loop_url"), changed.alias("other_totals")
+        F.max("declared").alias("total"), F.count_if(~F.col("again")).alias("pages"), F.sum(F.when(~F.col("again"), F.col("visible")).otherwise(0)).alias("visible"), F.max("known").cast("int").alias("unique_links"),
+        F.max(F.when(looped, F.col("url"))).alias("loop_url"), changed.alias("other_totals"),
     )
     return links, summary
 

@@ -113,6 +113,34 @@ def test_lists(spark):
     assert [x["position"] for x in one(spark, lists.dom_links, link(4) + link(4) + link(9))] == [1, 2]
 
 
+def _pages(spark, rows):
+    """Rows (list, page, url, link numbers, total, has_next) as diagnosed pages."""
+    made = [(u, p, url, ([{"url": f"s{k}", "title": f"t{k}"} for k in ks], total, more, len(ks))) for u, p, url, ks, total, more in rows]
+    return spark.createDataFrame(made, "uid string, page int, url string, d struct<links:array<struct<url:string,title:string>>,total:int,has_next:boolean,visible:int>").repartition(3)
+
+
+def test_assembly_of_long_lists(spark):
+    n, many = 4000, 267
+    rows = [("hot", p, f"h{p}", [*range(15 * p, min(n, 15 * p + 15)), 0], n, p < many - 1) for p in range(many)] + [("small", 0, "s0", [1, 2], 2, False)]
+    links, summary = lists.assemble(_pages(spark, rows))
+    got = {(r["uid"], r["position"]): r["url"] for r in links.collect()}
+    assert got == {("hot", k + 1): f"s{k}" for k in range(n)} | {("small", 1): "s1", ("small", 2): "s2"}
+    assert {r["uid"]: (r["pages"], r["visible"], r["unique_links"]) for r in summary.collect()} == {"hot": (many, n + many, n), "small": (1, 2, 2)}
+    assert lists.assemble(_pages(spark, rows), most_pages=200)[1].where("uid = 'hot'").first()["unique_links"] == 3000
+
+
+def test_assembly_stops(spark):
+    rows = [("empty", 0, "a", [1, 2], 9, True), ("empty", 1, "b", [], 9, True), ("empty", 2, "c", [3], 9, True), ("loop", 0, "a", [1], 0, True), ("loop", 1, "a", [2], 0, True), ("loop", 2, "b", [3], 0, True)]
+    rows += [("last", 0, "a", [2, 1], 0, True), ("last", 1, "b", [1, 3], 8, False), ("last", 2, "c", [4], 8, False), ("total", 0, "a", [1], 2, True), ("total", 1, "b", [2], 3, True), ("total", 2, "c", [5], 2, True), ("copy", 0, "a", [1], 0, True), ("copy", 0, "a", [1], 0, True), ("copy", 1, "b", [2], 0, False)]
+    links, summary = lists.assemble(_pages(spark, rows))
+    got = {}
+    for r in sorted(links.collect(), key=lambda r: (r["uid"], r["position"])):
+        got.setdefault(r["uid"], []).append(r["url"])
+    assert got == {"empty": ["s1", "s2"], "loop": ["s1"], "last": ["s2", "s1", "s3"], "total": ["s1", "s2"], "copy": ["s1"]}
+    found = {r["uid"]: (r["total"], r["pages"], r["visible"], r["unique_links"], r["loop_url"], r["other_totals"]) for r in summary.collect()}
+    assert found == {"empty": (9, 2, 2, 2, None, []), "loop": (0, 1, 1, 1, "a", []), "last": (8, 2, 4, 3, None, []), "total": (2, 2, 2, 2, None, [3]), "copy": (0, 1, 1, 1, "a", [])}
+
+
 def test_model_values(spark):
     v = lambda f: one(spark, lambda c: f(merge.json_object(c)), 'x {"pages": 3, "title": " a ", "creators": [{"creatorType": "author", "lastName": "L"}, {"creatorType": "x", "lastName": "L"}, 5], "creatorNotes": ["n", 1, ""]} y')
     assert v(lambda m: merge.variant_string(m, "$.pages")) is None and v(lambda m: merge.variant_string(m, "$.title")) == "a"
