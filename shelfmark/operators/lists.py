@@ -10,8 +10,6 @@ from ..site import SITE, Site
 from .pagehtml import anchor_links
 
 PAGE = 15
-SERIES_PAGE = 20
-MOST_SERIES_PAGES = 50
 LINKS = "array<struct<url:string,title:string>>"
 
 
@@ -100,13 +98,13 @@ def series_info(html: Column) -> Column:
     return F.struct(name.alias("name"), F.regexp_extract(html, "册\\s*数[：:]\\s*([0-9]+)", 1).try_cast("int").alias("count"), html.rlike("(?i)class=[\"']next[\"'][^>]*>\\s*<a\\s").alias("has_next"))
 
 
-def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"], most_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"], most_pages: int | None = None, need_new: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pages (list_col, page, url, d: page_diagnostics) to links (list_col, position, url, title) and one summary row a list.
 
     Pages count in order up to the first empty page, repeated address, page without a next one, or the page with which the
     declared total is reached; that page itself counts. A list may have any number of pages: a link's first sight is found by
     list and key, and the lists' windows run over rows of one page each with its new links. ``most_pages`` is a crawler's
-    limit, off unless given.
+    limit, off unless given. With ``need_new`` a page without a new link is the last one too.
     """
     seen = pages if most_pages is None else pages.where(F.col("page") < most_pages)
     shown = seen.select(list_col, "page", "url", *(F.col(f"d.{c}").alias(c) for c in ("visible", "total", "has_next")), F.posexplode_outer("d.links").alias("pos", "l"))
@@ -120,6 +118,8 @@ def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"
     seen = seen.withColumn("known", F.sum("new").over(so_far)).withColumn("declared", F.coalesce(F.first(F.when(F.col("total") > 0, F.col("total")), ignorenulls=True).over(so_far), F.lit(0)))
     looped = F.col("again") | (F.col("copies") > 1)
     stop = looped | (F.col("visible") == 0) | ((F.col("declared") > 0) & (F.col("known") >= F.col("declared"))) | ~F.col("has_next")
+    if need_new:
+        stop = stop | (F.col("new") == 0)
     used = seen.withColumn("stopped", F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).where("stopped = 0")
     spread = used.where(~F.col("again")).select(list_col, (F.col("known") - F.col("new")).alias("earlier"), F.posexplode("fresh").alias("i", "l"))
     links = spread.select(list_col, (F.col("earlier") + F.col("i") + 1).cast("int").alias("position"), "l.url", "l.title")
@@ -131,6 +131,24 @@ def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"
     return links, summary
 
 
+def assemble_series(pages: DataFrame, list_col: str = "series", site: Site = SITE, most_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Series pages (list_col, page from 0, url, html) to volumes (list_col, position, url, title), each subject once, and a summary row a series.
+
+    The rules of ``assemble``, and a page with nothing new ends the series. Name and declared count are those of page 0; the count
+    is null if it is not shown. ``mismatch`` tells of a declared count other than that of the volumes.
+    """
+    links, info = series_links(F.col("html"), site), series_info(F.col("html"))
+    shown = pages.select(list_col, "page", "url", links.alias("links"), info.alias("i"))
+    total = F.when(F.col("page") == 0, F.col("i.count"))
+    d = F.struct("links", F.coalesce(total, F.lit(0)).alias("total"), F.col("i.has_next").alias("has_next"), F.size("links").alias("visible"))
+    volumes, summary = assemble(shown.select(list_col, "page", "url", d.alias("d")), list_col, lambda x: subject_id(x["url"]), most_pages, need_new=True)
+    names = pages.where(F.col("page") == 0).groupBy(list_col).agg(F.min(info["name"]).alias("name"))
+    declared = F.when(F.col("total") > 0, F.col("total"))
+    differs = F.coalesce(declared != F.col("unique_links"), F.lit(False))
+    out = summary.join(names, list_col, "left").select(list_col, F.coalesce("name", F.lit("")).alias("name"), declared.alias("declared"), "pages", F.col("unique_links").alias("volumes"), differs.alias("mismatch"))
+    return volumes, out
+
+
 def completeness_warnings(summary: DataFrame, site: Site = SITE, page: int = PAGE) -> DataFrame:
     """``summary`` with ``warnings``: loops and changed totals, then what is missing."""
     total, seen, unique, pages = (F.col(c) for c in ("total", "visible", "unique_links", "pages"))

@@ -430,6 +430,42 @@ def j14_unknown_subjects(spark, sf):
     return lists.exclude_known(table(spark, sf, "part").select(F.col("p_partkey").alias("subject_id")), known)
 
 
+_SERIES = f"""l AS (SELECT *, cast(floor(pos / 2) AS int) AS page, row_number() OVER (PARTITION BY series, subject ORDER BY pos) = 1 AS fresh FROM ({synth.VOLUMES}) v),
+r AS (SELECT series, page, declared, count(*) FILTER (fresh) AS new, sum(count(*) FILTER (fresh)) OVER (PARTITION BY series ORDER BY page) AS known FROM l GROUP BY 1, 2, 3),
+s AS (SELECT *, coalesce(max((new = 0 OR (declared > 0 AND known >= declared))::INT) OVER (PARTITION BY series ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM r)"""
+
+
+@query(f"WITH {_SERIES} SELECT series, 'Order ' || series AS name, nullif(max(declared), 0) AS declared, count(*) AS pages, cast(max(known) AS bigint) AS volumes, max(declared) > 0 AND max(declared) <> max(known) AS mismatch FROM s WHERE stopped = 0 GROUP BY 1")
+def w6_series_assembly(spark, sf):
+    s = lists.assemble_series(synth.series_pages(spark, sf))[1]
+    return s.select("series", "name", *(F.col(c).cast("long").alias(c) for c in ("declared", "pages", "volumes")), "mismatch")
+
+
+@query(f"WITH {_SERIES} SELECT series, row_number() OVER (PARTITION BY series ORDER BY pos) AS position, 'https://book.example.org/subject/' || subject || '/' AS url, 'Part ' || subject AS title FROM l JOIN s USING (series, page) WHERE stopped = 0 AND fresh")
+def w6_series_volumes(spark, sf):
+    return lists.assemble_series(synth.series_pages(spark, sf))[0].withColumn("position", F.col("position").cast("long"))
+
+
+_INFO = " || ".join(f"CASE WHEN {c} = '' THEN '' ELSE '{a}: ' || {c} END" for a, c in (("作者", "author"), ("出版社", "publisher"), ("副标题", "subtitle"), ("译者", "translator"), ("出版年", "date_raw"), ("页数", "pages"), ("丛书", "series"), ("ISBN", "isbn"), ("语言", "language")))
+_READABLE = f"""SELECT k, 'Source URL: ' || url || chr(10) || 'Rule metadata: {{"title":"' || main_title || '"}}' || chr(10) || 'Page title: ' || main_title || ' (Catalog)' || chr(10) || 'Heading: ' || main_title || chr(10) ||
+  'Info: ' || CASE WHEN broken THEN '' ELSE {_INFO} END || chr(10) || 'Intro: About ' || main_title || '.' AS readable, main_title FROM ({synth.PAGE_FIELDS}) f"""
+
+
+def readable_pages(spark, sf) -> DataFrame:
+    raw = pages.extract(run_sql(spark, sf, synth.PAGES)).withColumn("book", F.struct(pages.page_title(F.col("raw")).alias("title")))
+    return raw.select(F.col("k").alias("key"), "book", pages.readable_text(F.col("url"), F.col("raw"), F.col("book")).alias("readable"))
+
+
+@query(f"SELECT k, readable FROM ({_READABLE}) r")
+def e18_readable_text(spark, sf):
+    return readable_pages(spark, sf).select(F.col("key").alias("k"), "readable")
+
+
+@query(f"""SELECT k AS key, '{{"ruleMetadata":{{"title":"' || main_title || '"}},"readableText":"' || replace(replace(readable, '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '","policy":"restricted"}}' AS user_payload FROM ({_READABLE}) r""")
+def m10_page_requests(spark, sf):
+    return merge.requests(readable_pages(spark, sf), "restricted").select("key", "user_payload")
+
+
 # ---- model merge and promotion
 
 

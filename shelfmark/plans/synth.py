@@ -84,6 +84,25 @@ SELECT k, url, cohort, '<html><head><title>' || main_title || ' (Catalog)</title
 FROM ({PAGE_FIELDS}) f
 """
 
+#: Series: an order's lines in order, two a page; subjects repeat. The declared count is none, 2, 4 or 9.
+VOLUMES = """
+SELECT l_orderkey AS series, 1 + l_partkey % 4 AS subject, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos,
+  count(*) OVER (PARTITION BY l_orderkey) AS n, CASE l_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 9 END AS declared FROM lineitem
+"""
+
+
+def series_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series as captured pages: series, page, url, html."""
+    v = run_sql(spark, sf_dir, VOLUMES).withColumn("page", F.floor(F.col("pos") / 2).cast("int"))
+    text = lambda c: F.col(c).cast("string")
+    anchor = F.concat(F.lit('<a href="https://book.example.org/subject/'), text("subject"), F.lit('/">Part '), text("subject"), F.lit("</a>"))
+    p = v.groupBy("series", "page", "n", "declared").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", anchor.alias("a")))), lambda s: s["a"]), "").alias("items"))
+    count = F.when(F.col("declared") > 0, F.concat(F.lit("册数: "), text("declared"))).otherwise(F.lit(""))
+    more = F.when((F.col("page") + 1) * 2 < F.col("n"), F.lit('<span class="next"><a href="?">next</a></span>')).otherwise(F.lit(""))
+    html = F.concat(F.lit("<h1>Order "), text("series"), F.lit('</h1><div class="subject-list">'), "items", F.lit('</div> <div class="paginator">'), count, more, F.lit("</div>"))
+    return p.select("series", "page", F.concat(F.lit("https://book.example.org/series/"), text("series"), F.lit("?start="), text("page")).alias("url"), html.alias("html"))
+
+
 #: User lists: a user's events in order, fifteen a page; subjects repeat.
 ENTRIES = """
 SELECT user_id AS uid, event_id, 1 + event_id % 997 AS subject, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos,

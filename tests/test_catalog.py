@@ -141,6 +141,16 @@ def test_assembly_stops(spark):
     assert found == {"empty": (9, 2, 2, 2, None, []), "loop": (0, 1, 1, 1, "a", []), "last": (8, 2, 4, 3, None, []), "total": (2, 2, 2, 2, None, [3]), "copy": (0, 1, 1, 1, "a", [])}
 
 
+def test_series_assembly(spark):
+    page = lambda ks, count, more: "<h1>S</h1>" + '<div class="subject-list">' + "".join(f'<a href="https://book.example.org/subject/{k}/">V{k}</a>' for k in ks) + '</div> <div class="paginator">' + (f"册数: {count}" if count else "") + ('<span class="next"><a href="?">n</a></span>' if more else "")
+    rows = [("loop", 0, "a", page([1, 2], 0, True)), ("loop", 1, "b", page([2, 1], 5, True)), ("loop", 2, "c", page([3], 0, True)), ("full", 0, "a", page([1, 2], 3, True)), ("full", 1, "b", page([2, 4], 0, True)), ("full", 2, "c", page([5], 0, False))]
+    rows += [("less", 0, "a", page([1], 4, True)), ("less", 1, "b", page([2], 9, False)), ("none", 0, "a", page([], 4, True)), *(("long", p, str(p), page([p], 60, p < 59)) for p in range(60))]
+    volumes_, summary = lists.assemble_series(spark.createDataFrame(rows, "series string, page int, url string, html string"))
+    got = {r["series"]: tuple(r)[1:] for r in summary.collect()}
+    assert got == {"loop": ("S", None, 2, 2, False), "full": ("S", 3, 2, 3, False), "less": ("S", 4, 2, 2, True), "none": ("S", 4, 1, 0, True), "long": ("S", 60, 60, 60, False)}
+    assert [r["title"] for r in volumes_.where("series = 'full'").orderBy("position").collect()] == ["V1", "V2", "V4"]
+
+
 def test_model_values(spark):
     v = lambda f: one(spark, lambda c: f(merge.json_object(c)), 'x {"pages": 3, "title": " a ", "creators": [{"creatorType": "author", "lastName": "L"}, {"creatorType": "x", "lastName": "L"}, 5], "creatorNotes": ["n", 1, ""]} y')
     assert v(lambda m: merge.variant_string(m, "$.pages")) is None and v(lambda m: merge.variant_string(m, "$.title")) == "a"
