@@ -14,9 +14,14 @@ SURFACES = ("h1_title", "abstract_block", "json_ld", "open_graph_title", "open_g
 
 
 def label_coverage(samples: DataFrame, cohorts: tuple[str, str]) -> DataFrame:
-    """samples: subject_id, cohort, labels. One row a label: total, n by cohort, subject ids."""
-    rows = samples.select("subject_id", "cohort", F.explode(F.array_distinct("labels")).alias("label"))
-    return rows.groupBy("label").agg(F.count("*").alias("total"), *(F.count_if(F.col("cohort") == c).alias(c) for c in cohorts), F.array_sort(F.collect_list("subject_id")).alias("subjects"))
+    """samples: subject_id, cohort, labels. One row a label: total, n by cohort; ``label_subjects`` has the subject ids."""
+    rows = samples.select("cohort", F.explode(F.array_distinct("labels")).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("total"), *(F.count_if(F.col("cohort") == c).alias(c) for c in cohorts))
+
+
+def label_subjects(samples: DataFrame) -> DataFrame:
+    """Rows (label, subject_id), one for each sample with the label; a label on every page stays spread over the tasks."""
+    return samples.select(F.explode(F.array_distinct("labels")).alias("label"), "subject_id")
 
 
 def flag_coverage(samples: DataFrame, flags: dict[str, Column], cohorts: tuple[str, str], name: str) -> DataFrame:

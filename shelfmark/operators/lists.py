@@ -219,19 +219,26 @@ def select_subjects(candidates: DataFrame, n: int, seed: str, url: str = "url")
     return top.withColumn("rank", F.row_number().over(Window.orderBy("order", url))).drop("order")
 
 
-def merge_candidates(links: DataFrame, most_sources: int | None = None) -> DataFrame:
-    """Rows (url, title, seq, source struct) to one row a url: first title that is not empty, sources in order, exact count.
+def merge_candidates(links: DataFrame) -> DataFrame:
+    """Rows (url, title, seq, source) to one row a url: first title that is not empty, exact count, first source.
 
-    ``most_sources`` bounds the array for addresses that stand in very many lists; the count stays exact.
+    ``candidate_sources`` has all sources; they are rows, for an address may stand in any number of lists.
     """
-    source = F.struct("seq", "source")
-    sources = F.array_sort(F.collect_list(source))
-    if most_sources is not None:
-        ranked = links.withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy("seq")))
-        sources = F.array_sort(F.collect_list(F.when(F.col("r") <= most_sources, source)))
-        links = ranked
-    made = links.groupBy("url").agg(F.min_by("title", F.when(F.col("title") != "", F.col("seq"))).alias("title"), F.count("*").alias("n_sources"), sources.alias("s"))
-    return made.select("url", F.coalesce("title", F.lit("")).alias("title"), "n_sources", F.transform("s", lambda x: x["source"]).alias("sources"))
+    made = links.groupBy("url").agg(F.min_by("title", F.when(F.col("title") != "", F.col("seq"))).alias("title"), F.count("*").alias("n_sources"), F.min_by("source", "seq").alias("first_source"))
+    return made.withColumn("title", F.coalesce("title", F.lit("")))
+
+
+def candidate_sources(links: DataFrame, by: str, within: str) -> DataFrame:
+    """Rows (url, position from 1, source) in the order of (by, within), columns of ``links`` (url, source, by, within).
+
+    Positions within one url and ``by`` are ranked and added to the count of those before, so that no task sorts all rows of a
+    url; its window has a row for each value of ``by``, with a count only.
+    """
+    counts = links.groupBy("url", by).agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("url").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = links.withColumn("i", F.row_number().over(Window.partitionBy("url", by).orderBy(within)))
+    before = counts.select(F.col("url").alias("__url"), F.col(by).alias("__by"), earlier.alias("earlier"))
+    return ranked.join(before, F.col("url").eqNullSafe(F.col("__url")) & F.col(by).eqNullSafe(F.col("__by"))).select("url", (F.col("earlier") + F.col("i")).alias("position"), "source")
 
 
 def exclude_known(candidates: DataFrame, known: DataFrame) -> DataFrame:

@@ -280,7 +280,12 @@ FROM ({synth.PAGE_FIELDS}) f WHERE NOT broken"""
 
 @query(f"SELECT label, count(*) AS total, count(*) FILTER (cohort = 'old') AS old, count(*) FILTER (cohort = 'new') AS \"new\" FROM ({_LABELS}) l GROUP BY 1")
 def a7_label_coverage(spark, sf):
-    return coverage.label_coverage(samples(spark, sf), ("old", "new")).drop("subjects")
+    return coverage.label_coverage(samples(spark, sf), ("old", "new"))
+
+
+@query(f"SELECT label, cast(k AS string) AS subject_id FROM ({_LABELS}) l")
+def a7_label_subjects(spark, sf):
+    return coverage.label_subjects(samples(spark, sf))
 
 
 @query(
@@ -366,7 +371,16 @@ def a2_list_completeness(spark, sf):
 @query(f"SELECT url, title, count(*) AS n_sources, min(uid) AS first_list FROM (SELECT uid, 'https://book.example.org/subject/' || subject || '/' AS url, 'Book ' || subject AS title FROM ({_ENTRIES}) e GROUP BY uid, subject) f GROUP BY 1, 2")
 def a6_merged_candidates(spark, sf):
     links = lists.assemble(diagnosed(spark, sf))[0].select("url", "title", F.struct("uid", "position").alias("seq"), F.struct("uid", "position").alias("source"))
-    return lists.merge_candidates(links).select("url", "title", "n_sources", F.col("sources")[0]["uid"].alias("first_list"))
+    return lists.merge_candidates(links).select("url", "title", "n_sources", F.col("first_source.uid").alias("first_list"))
+
+
+@query(
+    f"""WITH f AS (SELECT uid, subject, row_number() OVER (PARTITION BY uid ORDER BY p) AS place FROM (SELECT uid, subject, min(pos) AS p FROM ({_ENTRIES}) e GROUP BY 1, 2) g)
+SELECT 'https://book.example.org/subject/' || subject || '/' AS url, row_number() OVER (PARTITION BY subject ORDER BY uid, place) AS position, uid AS list, place AS list_position FROM f"""
+)
+def a6_candidate_sources(spark, sf):
+    links = lists.assemble(diagnosed(spark, sf))[0].withColumn("source", F.struct("uid", "position"))
+    return lists.candidate_sources(links, "uid", "position").select("url", "position", F.col("source.uid").alias("list"), F.col("source.position").cast("long").alias("list_position"))
 
 
 @query(

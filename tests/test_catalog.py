@@ -9,7 +9,7 @@ from shelfmark.functions import creators as cr
 from shelfmark.functions import names
 from shelfmark.functions import normalize as nz
 from shelfmark.functions import text as tx
-from shelfmark.operators import exports, lists, matching, merge, pagehtml, pages, validate, volumes
+from shelfmark.operators import coverage, exports, lists, matching, merge, pagehtml, pages, validate, volumes
 from shelfmark.plans import queries as catalog
 from shelfmark.schemas import BOOK, TABLES
 from shelfmark.sources import store
@@ -151,6 +151,18 @@ def test_series_assembly(spark):
     assert [r["title"] for r in volumes_.where("series = 'full'").orderBy("position").collect()] == ["V1", "V2", "V4"]
 
 
+def test_memberships_are_rows(spark):
+    rows = [("a", "", "l1", 1), ("b", "B", "l1", 2), ("a", "A", "l2", 2), ("a", "x", "l2", 1), ("a", "y", "l0", 5), ("a", "", None, 7)]
+    links = spark.createDataFrame(rows, "url string, title string, uid string, position int").withColumn("seq", F.struct("uid", "position")).withColumn("source", F.col("seq"))
+    merged = {r["url"]: (r["title"], r["n_sources"], r["first_source"]["uid"]) for r in lists.merge_candidates(links.where("uid > 'l0'")).collect()}
+    assert merged == {"a": ("x", 3, "l1"), "b": ("B", 1, "l1")}
+    found = {(r["url"], r["position"]): tuple(r["source"]) for r in lists.candidate_sources(links, "uid", "position").collect()}
+    assert found == {("a", 1): (None, 7), ("a", 2): ("l0", 5), ("a", 3): ("l1", 1), ("a", 4): ("l2", 1), ("a", 5): ("l2", 2), ("b", 1): ("l1", 2)}
+    samples = spark.createDataFrame([("1", "old", ["x", "y", "x"]), ("2", "new", ["x"]), ("2", "new", [])], "subject_id string, cohort string, labels array<string>")
+    assert sorted(map(tuple, coverage.label_subjects(samples).collect())) == [("x", "1"), ("x", "2"), ("y", "1")]
+    assert sorted(map(tuple, coverage.label_coverage(samples, ("old", "new")).collect())) == [("x", 2, 1, 1), ("y", 1, 1, 0)]
+
+
 def test_model_values(spark):
     v = lambda f: one(spark, lambda c: f(merge.json_object(c)), 'x {"pages": 3, "title": " a ", "creators": [{"creatorType": "author", "lastName": "L"}, {"creatorType": "x", "lastName": "L"}, 5], "creatorNotes": ["n", 1, ""]} y')
     assert v(lambda m: merge.variant_string(m, "$.pages")) is None and v(lambda m: merge.variant_string(m, "$.title")) == "a"
