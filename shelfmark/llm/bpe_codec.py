@@ -1,9 +1,9 @@
-"""BPE encoding and decoding with an index of pair occurrences.
+"""BPE encoding and decoding, word by word, in vectorized passes over many words.
 
 Texts are normalized (NFC, white space, lower case) and split into words; the different words of a portion of a partition are
-laid out as one run of symbols. The index gives for every position of that run the pair that starts there, by its rank. Passes
-apply each word's active ranks in ascending order, at all positions of a rank at once, and renew only the entries next to a
-merge. In a vocabulary where no merge makes a pair of lower rank than its own (checked when it is loaded) this yields, for
+laid out as one run of symbols with the rank of the pair that starts at each position. A pass takes the least rank of each word
+that still has one, merges all its places in the word, and renews the ranks next to a merge; different words merge different
+ranks in one pass, and every pass scans all symbols of unfinished words. There is no index from pairs to positions. In a vocabulary where no merge makes a pair of lower rank than its own (checked when it is loaded) this yields, for
 every word, what merging pair by pair yields.
 
 Work is per row: nothing is shuffled, and no text is cut. Null text counts as empty. The vocabulary is read from a path that
