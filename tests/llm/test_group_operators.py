@@ -3,14 +3,17 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shelfmark.llm import common, decontaminate, embedding_dedup, phrase_dedup, simhash_dedup, suffix_dedup, toxicity, windows
+from shelfmark.llm import common, decontaminate, embedding_dedup, language_id, phrase_dedup, simhash_dedup, suffix_dedup, toxicity, windows
 
 DOCS = "doc_id long, text string"
 
@@ -241,3 +244,41 @@ def test_pipeline(spark, tmp_path):
     got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 5 in got and 6 not in got and 3 not in got and 4 not in got and 0 in got
     assert got[0]["n_tokens"] > 10 and math.isclose(len(got[0]["token_ids"]), got[0]["n_tokens"])
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """All rows and columns against plain Python; only the languages are the model's."""
+    r = random.Random(4)
+    make = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(n))
+    base = make(400).split(" ")
+    near = [" ".join(base[:k] + [f"w{k}"] + base[k + 1 :]) for k in (50, 150, 250, 350)]
+    items = [(1, make(20)), (2, make(13)), (3, None)]
+    texts = [(7, "Password=abcdefgh and " + make(30)), (8, make(20) + " AKIAAKIA1234567890 token: 'abcdefgh12' " + "0123456789abcdef" * 2), (9, f"{make(5)} {items[0][1]}"), (10, f"{make(600)} {items[1][1]}"), (11, make(60)), (12, None), (13, "12 34"), (None, make(30)), (None, "12"), (None, items[1][1])]
+    texts += [(20 + i, t) for i, t in enumerate(near)] + [(None, near[0]), (30, texts[0][1]), (6, texts[4][1])] + [(40, make(25))] * 3
+    docs = [(k, t, ("en", "fr")[(k or 0) % 2], f"s{(k or 0) % 3}", len(t or "")) for k, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    predicted = {x["text"]: x["lang_pred"] for x in language_id.identify(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    left = [d for d in docs if predicted[d[1]] != language_id.UNKNOWN]
+    keyed = sorted({d[0]: d for d in left if d[0] is not None}.items())
+    f = [plain_fingerprint(d[1]) for _, d in keyed]
+    groups = union(len(f), [(a, b) for a in range(len(f)) for b in range(a) if (f[a] ^ f[b]).bit_count() <= 3])
+    left = [d for i, (_, d) in enumerate(keyed) if groups[i] == i] + [d for d in left if d[0] is None]
+    left = [d for d, found in zip(left, plain_items([d[1] for d in left], items), strict=True) if not found[-1]]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    want = []
+    for key, text, _, source, _ in left:
+        spans = [m.span() for m in re.finditer(r"""(?:password|token)["']? *[:=] *["']?[\w+/.=-]{8,}""", text, re.I | re.A)] + [m.span() for m in re.finditer("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", text)]
+        masked = text
+        for start, end in sorted(spans, reverse=True):
+            masked = masked[:start] + "[secret]" + masked[end:]
+        ids = tokenizer.encode(masked, add_special_tokens=False).ids
+        want.append((key, predicted[text], source, len(ids), ids, hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = [tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = {x[0] for x in got}
+    assert {8, 10, 20, 40, None} <= kept and not {9, 12, 13, 21, 22, 23, 30} & kept and [x[0] for x in got].count(40) == 1
