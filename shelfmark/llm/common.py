@@ -22,9 +22,11 @@ _ALNUM_TABLE = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is absent (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that setting is absent and the session is on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,7 +49,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/shelfmark-{name}-{uuid.uuid4().hex}"
     with tidy_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.shelfmark_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once what was made of them has been written itself."""
+    for df in tables:
+        path = getattr(df, "shelfmark_path", None)
+        if path:
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, *outputs: str) -> DataFrame:
+    """``df`` with each column whose name an output needs kept under that name with ``_input`` after it."""
+    needed = {o.lower() for o in outputs}
+    for c in df.columns:
+        if c.lower() in needed:
+            df = df.withColumnRenamed(c, unused(df, f"{c}_input"))
+    return df
 
 
 def alnum_words(text: str | None) -> list[bytes]:
@@ -109,6 +140,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = stars.join(least, "b")
         small = joined.select(F.col("a"), F.col("m").alias("b")).unionByName(least.select(F.col("b").alias("a"), F.col("m").alias("b")))
         new = cut(_ordered(small), "links")
+        discard(links, low, stars, least)
         # done when every node's smaller end is unique and is itself no one's larger end
         busy = new.select("b", "a").groupBy("b").agg(F.count("*").alias("n"))
         split = busy.where("n > 1").limit(1).count()

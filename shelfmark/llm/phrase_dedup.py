@@ -1,14 +1,15 @@
 """Substring deduplication with automata of recurring phrases.
 
 A word goes if a window of ``WINDOW`` consecutive words that covers it also starts in a document with a smaller key. Candidate
-regions come from ``windows``. A shard confirms which windows recur in segments of different documents, compiles them into an
-Aho-Corasick automaton over word numbers, and streams all its segments through it to locate every occurrence; those after
-the first document's are marked. Segments equal to one another are streamed once and the marks hold for each of their places,
-so every document's occurrences are found. Automata are sharded by anchor and hold a bounded number of words; they are not
-broadcast, since the number of recurring phrases grows with the corpus.
-
-Words stand between ASCII white space and stay as they are. Null text has no words. A row with a null key is kept whole. See
-``windows`` for repeated rows.
+regions come from ``windows``. A shard confirms by hashes which windows recur in segments of different documents, compiles those
+alone into an Aho-Corasick automaton over word numbers, and streams all its segments through it in the order of their documents:
+the automaton locates every occurrence, and those after the first document's are marked. Segments equal to one another are
+streamed once and the marks hold for each of their places, so every document's occurrences are found. Automata are sharded by
+anchor and hold a bounded number of words; they are not broadcast, since the number of recurring phrases grows with the corpus.
+
+Words stand between ASCII white space and stay as they are. Null text has no words. A row with a null key is kept whole. Repeated
+equal rows get equal results; of rows with one key and different texts none is the earlier one (see ``windows``). An empty table gives
+an empty one. A column of the input with the result's name stays, as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import space_words
-from .windows import Kind, as_ranges, merge_spans, repeated
+from .common import set_aside, space_words
+from .windows import Kind, Sums, as_ranges, merge_spans, mix, sizes, with_spans
 
 WINDOW = 50
 GRAM = 8
@@ -36,32 +37,27 @@ _seen: dict[bytes, int] = {}
 def _hashes(words: list[bytes]) -> np.ndarray:
     if len(_seen) > 500_000:
         _seen.clear()
-    for w in words:
-        if w not in _seen:
-            _seen[w] = xxhash.xxh64_intdigest(w, 7) | 1
-    return np.array([_seen[w] for w in words], dtype=np.uint64)
+    for w in set(words).difference(_seen):
+        _seen[w] = xxhash.xxh64_intdigest(w, 7) | 1
+    return np.fromiter(map(_seen.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def _kind(window: int, gram: int) -> Kind:
     return Kind(window, gram, space_words, _hashes, lambda w, s, e: b" ".join(w[s:e]), bytes.split)
 
 
-def _letters(words: list[bytes], known: dict[bytes, str]) -> str:
-    """One character for each word; numbers skip the surrogates."""
-    out = []
-    for w in words:
-        c = known.get(w)
-        if c is None:
-            n = len(known) + 1
-            c = known[w] = chr(n if n < 0xD800 else n + 0x800)
-        out.append(c)
-    return "".join(out)
+def _numbered(bodies: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of all bodies, one after the other, and how many words each body has. Numbers skip the surrogates."""
+    known: dict[bytes, int] = {}
+    parts = [[known.setdefault(w, len(known) + 1) for w in bytes(b).split()] for b in bodies]
+    code = np.array([c for part in parts for c in part], dtype=np.int64)
+    return np.where(code < 0xD800, code, code + 0x800), np.array([len(p) for p in parts], dtype=np.int64)
 
 
 def _marker(window: int):
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["anchor", "seg"]).sort_values(["anchor", "doc", "start"], kind="stable").reset_index(drop=True)
-        weight = (pdf["size"] + window).cumsum()
+        pdf = pdf.drop_duplicates(["anchor", "seg"]).sort_values(["anchor", "doc", "tid", "span"]).reset_index(drop=True)
+        weight = pd.Series(sizes(pdf["span"].to_numpy()) + window).cumsum()
         # whole anchors, of about AUTOMATON_WORDS words, make one automaton
         bucket = (weight // AUTOMATON_WORDS).groupby(pdf["anchor"]).transform("min")
         return pd.concat([_mark_some(part, window) for _, part in pdf.groupby(bucket)] or [as_ranges(*[np.empty(0, np.int64)] * 3)])
@@ -70,39 +66,38 @@ def _marker(window: int):
 
 
 def _mark_some(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    known: dict[bytes, str] = {}
-    lines = [_letters(bytes(b).split(), known) for b in pdf["body"]]
-    docs = pdf["doc"].tolist()
-    first: dict[str, int] = {}
-    recurs: set[str] = set()
-    for line, doc in zip(lines, docs, strict=True):
-        for i in range(len(line) - window + 1):
-            w = line[i : i + window]
-            seen = first.setdefault(w, doc)
-            if seen != doc:
-                recurs.add(w)
-                if doc < seen:
-                    first[w] = doc
-    if not recurs:
+    code, many = _numbered(pdf["body"])
+    begin, size = np.cumsum(many) - many, many - window + 1
+    row = np.repeat(np.arange(len(many)), size)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[row]
+    # windows whose hash stands in segments of two documents or more
+    h = Sums(mix(code.astype(np.uint64)), 0).every(window)[at]
+    doc = pdf["doc"].to_numpy()
+    order = np.lexsort((doc[row], h))
+    h, of = h[order], doc[row][order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    recur = head[of[np.append(head[1:], len(h)) - 1] != of[head]]
+    if not len(recur):
         return as_ranges(*[np.empty(0, np.int64)] * 3)
+    letters = code.astype("<u4").tobytes().decode("utf-32-le")
     machine = ahocorasick.Automaton()
-    for w in recurs:
-        machine.add_word(w, first[w])
+    for k, p in enumerate(at[order[recur]].tolist()):
+        machine.add_word(letters[p : p + window], k)
     machine.make_automaton()
-    row, off = [], []
-    for k, (line, doc) in enumerate(zip(lines, docs, strict=True)):
-        for end, where in machine.iter(line):
-            if where < doc:
-                row.append(k)
+    first: dict[int, int] = {}
+    found, off = [], []
+    for k, (b, n, own) in enumerate(zip(begin.tolist(), many.tolist(), doc.tolist(), strict=True)):
+        for end, which in machine.iter(letters[b : b + n]):
+            if first.setdefault(which, own) < own:
+                found.append(k)
                 off.append(end - window + 1)
-    row = np.array(row, dtype=np.int64)
-    return as_ranges(pdf["anchor"].to_numpy()[row], pdf["seg"].to_numpy()[row], np.array(off, dtype=np.int64))
+    found = np.array(found, dtype=np.int64)
+    return as_ranges(pdf["anchor"].to_numpy()[found], pdf["seg"].to_numpy()[found], np.array(off, dtype=np.int64))
 
 
 def remove_phrases(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, out_col: str = "dedup") -> DataFrame:
     """``docs`` with a struct of the number of words, the removed runs of words and the kept words."""
-    slim = docs.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated(slim, _kind(window, min(GRAM, max(1, window // 3))), _marker(window), within=False)
+    docs, s = with_spans(set_aside(docs, out_col), key_col, text_col, _kind(window, min(GRAM, max(1, window // 3))), _marker(window), within=False)
 
     @F.pandas_udf(RESULT)
     def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -117,8 +112,7 @@ def remove_phrases(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
                 rows.append((len(words), [{"start": s, "end": e} for s, e in runs], b" ".join(kept + words[at:]).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["n_words", "removed", "kept"])
 
-    joined = docs.join(spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans")), F.col(key_col).cast("long") == F.col("__doc"), "left")
-    return joined.withColumn(out_col, strip(F.col(text_col), F.col("__spans"))).drop("__doc", "__spans")
+    return docs.withColumn(out_col, strip(F.col(text_col), F.col(s))).drop(s)
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ it in suffix order, that start earlier in that text. A window is marked if that
 on the input, not on what is left.
 
 Null text counts as empty. Nothing of a row with a null key is removed. Kept bytes may cut a character in two; the result is
-binary. See ``windows`` for repeated rows.
+binary. Repeated equal rows get equal results; rows with one key and different texts follow each other in the order of a hash of
+their texts, so a string in both goes from the second (see ``windows``). An empty table gives an empty one. A column of the input with the
+result's name stays, as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import Kind, as_ranges, merge_spans, repeated
+from .common import set_aside
+from .windows import Kind, as_ranges, merge_spans, sizes, with_spans
 
 LENGTH = 100
 GRAM = 32
@@ -37,19 +40,34 @@ def _kind(length: int, gram: int) -> Kind:
     return Kind(length, gram, _bytes, lambda b: _BYTE[np.frombuffer(b, dtype=np.uint8)], lambda b, s, e: b[s:e], lambda b: b)
 
 
+def _dense(key: np.ndarray, most: int) -> np.ndarray:
+    """The rank of each key (none above ``most``) among the different keys."""
+    n = len(key)
+    bits = max(1, n.bit_length())
+    if most.bit_length() + bits <= 63:  # key and place in one number: sorting numbers is much faster than sorting places
+        both = np.sort(key << bits | np.arange(n))
+        order, key = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.cumsum(np.diff(key, prepend=-1) != 0)
+    return rank
+
+
 def prefix_ranks(data: np.ndarray, depth: int) -> list[np.ndarray]:
     """Ranks of the suffixes by their first 1, 2, 4, ... bytes, up to ``depth`` or more; an end sorts first."""
-    ranks, size = [data.astype(np.int64) + 1], 1
+    ranks, size, most = [data.astype(np.int64) + 1], 1, 256
     while size < depth:
         r = ranks[-1]
         nxt = np.zeros_like(r)
         nxt[: len(r) - size] = r[size:]
-        key = r * (int(r.max(initial=0)) + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        rank = np.empty_like(r)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
-        ranks.append(rank)
+        key, most = r * (most + 1) + nxt, most * (most + 2)
         size *= 2
+        if size > 2:  # two bytes are their own rank
+            key = _dense(key, most)
+            most = int(key.max(initial=0))
+        ranks.append(key)
     return ranks
 
 
@@ -94,8 +112,8 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, depth: int) -
 
 def _marker(length: int):
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["anchor", "seg"]).sort_values(["doc", "start"], kind="stable")
-        size = pdf["size"].to_numpy().astype(np.int64)
+        pdf = pdf.drop_duplicates(["anchor", "seg"]).sort_values(["doc", "tid", "span"])
+        size = sizes(pdf["span"].to_numpy())
         data = np.frombuffer(b"".join(pdf["body"]), dtype=np.uint8)
         begin = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])
         row = np.repeat(np.arange(len(size)), size)
@@ -109,8 +127,7 @@ def _marker(length: int):
 
 def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, out_col: str = "dedup") -> DataFrame:
     """``docs`` with a struct of the number of bytes, the removed runs and the kept bytes."""
-    slim = docs.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated(slim, _kind(length, min(GRAM, max(1, length // 3))), _marker(length), within=True)
+    docs, s = with_spans(set_aside(docs, out_col), key_col, text_col, _kind(length, min(GRAM, max(1, length // 3))), _marker(length), within=True)
 
     @F.pandas_udf(RESULT)
     def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -125,8 +142,7 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
                 rows.append((len(data), [{"start": s, "end": e} for s, e in runs], b"".join([*kept, data[at:]])))
             yield pd.DataFrame(rows, columns=["n_bytes", "removed", "kept"])
 
-    joined = docs.join(spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans")), F.col(key_col).cast("long") == F.col("__doc"), "left")
-    return joined.withColumn(out_col, strip(F.col(text_col), F.col("__spans"))).drop("__doc", "__spans")
+    return docs.withColumn(out_col, strip(F.col(text_col), F.col(s))).drop(s)
 
 
 def digest(done: DataFrame) -> DataFrame:

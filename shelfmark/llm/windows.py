@@ -2,19 +2,23 @@
 
 A window is ``window`` consecutive units (bytes or words) of one document. Its anchor is the smallest mixed hash of the
 ``gram``-unit runs in it, so equal windows have equal anchors. Consecutive windows with one anchor form a segment; there is one
-for about half a window's length. Only segments are shuffled, as (anchor, hash, document, start, windows):
+for about half a window's length. Only segments are shuffled, as (anchor, hash, document, place); they are computed once and
+written as a table:
 
 1. anchors that occur once anywhere hold no repeated window and are dropped after one aggregation;
 2. of segments with equal anchor and hash (128 bits of the content together), every one but the first is repeated whole;
 3. an anchor with different segments, or a segment with its anchor twice, is ``mixed``: the text of the first of each of its
    segments goes to a shard chosen by the anchor, where the operator's own method marks the windows that also start in an
-   earlier segment. Anchors with more than ``HOT`` different segments are dealt window by window instead.
+   earlier segment. An anchor with more than ``HOT`` different segments would outgrow its shard: its windows become segments of
+   their own (one window each), so that rule 2 settles them.
 
 Aggregations have map-side minima and the joins read written tables, so a passage that stands in a third of all documents, or
 any number of copies, never gathers in one task. Texts are shuffled two times, as join partners of what concerns them.
 
-Keys: one row for each key is expected; repeated equal rows count as one document. Rows with a null key are kept whole and are
-no one's earlier occurrence.
+A document is a row, known by its key and a hash of its text (``doc``, ``tid``). Repeated equal rows count as one document.
+Rows with one key and different texts are different documents, ordered by key and then by that hash, and no span of one of them
+is applied to another. Rows with a null key are kept whole and are no one's earlier occurrence. Texts shorter than a window, null
+texts and empty tables have no spans.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, unused
 
-HOT = 20_000
-SHARD_UNITS = 1 << 21
+HOT = 4_000
+SHARD_BYTES = 3 << 18
 SPANS = "array<struct<start:int,end:int>>"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -133,103 +137,142 @@ def segments(units: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
 
 
 def _scan(docs: DataFrame, kind: Kind) -> DataFrame:
-    """All segments: anchor, seg, doc, start, size, again."""
+    """All segments: anchor, seg, doc, tid and span, which packs start, number of windows and whether the anchor stands again."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts: list[tuple] = []
-            docs_, many, held = [], [], 0
-            for doc, text in zip(pdf["doc"].tolist(), pdf["text"].tolist(), strict=True):
+            rows, many, held = [], [], 0
+            for doc, tid, text in zip(pdf["doc"].tolist(), pdf["tid"].tolist(), pdf["text"].tolist(), strict=True):
                 units = kind.hashes(kind.split(text))
                 if len(units) < kind.window:
                     continue
                 got = segments(units, kind)
                 parts.append(got)
-                docs_.append(doc)
+                rows.append((doc, tid))
                 many.append(len(got[0]))
                 held += len(got[0])
                 if held > 200_000:
-                    yield _rows(docs_, many, parts)
-                    parts, docs_, many, held = [], [], [], 0
+                    yield _rows(rows, many, parts)
+                    parts, rows, many, held = [], [], [], 0
             if parts:
-                yield _rows(docs_, many, parts)
+                yield _rows(rows, many, parts)
 
-    return docs.where("doc is not null and text is not null").mapInPandas(scan, "anchor long, seg long, doc long, start int, size int, again boolean")
+    return docs.mapInPandas(scan, "anchor long, seg long, doc long, tid long, span long")
 
 
-def _rows(docs: list[int], many: list[int], parts: list[tuple]) -> pd.DataFrame:
+def _rows(rows: list[tuple[int, int]], many: list[int], parts: list[tuple]) -> pd.DataFrame:
     anchor, seg, start, size, again = (np.concatenate(c) for c in zip(*parts, strict=True))
-    return pd.DataFrame({"anchor": anchor, "seg": seg, "doc": np.repeat(np.array(docs, dtype=np.int64), many), "start": start.astype(np.int32), "size": size.astype(np.int32), "again": again})
+    doc, tid = np.array(rows, dtype=np.int64).T
+    return pd.DataFrame({"anchor": anchor, "seg": seg, "doc": np.repeat(doc, many), "tid": np.repeat(tid, many), "span": start.astype(np.int64) << 32 | size.astype(np.int64) << 1 | again})
+
+
+def starts(span):
+    return span >> 32
+
+
+def sizes(span):
+    """Numbers of windows."""
+    return (span & 0xFFFFFFFF) >> 1
+
+
+def _start() -> Column:
+    return F.shiftright("span", 32).cast("int")
+
+
+def _size() -> Column:
+    return F.shiftright(F.col("span").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), 1).cast("int")
 
 
 def _texts(docs: DataFrame, reps: DataFrame, kind: Kind) -> DataFrame:
-    """The bytes of segments, taken from their documents: anchor, seg, doc, start, size, hot, body."""
-    wanted = reps.groupBy("doc").agg(F.collect_list(F.struct("anchor", "seg", "start", "size", "hot")).alias("wanted"))
-    joined = docs.where("doc is not null")
+    """The bytes of segments, taken from their documents: anchor, seg, doc, tid, span, hot, body."""
+    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "seg", "span", "hot")).alias("wanted"))
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text, wanted_ in zip(pdf["doc"], pdf["text"], pdf["wanted"], strict=True):
+            for doc, tid, text, wanted_ in zip(pdf["doc"], pdf["tid"], pdf["text"], pdf["wanted"], strict=True):
                 parts = kind.split(text)
-                rows += [(w["anchor"], w["seg"], doc, w["start"], w["size"], w["hot"], kind.cut(parts, w["start"], w["start"] + w["size"] + kind.window - 1)) for w in wanted_]
+                for w in wanted_:
+                    start = starts(w["span"])
+                    rows.append((w["anchor"], w["seg"], doc, tid, w["span"], w["hot"], kind.cut(parts, start, start + sizes(w["span"]) + kind.window - 1)))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=_TEXT_COLS)
                     rows = []
             yield pd.DataFrame(rows, columns=_TEXT_COLS)
 
-    return joined.join(wanted, "doc").select("doc", "text", "wanted").mapInPandas(take, "anchor long, seg long, doc long, start int, size int, hot boolean, body binary")
+    return docs.join(wanted, ["doc", "tid"]).select("doc", "tid", "text", "wanted").mapInPandas(take, "anchor long, seg long, doc long, tid long, span long, hot boolean, body binary")
 
 
-_TEXT_COLS = ["anchor", "seg", "doc", "start", "size", "hot", "body"]
+_TEXT_COLS = ["anchor", "seg", "doc", "tid", "span", "hot", "body"]
 
 
-def _by_window(segs: DataFrame, kind: Kind, within: bool) -> DataFrame:
-    """Marked windows of anchors with very many segments, through the hashes (128 bits) of single windows."""
+def _by_window(segs: DataFrame, kind: Kind, within: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Marked windows of anchors with very many segments, each window a segment by itself, and the tables it rests on."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for anchor, seg, doc, start, body in zip(pdf["anchor"], pdf["seg"], pdf["doc"], pdf["start"], pdf["body"], strict=True):
+            for anchor, seg, doc, tid, span, body in zip(*(pdf[c] for c in ("anchor", "seg", "doc", "tid", "span", "body")), strict=True):
                 units = kind.hashes(kind.again(body))
                 h = [Sums(units, k).every(kind.window).view(np.int64) for k in (0, 1)]
-                out.append(pd.DataFrame({"h1": h[0], "h2": h[1], "doc": doc, "place": start + np.arange(len(h[0])), "anchor": anchor, "seg": seg, "off": np.arange(len(h[0]))}))
+                off = np.arange(len(h[0]))
+                out.append(pd.DataFrame({"h1": h[0], "h2": h[1], "doc": doc, "tid": tid, "place": starts(span) + off, "anchor": anchor, "seg": seg, "off": off}))
             if out:
                 yield pd.concat(out).astype({"place": "int32", "off": "int32"})
 
-    rows = cut(segs.select("anchor", "seg", "doc", "start", "body").mapInPandas(windows, "h1 long, h2 long, doc long, place int, anchor long, seg long, off int"), "hot-windows")
-    first = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first")), "hot-first")
-    later = F.struct("doc", "place") > F.col("first") if within else F.col("doc") > F.col("first.doc")
-    return rows.join(first, ["h1", "h2"]).where(later).select("anchor", "seg", F.col("off").alias("low"), (F.col("off") + 1).alias("high"))
+    rows = cut(segs.select("anchor", "seg", "doc", "tid", "span", "body").mapInPandas(windows, "h1 long, h2 long, doc long, tid long, place int, anchor long, seg long, off int"), "hot-windows")
+    first = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tid", "place")).alias("first")), "hot-first")
+    later = F.struct("doc", "tid", "place") > F.col("first") if within else F.col("doc") > F.col("first.doc")
+    return rows.join(first, ["h1", "h2"]).where(later).select("anchor", "seg", F.col("off").alias("low"), (F.col("off") + 1).alias("high")), [rows, first]
 
 
 def repeated(docs: DataFrame, kind: Kind, mark: Callable[[pd.DataFrame], pd.DataFrame], within: bool) -> DataFrame:
-    """For each document with repeated windows, its key ``doc`` and the merged ``spans`` of units that they cover.
+    """For each document with repeated windows, ``doc``, ``tid`` and the merged ``spans`` of units that they cover.
 
-    docs: doc (long), text. mark: for a shard's segments (rows like ``_texts``), rows anchor, seg, low, high: window offsets that
-    also start earlier. within: whether an earlier start in the same document counts.
+    docs: doc (long), tid (long), text. mark: for a shard's segments (rows like ``_texts``), rows anchor, seg, low, high: window
+    offsets that also start earlier. within: whether an earlier start in the same document, or in another one with its key, counts.
     """
-    found = _scan(docs, kind)
-    live = found.groupBy("anchor").agg(F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.count("*").alias("n"), F.max("again").alias("again"))
-    live = cut(live.where("n > 1 or again").select("anchor", (F.col("again") | (F.col("s0") != F.col("s1"))).alias("mixed")), "anchors")
-    places = cut(found.select("anchor", "seg", "doc", "start", "size").join(live, "anchor"), "places")
-    classes = cut(places.groupBy("anchor", "seg", "mixed").agg(F.min(F.struct("doc", "start", "size")).alias("first"), F.count("*").alias("n")), "classes")
+    docs = docs.where("doc is not null and text is not null")
+    found = cut(_scan(docs, kind), "segments")
+    if found.where(_start() == 0).groupBy("doc", "tid").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        discard(found)
+        docs = cut(docs.dropDuplicates(["doc", "tid"]), "different-rows")
+        found = cut(_scan(docs, kind), "segments")
+    live = found.groupBy("anchor").agg(F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.count("*").alias("n"), F.max(F.col("span").bitwiseAND(F.lit(1).cast("long"))).alias("again"))
+    live = cut(live.where("n > 1 or again = 1").select("anchor", ((F.col("again") == 1) | (F.col("s0") != F.col("s1"))).alias("mixed")), "anchors")
+    places = cut(found.join(live, "anchor"), "places")
+    discard(found)
+    classes = cut(places.groupBy("anchor", "seg", "mixed").agg(F.min(F.struct("doc", "tid", "span")).alias("first"), F.count("*").alias("n")), "classes")
     mixed = classes.where("mixed")
     many = cut(mixed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    reps = mixed.select("anchor", "seg", "first.doc", "first.start", "first.size").join(many, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    reps = mixed.select("anchor", "seg", "first.doc", "first.tid", "first.span").join(many, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     bodies = cut(_texts(docs, reps, kind), "bodies")
-    units = bodies.where("not hot").agg(F.sum(F.col("size") + kind.window).alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(units / SHARD_UNITS))
+    held = bodies.where("not hot").agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
+    shards = max(1, math.ceil(held / SHARD_BYTES))
     marked = bodies.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit("shard")), F.lit(shards))).groupBy("shard").applyInPandas(mark, "anchor long, seg long, low int, high int")
+    hot_tables: list[DataFrame] = []
     if many.limit(1).count():
-        marked = marked.unionByName(_by_window(bodies.where("hot"), kind, within))
+        by_window, hot_tables = _by_window(bodies.where("hot"), kind, within)
+        marked = marked.unionByName(by_window)
     marks = marked.groupBy("anchor", "seg").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
     judged = cut(classes.where("mixed or n > 1").join(marks, ["anchor", "seg"], "left").where("n > 1 or marks is not null").select("anchor", "seg", "first", "marks"), "judged")
-    later = F.struct("doc", "start") > F.struct("first.doc", "first.start") if within else F.col("doc") > F.col("first.doc")
-    whole = F.array(F.struct(F.lit(0).alias("low"), F.col("size").alias("high")))
-    pieces = places.select("anchor", "seg", "doc", "start", "size").join(judged, ["anchor", "seg"]).select("doc", "start", F.when(later, whole).otherwise(F.col("marks")).alias("marks")).where("marks is not null")
+    later = F.struct("doc", "tid", "span") > F.col("first") if within else F.col("doc") > F.col("first.doc")
+    whole = F.array(F.struct(F.lit(0).alias("low"), _size().alias("high")))
+    pieces = places.drop("mixed").join(judged, ["anchor", "seg"]).select("doc", "tid", _start().alias("start"), F.when(later, whole).otherwise(F.col("marks")).alias("marks")).where("marks is not null")
     spans = F.transform("marks", lambda m: F.struct((F.col("start") + m["low"]).alias("start"), (F.col("start") + m["high"] + kind.window - 1).alias("end")))
-    return cut(pieces.select("doc", spans.alias("spans")).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    done = cut(pieces.select("doc", "tid", spans.alias("spans")).groupBy("doc", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    discard(docs, live, places, classes, many, bodies, judged, *hot_tables)
+    return done
+
+
+def with_spans(docs: DataFrame, key_col: str, text_col: str, kind: Kind, mark: Callable[[pd.DataFrame], pd.DataFrame], within: bool) -> tuple[DataFrame, str]:
+    """``docs`` with a column of each row's own spans (null where there are none), and that column's name."""
+    doc, tid = F.col(key_col).cast("long"), F.xxhash64(F.col(text_col))
+    spans = repeated(docs.select(doc.alias("doc"), tid.alias("tid"), F.col(text_col).alias("text")), kind, mark, within)
+    k, t, s = (unused(docs, n) for n in ("span_doc", "span_tid", "span_list"))
+    found = spans.select(F.col("doc").alias(k), F.col("tid").alias(t), F.col("spans").alias(s))
+    return docs.join(found, (doc == F.col(k)) & (tid == F.col(t)), "left").drop(k, t), s
 
 
 def merge_spans(spans) -> list[tuple[int, int]]:
