@@ -1,13 +1,15 @@
-"""BPE encoding and decoding, word by word, in vectorized passes over many words.
-
-Texts are normalized (NFC, white space, lower case) and split into words; the different words of a portion of a partition are
-laid out as one run of symbols with the rank of the pair that starts at each position. A pass takes the least rank of each word
-that still has one, merges all its places in the word, and renews the ranks next to a merge; different words merge different
-ranks in one pass, and every pass scans all symbols of unfinished words. There is no index from pairs to positions. In a vocabulary where no merge makes a pair of lower rank than its own (checked when it is loaded) this yields, for
-every word, what merging pair by pair yields.
-
-Work is per row: nothing is shuffled, and no text is cut. Null text counts as empty. The vocabulary is read from a path that
-every executor has (a parameter); it is never copied into data.
+"""BPE encoding and decoding through an index of pair occurrences.
+
+Texts are normalized (NFC, white space, lower case) and split into words. The different words of a portion of a partition are
+laid out as one chain of symbols, and an index maps each pair that merges, by its rank, to all its positions. The active ranks
+are applied in ascending order: at all positions of a rank that still hold its pair the two symbols become one, and the pairs
+that this makes with the neighbours are added to the lists of their own ranks. In a vocabulary where no merge makes a pair of
+lower rank than its own (checked when it is loaded) each rank comes up once, and every word ends as if it were merged alone.
+Ranks with few positions are applied one by one, others as arrays.
+
+Work is per row: nothing is shuffled, and no text is cut. Null text counts as empty, repeated rows get equal results, and an empty
+table gives an empty one. A column of the input with an output's name stays, as ``<name>_input``. The vocabulary is read from a
+path that every executor has (a parameter); it is never copied into data.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -24,7 +28,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PORTION, portions
+from .common import PORTION, portions, set_aside, unused
+
+FEW = 40  # positions of a rank that are merged one by one
+SLICE = 1 << 19  # characters whose results leave a worker at once
 
 # White space as Unicode's White_Space property has it.
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -63,8 +70,11 @@ class Vocabulary:
             pairs.append((a * self.size + b, rank, c))
         pairs.sort()
         self.pairs, self.ranks, _ = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
-        self.merged = np.array([c for _, _, c in sorted(pairs, key=lambda x: x[1])], dtype=np.int64)
+        by_rank = sorted(pairs, key=lambda x: x[1])
+        self.merged = np.array([c for _, _, c in by_rank], dtype=np.int64)
         self.none = len(self.merged)
+        self.parts = [(*divmod(pair, self.size), made) for pair, _, made in by_rank]
+        self.rank_by_pair = dict(zip(self.pairs.tolist(), self.ranks.tolist(), strict=True))
         self.words = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         names = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("|".join(map(re.escape, names))) if names else None
@@ -76,49 +86,12 @@ class Vocabulary:
         return np.where(self.pairs[at] == key, self.ranks[at], self.none)
 
     def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all words one after the other, and how many each has, through one index of pair positions.
-
-        The index holds at each position the rank of the pair that starts there. A pass takes in every word its lowest active
-        rank, merges all positions of that rank and renews the entries of the pairs next to them; words without an active rank
-        leave. Within a word ranks are thus applied in ascending order.
-        """
+        """Token ids of all words one after the other, and how many each has, through the index of pair occurrences."""
         size = np.array([len(w) for w in words], dtype=np.int64)
-        data = np.frombuffer(b"".join(words), dtype=np.uint8)
-        symbol = self.inner[data]
-        ends = np.cumsum(size) - 1
-        symbol[ends] = self.last[data[ends]]
-        word = np.repeat(np.arange(len(words)), size)
-        rank = np.full(len(symbol), self.none, dtype=np.int64)
-        inside = np.flatnonzero(word[1:] == word[:-1])
-        rank[inside] = self.rank_of(symbol[inside], symbol[inside + 1])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbol):
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            low = np.minimum.reduceat(rank, first)
-            least = np.repeat(low, np.diff(np.append(first, len(word))))
-            active = least < self.none
-            if not active.all():
-                done.append((word[~active], symbol[~active]))
-                word, symbol, rank, least = word[active], symbol[active], rank[active], least[active]
-                if not len(symbol):
-                    break
-            at = np.flatnonzero(rank == least)
-            head = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # in aaa only the first of two overlapping pairs merges
-            at = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0]
-            symbol[at] = self.merged[rank[at]]
-            stays = np.ones(len(symbol), dtype=bool)
-            stays[at + 1] = False
-            at = at - np.arange(len(at))  # as many symbols before each one have gone as merges
-            word, symbol, rank = word[stays], symbol[stays], rank[stays]
-            near = np.concatenate([at, at[at > 0] - 1])
-            paired = near + 1 < len(word)
-            rank[near[~paired]] = self.none
-            near = near[paired]
-            rank[near] = np.where(word[near] == word[near + 1], self.rank_of(symbol[near], symbol[near + 1]), self.none)
-        if not done:
-            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
-        word, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
-        return symbol[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+        chain = Chain(self, b"".join(words), size)
+        chain.merge()
+        left = np.flatnonzero(chain.symbol >= 0)
+        return chain.symbol[left].astype(np.int64), np.bincount(np.repeat(np.arange(len(words)), size)[left], minlength=len(words))
 
     def pieces(self, chunk: str) -> list[str]:
         """The words of a run without white space."""
@@ -175,6 +148,100 @@ class Vocabulary:
             return " ".join(self.names[i] for i in ids if i < self.size)
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once; the array may be empty."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+class Chain:
+    """Words as linked symbols, and the positions of every pair that merges, by rank.
+
+    A symbol that went into its left neighbour is -1. The lists may hold positions whose pair has changed since; they are looked
+    at again when their rank comes up.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, data: bytes, size: np.ndarray):
+        self.vocabulary = vocabulary
+        bytes_ = np.frombuffer(data, dtype=np.uint8)
+        n = len(bytes_)
+        ends = np.cumsum(size)[size > 0] - 1
+        symbol = vocabulary.inner[bytes_]
+        symbol[ends] = vocabulary.last[bytes_[ends]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends] = -1
+        before[ends[:-1] + 1] = -1
+        # each column twice: as an array for long lists of positions, as machine integers for short ones
+        self.columns = [array("q", x.astype(np.int64).tobytes()) for x in (symbol, after, before)]
+        self.symbol, self.after, self.before = (np.frombuffer(c, dtype=np.int64) for c in self.columns)
+        self.waiting: list[int] = []
+        self.places: dict[int, list] = {}
+        self.add(np.flatnonzero(self.after >= 0))
+
+    def add(self, at: np.ndarray) -> None:
+        """Enters the pairs that start at these positions."""
+        rank = self.vocabulary.rank_of(self.symbol[at], self.symbol[self.after[at]])
+        at, rank = at[rank < self.vocabulary.none], rank[rank < self.vocabulary.none]
+        if not len(at):
+            return
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        head = np.flatnonzero(np.diff(rank, prepend=-1))
+        for r, some in zip(rank[head].tolist(), np.split(at, head[1:]), strict=True):
+            self.list_of(r).append(some)
+
+    def list_of(self, rank: int) -> list:
+        if rank not in self.places:
+            self.places[rank] = []
+            heappush(self.waiting, rank)
+        return self.places[rank]
+
+    def merge(self) -> None:
+        while self.waiting:
+            rank = heappop(self.waiting)
+            lists = self.places.pop(rank)
+            few = sum(1 if isinstance(x, int) else len(x) for x in lists)
+            if few <= FEW:
+                self.merge_few(rank, sorted({p for x in lists for p in ((x,) if isinstance(x, int) else x.tolist())}))
+            else:
+                self.merge_many(rank, _different(np.concatenate([[x] if isinstance(x, int) else x for x in lists])))
+
+    def merge_few(self, rank: int, places: list[int]) -> None:
+        symbol, after, before = self.columns
+        a, b, made = self.vocabulary.parts[rank]
+        known, size = self.vocabulary.rank_by_pair, self.vocabulary.size
+        for p in places:
+            q = after[p]
+            if symbol[p] != a or q < 0 or symbol[q] != b:
+                continue
+            symbol[p], symbol[q] = made, -1
+            after[p] = s = after[q]
+            if s >= 0:
+                before[s] = p
+                if (r := known.get(made * size + symbol[s])) is not None:
+                    self.list_of(r).append(p)
+            t = before[p]
+            if t >= 0 and (r := known.get(symbol[t] * size + made)) is not None:
+                self.list_of(r).append(t)
+
+    def merge_many(self, rank: int, at: np.ndarray) -> None:
+        symbol, after, before = self.symbol, self.after, self.before
+        a, b, made = self.vocabulary.parts[rank]
+        at = at[symbol[at] == a]
+        right = after[at]
+        holds = (right >= 0) & (symbol[right] == b)
+        at, right = at[holds], right[holds]
+        if a == b and len(at):  # in aaa only the first of two overlapping pairs merges
+            head = np.flatnonzero(np.concatenate([[True], right[:-1] != at[1:]]))
+            first = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0
+            at, right = at[first], right[first]
+        symbol[at], symbol[right] = made, -1
+        after[at] = beyond = after[right]
+        before[beyond[beyond >= 0]] = at[beyond >= 0]
+        ahead = before[at]
+        self.add(_different(np.concatenate([at[beyond >= 0], ahead[ahead >= 0]])))
+
+
 def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``values`` that ``which`` names, one after the other, and their sizes."""
     many = size[which]
@@ -187,14 +254,26 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _batches(batches: Iterator[pd.Series], vocabulary: Vocabulary) -> Iterator[list[np.ndarray]]:
+    """Ids of the texts, indexed by portions and handed on in slices."""
+    for texts in portions(batches, PORTION):
+        texts = ["" if t is None else t for t in texts]
+        ids = vocabulary.encode_batch(texts)
+        begin, held = 0, 0
+        for end, t in enumerate(texts, 1):
+            held += len(t)
+            if held > SLICE or end == len(texts):
+                yield ids[begin:end]
+                begin, held = end, 0
+
+
 def encode(text: Column, path: str) -> Column:
     """Token ids of a text."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = load(path)
-        for texts in portions(batches, PORTION // 4):
-            yield pd.Series(vocabulary.encode_batch(["" if t is None else t for t in texts]), dtype=object)
+        for found in _batches(batches, load(path)):
+            yield pd.Series(found, dtype=object)
 
     return ids(text)
 
@@ -217,8 +296,7 @@ def encode_and_decode(text: Column, path: str) -> Column:
     @F.pandas_udf("struct<ids:array<int>,decoded:string>")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vocabulary = load(path)
-        for texts in portions(batches, PORTION // 8):
-            ids = vocabulary.encode_batch(["" if t is None else t for t in texts])
+        for ids in _batches(batches, vocabulary):
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": [vocabulary.decode(x.tolist()) for x in ids]})
 
     return both(text)
@@ -226,9 +304,10 @@ def encode_and_decode(text: Column, path: str) -> Column:
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = "decoded") -> DataFrame:
     """``docs`` with the token ids of the text and, if asked for, their decoded text."""
+    docs = set_aside(docs, ids_col, *([decoded_col] if decoded_col else []))
     if not decoded_col:
         return docs.withColumn(ids_col, encode(F.col(text_col), path))
-    named = "__tokens"
+    named = unused(docs, "both")
     out = docs.withColumn(named, encode_and_decode(F.col(text_col), path))
     return out.withColumns({ids_col: F.col(f"{named}.ids"), decoded_col: F.col(f"{named}.decoded")}).drop(named)
 

@@ -80,6 +80,26 @@ def test_bpe(make_docs):
         assert got[i]["decoded_sha256"] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_pair_index(monkeypatch, few):
+    """Long and short lists of positions, each way alone, against merging the least rank of one word at a time."""
+    monkeypatch.setattr(bpe_codec, "FEW", few)
+    vocabulary = bpe_codec.load(public_tokenizers.path("word_bpe_49k.json"))
+    words = [w.encode() for w in ["", "a", "aa", "aaaaa", "aaaaaaaa", "banana", "mississippi", "abababab", "the", "ééé", *"it is the house of the people".split()]]
+    ids, many = vocabulary.merge_all(words)
+    want = []
+    for w in words:
+        symbols = [int(vocabulary.inner[b]) for b in w[:-1]] + [int(vocabulary.last[b]) for b in w[-1:]]
+        while True:
+            ranks = [vocabulary.rank_by_pair.get(a * vocabulary.size + b, vocabulary.none) for a, b in zip(symbols, symbols[1:], strict=False)]
+            if min(ranks, default=vocabulary.none) == vocabulary.none:
+                break
+            at = ranks.index(min(ranks))
+            symbols[at : at + 2] = [int(vocabulary.merged[ranks[at]])]
+        want.append(symbols)
+    assert ids.tolist() == [x for s in want for x in s] and many.tolist() == [len(s) for s in want]
+
+
 LICENSES = ODD + [
     "Released under the MIT License. under the mit license", "Apache License, Version 2.0; CC BY-NC cc-by nc", "under the mit licenses",
     "SPDX-License-Identifier: MIT OR (Apache-2.0 AND BSD-3-Clause)\nrest", "spdx license identifier gpl-2.0 WITH Classpath-exception-2.0", "SPDX-License-Identifier: MIT OR",
