@@ -2,11 +2,14 @@
 
 A linear one-versus-rest machine picks the language family; within the family one-versus-one linear support vector machines
 vote between the languages. Features are relative frequencies of hashed byte n-grams of the whole lower-cased text. Training
-uses a bounded sample of labelled rows (``PER_LANGUAGE`` expected per language, spread by a hash of the key); the n-gram
-frequencies are counted on Spark and only that many small vectors reach the driver. Prediction is a sum of weights per
-n-gram inside each task.
-
-A text that is null or has no letter is ``und`` with score 0. Without any learnable language every text is ``und``.
+uses a bounded sample of labelled rows: of the ``MOST_LANGUAGES`` languages with the most different texts about
+``PER_LANGUAGE`` different texts each, and about ``MOST_ROWS`` in all, spread by a hash of the text; a text counts once for a
+language, however many rows hold it. The n-gram frequencies are counted on Spark and only that many small vectors reach the
+driver. Prediction is a sum of weights per n-gram inside each task.
+
+A text that is null or has no letter is ``und`` with score 0. Without any learnable language every text is ``und``. Repeated
+rows and keys get equal results for equal texts; an empty table gives an empty one. A null key is not held out. Columns of the input with the
+outputs' names stay, as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions
+from .common import portions, set_aside, unused
 
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 PER_LANGUAGE = 300
+MOST_LANGUAGES = 64
+MOST_ROWS = 3000
 CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -118,19 +123,31 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3) ->
     return w, float(b)
 
 
-def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from the rows where ``may_learn`` holds and the language is not null; None if there are none.
+def sample(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_rows: int = MOST_ROWS, text_col: str = "text", lang_col: str = "lang") -> DataFrame | None:
+    """Rows (lang, text) to learn from; None if no row may be learned from. A text and language appear once.
 
-    Of each language the rows whose key's hash falls below a threshold are taken, so that about ``per_language`` are expected.
+    Of each language the texts whose hash falls below a threshold are taken, so that about ``per_language`` are expected, fewer
+    where that many for each language would be over ``most_rows``.
     """
-    known = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    known = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = known.withColumn("mark", F.xxhash64("text", F.lit("language sample")))
+    different = known.groupBy("lang", "mark").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("n"))
+    rows = {r["lang"]: r["n"] for r in different.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not rows:
         return None
-    part = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.lit("language sample")), F.lit(1_000_000)).cast("double")
+    each = min(per_language, most_rows / len(rows))
+    share = F.pmod("mark", F.lit(1_000_000)).cast("double")
     take = F.lit(False)
     for lang, n in rows.items():
-        take = take | ((F.col(lang_col) == lang) & (part < 1_000_000 * min(1.0, per_language / n)))
+        take = take | ((F.col("lang") == lang) & (share < 1_000_000 * min(1.0, each / n)))
+    return known.where(take).dropDuplicates(["lang", "mark"]).select("lang", "text")
+
+
+def train(docs: DataFrame, may_learn: Column, **params) -> Model | None:
+    """A model from a sample of the rows where ``may_learn`` holds and the language is not null; None if there are none."""
+    chosen = sample(docs, may_learn, **params)
+    if chosen is None:
+        return None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,7 +157,7 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE,
                 made.append((np.bincount(grams[: own[0]], minlength=BUCKETS) / own[0]).astype(np.float32).tobytes())
             yield pd.DataFrame({"lang": pdf["lang"], "x": made})
 
-    got = known.where(take).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, x binary").toPandas()
+    got = chosen.mapInPandas(count, "lang string, x binary").toPandas()
     if not len(got):
         return None
     return fit(np.frombuffer(b"".join(got["x"]), dtype=np.float32).reshape(len(got), BUCKETS), got["lang"].to_numpy())
@@ -218,6 +235,7 @@ def predict_texts(model: Model, texts: list[str | None]) -> list[tuple[str, floa
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score. The model goes to the tasks as one bounded broadcast."""
+    docs = set_aside(docs, lang_out, score_out)
     if model is None:
         return docs.withColumns({lang_out: F.lit(UNKNOWN), score_out: F.lit(0.0)})
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -227,16 +245,17 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
         for texts in portions(batches, CHUNK_BYTES):
             yield pd.DataFrame(predict_texts(held.value, texts), columns=["lang", "score"])
 
-    named = "__language"
+    named = unused(docs, "language")
     out = docs.withColumn(named, guess(F.col(text_col)))
     return out.withColumns({lang_out: F.col(f"{named}.lang"), score_out: F.col(f"{named}.score")}).drop(named)
 
 
 def held_out(key_col: str = "doc_id") -> Column:
-    """The fifth of the documents that training never sees."""
-    return F.pmod(F.crc32(F.col(key_col).cast("string")), F.lit(5)) == 0
+    """The fifth of the documents that training never sees; false for a null key."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key_col).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def identify(docs: DataFrame, **params) -> DataFrame:
-    """Train on the documents that are not held out and predict all of them."""
-    return predict(docs, train(docs, ~held_out(), **params))
+def identify(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lang_out: str = "lang_pred", score_out: str = "score", **params) -> DataFrame:
+    """Train on the documents that are not held out and predict all of them. Rows without a key are predicted, not learned from."""
+    learn = F.col(key_col).isNotNull() & ~held_out(key_col)
+    return predict(docs, train(docs, learn, text_col=text_col, lang_col=lang_col, **params), text_col, lang_out, score_out)
