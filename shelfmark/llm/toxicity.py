@@ -5,12 +5,15 @@ categories before it. In training those probabilities are out of fold: every tra
 seen it, as the rows to be judged later will.
 
 Words are chosen among all the words of a bounded sample of labelled rows, by how far their document frequencies differ
-between the labels. At most ``MOST_ROWS`` rows are expected in the sample, half of each label of the last category where there
-are enough, spread by a hash of the key; the sample's keys and labels are broadcast, the words are counted on Spark, and the
-driver gets at most ``VOCABULARY`` words and the sample's rows over them.
+between the labels. The sample has at most ``MOST_ROWS`` labelled keys, half of each label of the last category where there
+are enough, least hash first; a key's label is the largest of its rows. Those keys are broadcast (their number is bounded) to find their texts; a text that
+several rows hold counts once, with its largest labels, and where keys have so many texts that there are over ``MOST_ROWS``,
+about that many are taken by a hash of the text. The words are counted on Spark, and the driver gets at most ``VOCABULARY`` words and the
+sample's rows over them. Folds follow a hash of the text, so copies never sit in a fitted and a held-out fold.
 
 Null texts have no words. Rows whose labels are null or missing are judged, not learned from. Without labelled rows of both
-values of a category its probability is the share of ones, or 0.
+values of a category its probability is the share of ones, or 0. Repeated rows get equal results; an empty table gives an empty one.
+A column of the input with the result's name stays, as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, set_aside
 
-VOCABULARY = 2048
+VOCABULARY = 320
 MOST_ROWS = 6000
 FOLDS = 4
 LEAST_DOCS = 4
@@ -89,9 +92,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int = 30
     return w, float(b)
 
 
-def fit(x: np.ndarray, labels: np.ndarray, categories: list[str], vocabulary: list[str], folds: int = FOLDS) -> Chain:
-    """x: rows over words (0 or 1). labels: rows over categories."""
-    fold = np.arange(len(x)) % folds
+def fit(x: np.ndarray, labels: np.ndarray, categories: list[str], vocabulary: list[str], fold: np.ndarray, folds: int = FOLDS) -> Chain:
+    """x: rows over words (0 or 1). labels: rows over categories. fold: each row's number, below ``folds``."""
     chain, earlier = [], np.zeros((len(x), 0), dtype=np.float32)
     for c, name in enumerate(categories):
         whole = np.hstack([x, earlier])
@@ -102,7 +104,7 @@ def fit(x: np.ndarray, labels: np.ndarray, categories: list[str], vocabulary: li
             kept_out = np.empty(len(x), dtype=np.float32)
             for k in range(folds):
                 fw, fb = logistic(whole[fold != k], y[fold != k])
-                kept_out[fold == k] = _sigmoid(whole[fold == k] @ fw + fb)
+                kept_out[fold == k] = _sigmoid(whole[fold == k] @ fw + fb)  # an empty fold is none to fill
             earlier = np.hstack([earlier, kept_out[:, None]])
     return Chain({w: i for i, w in enumerate(vocabulary)}, tuple(chain))
 
@@ -111,14 +113,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
     """The chain over ``categories`` (name to a 0/1 expression over ``labels``), in their order."""
     names = list(categories)
     flags = labels.select(F.col(key_col).alias("key"), *(c.cast("int").alias(n) for n, c in categories.items())).dropna().groupBy("key").agg(*(F.max(n).alias(n) for n in names))
-    last = F.col(names[-1])
-    count = {r[0]: r[1] for r in flags.groupBy(last).agg(F.count("*")).collect()}
-    part = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity sample")), F.lit(1_000_000)).cast("double")
-    take = F.lit(False)
-    for value, n in count.items():
-        take = take | ((last == value) & (part < 1_000_000 * min(1.0, most_rows / 2 / n)))
-    sample = F.broadcast(flags.where(take))  # most_rows rows are expected
-    rows = cut(docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text is not null").join(sample, "key"), "labelled")
+    order = F.xxhash64(F.col("key").cast("string"), F.lit("toxicity sample"))
+    halves = [flags.where(F.col(names[-1]) == v).orderBy(order, "key").limit(most_rows // 2) for v in (0, 1)]
+    keys = F.broadcast(halves[0].unionByName(halves[1]))  # most_rows rows at most
+    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text is not null").join(keys, "key")
+    mark = F.xxhash64("text", F.lit("toxicity fold"))
+    found = cut(texts.groupBy(mark.alias("mark")).agg(F.first("text").alias("text"), *(F.max(n).alias(n) for n in names)), "labelled")
+    many = found.count()
+    rows = found.where(F.pmod("mark", F.lit(999_983)) < 999_983 * min(1.0, most_rows / max(many, 1)))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -134,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
     counts = rows.select("text", *names).mapInPandas(words, schema).groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(f"n_{n}").alias(f"n_{n}") for n in names)).where(F.col("n") >= LEAST_DOCS)
     size = rows.agg(F.count("*").alias("all"), *(F.sum(n).alias(n) for n in names)).first()
     if not size["all"]:
+        discard(found)
         return Chain({}, tuple(Link(n, np.zeros(0), np.zeros(i), -40.0) for i, n in enumerate(names)))
     apart = []
     for n in names:  # difference of the shares in standard errors
@@ -146,17 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = [sorted(number.value[w] for w in set(words_of(t)) if w in number.value) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"].astype(str), "at": at, **{n: pdf[n] for n in names}})
+            yield pd.DataFrame({"mark": pdf["mark"], "at": at, **{n: pdf[n] for n in names}})
 
-    got = rows.mapInPandas(places, "key string, at array<int>, " + ", ".join(f"{n} int" for n in names)).toPandas().sort_values("key").reset_index(drop=True)
+    got = rows.mapInPandas(places, "mark long, at array<int>, " + ", ".join(f"{n} int" for n in names)).toPandas().sort_values("mark").reset_index(drop=True)
+    discard(found)
     x = np.zeros((len(got), len(vocabulary)), dtype=np.float32)
     for k, at in enumerate(got["at"]):
         x[k, np.asarray(at, dtype=np.int64)] = 1.0
-    return fit(x, got[names].to_numpy(), names, vocabulary)
+    return fit(x, got[names].to_numpy(), names, vocabulary, (got["mark"].to_numpy() % FOLDS).astype(np.int64))
 
 
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "chain") -> DataFrame:
     """``docs`` with a struct of the probability of each category."""
+    docs = set_aside(docs, out_col)
     held = docs.sparkSession.sparkContext.broadcast(chain)
     names = [x.category for x in chain.links]
 
@@ -168,10 +173,10 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str
     return docs.withColumn(out_col, judge(F.col(text_col)))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", out_col: str = "chain") -> DataFrame:
     """The chain low quality, then toxic, trained on the labels and applied to all documents."""
-    chain = train(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
-    return predict(docs, chain)
+    chain = train(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}, key_col, text_col)
+    return predict(docs, chain, text_col, out_col)
 
 
 def digest(done: DataFrame) -> DataFrame:
