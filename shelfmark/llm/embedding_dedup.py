@@ -8,13 +8,14 @@ y of cell q, at an angle of at most r. By the triangle inequality
 so y is copied into another cell p of its label only where d(y, p) - d(y, q) <= 2 r, and of those cells only where y's distance
 from the plane between p and q is within the chord of r, which the same argument shows for the straight distance. Each cell then joins
 its own members with its members and copies, alone: a link of x is found in the cell of x and nowhere else, so counts of links
-add up. A cell with many rows is cut into blocks of members and blocks of all its rows; each pair of blocks is one group of
-bounded size, so a label or a cell with a third of all rows spreads over many tasks. Groups return counts and spanning forests,
-never pairs.
+add up. A cell with many rows is cut into blocks of members and blocks of all its rows, each as many as its own count asks for; each
+pair of blocks is one group of bounded size, so a label or a cell with a third of all rows spreads over many tasks. Groups return counts and spanning
+forests, never pairs.
 
 Within a group a bound from pivot angles comes first (|d(x, p) - d(y, p)| > r for the cell's pivot), then the cosine in double
 precision. Null labels, null or zero vectors and vectors with null or non-finite components link with nothing; vectors of
-different lengths do not either. Repeated rows with the same key count as one vector; the first such vector is kept.
+different lengths do not either. Repeated rows with the same key count as one vector, the least by label and bytes; each of the
+rows gets its result. A null key links with nothing and has no component. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_roots
+from .common import components, cut, discard, local_roots
 
 LEAST_COSINE = 0.98
 PER_PIVOT = 12
@@ -133,22 +134,27 @@ def near_duplicates(vectors: DataFrame, key_col: str = "vec_id", vector_col: str
     for d in [r["dim"] for r in classes.select("dim").distinct().collect()]:
         pivots.setdefault(d, np.eye(1, d))
     dealt = cut(_dealt(classes, pivots, reach), "cells")
-    size = cut(dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
-    placed = dealt.join(size, ["label", "dim", "cell"]).withColumn("block", block)
-    # as a member (left) a row meets every block, as any row (right) every block of members
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.when(F.col("own"), F.col("block")).alias("l"), i.alias("r")))
-    mirror = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("l"), F.col("block").alias("r")))
-    meet = placed.withColumn("at", F.explode(F.array_union(F.filter(pairs, lambda p: p["l"].isNotNull()), mirror)))
-    meet = meet.select("label", "dim", "cell", F.col("at.l").alias("l"), F.col("at.r").alias("r"), (F.col("own") & (F.col("at.l") == F.col("block"))).alias("left"), (F.col("at.r") == F.col("block")).alias("right"), "to_pivot", "rep", "n", "vector")
+    blocks = lambda rows: F.greatest(F.ceil(rows / BLOCK), F.lit(1)).cast("int")
+    size = cut(dealt.groupBy("label", "dim", "cell").agg(blocks(F.count_if("own")).alias("n_own"), blocks(F.count("*")).alias("n_any")), "sizes")
+    number = lambda salt, of: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(of)).cast("int")
+    placed = dealt.join(size, ["label", "dim", "cell"]).withColumns({"as_own": number("own", "n_own"), "as_any": number("any", "n_any")})
+    # as a member (left) a row meets every block of rows, as any row (right) every block of members
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    member = F.transform(F.when(F.col("own"), every("n_any")).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.col("as_own").alias("l"), i.alias("r")))
+    anyone = F.transform(every("n_own"), lambda i: F.struct(i.alias("l"), F.col("as_any").alias("r")))
+    meet = placed.withColumn("at", F.explode(F.array_union(member, anyone)))
+    meet = meet.select("label", "dim", "cell", F.col("at.l").alias("l"), F.col("at.r").alias("r"), (F.col("own") & (F.col("at.l") == F.col("as_own"))).alias("left"), (F.col("at.r") == F.col("as_any")).alias("right"), "to_pivot", "rep", "n", "vector")
     found = cut(meet.groupBy("label", "dim", "cell", "l", "r").applyInPandas(lambda pdf: _joined(pdf, least, reach), "rep long, links long, low long"), "found")
     joined = components(found.select(F.col("low").alias("a"), F.col("rep").alias("b")))
+    discard(dealt, size)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = cut(
         classes.select("rep", "n").join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
         "per-class",
     )
+    discard(found)
     per_key = cut(own_class.join(per_class, "rep").select("key", "n_links", "component_id"), "per-key")
+    discard(classes, per_class)
     out = rows.select("key").join(per_key, "key", "left")
     return out.select(
         F.col("key").alias(key_col),
