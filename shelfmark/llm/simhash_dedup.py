@@ -4,14 +4,14 @@ A fingerprint has 64 bits: a bit is set if it is set in over half of the hashes
 Equal fingerprints are one class from the start, so groups of exact copies never meet as pairs. Classes are dealt to shards:
 two fingerprints that differ in at most three bits agree in one of four blocks of bits, so a class goes to the bucket of each
 of its blocks, and a bucket holds one BK-tree. A bucket with more than ``HOT`` classes is dealt again by four blocks of the bits
-that it leaves open. In a tree the children of a node are keyed by their integer Hamming distance to it, and a search follows
+that it leaves open, until none is left: a bucket holds at most two to the number of its open bits, so that ends. In a tree the children of a node are keyed by their integer Hamming distance to it, and a search follows
 only the edges within the radius of the query's own distance; nodes of all trees of a shard advance together. A shard returns
 a spanning forest of the links it finds, never the pairs, and connected components join the forests.
 
 The trees are not broadcast: their number grows with the corpus. Each query travels to the shards that can answer it instead.
 
-Null text has no words, its fingerprint is zero, and it links like any other. Repeated rows keep their places; a null key takes
-part in no component and gets none unless its fingerprint's class has a key.
+Null text has no words, its fingerprint is zero, and it links like any other. Repeated rows keep their places and get equal results; a null key takes
+part in no component and gets none unless its fingerprint's class has a key. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_roots, portions, space_words
+from .common import components, cut, discard, local_roots, portions, space_words
 
 RADIUS = 3
 SHINGLE = 3
@@ -153,27 +153,25 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "a long, b long")
     n = radius + 1
-    masks = [0]
-    rows = classes.select(F.lit(0).cast("long").alias("mask"), "fp", "rep")
-    ready = []
-    for level in range(3):
+    rows, masks = classes.select(F.lit(0).cast("long").alias("mask"), "fp", "rep"), [0]
+    ready, hot_tables = [], []
+    while masks:
         finer = _narrower(masks, n)
-        masks = sorted({m for ms in finer.values() for m in ms})
         choice = F.coalesce(*(F.when(F.col("mask") == _signed(m), F.array(*(F.lit(_signed(x)).cast("long") for x in ms))) for m, ms in finer.items()))
         rows = rows.select(F.explode(choice).alias("mask"), "fp", "rep").withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        if level == 2:
-            break
         hot = cut(rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mask", "value"), "hot")
-        if hot.limit(1).count() == 0:
-            break
-        ready.append(rows.join(hot, ["mask", "value"], "left_anti"))
+        hot_tables.append(hot)
+        masks = sorted(r["mask"] % (1 << 64) for r in hot.select("mask").distinct().collect())  # at most n for each mask of the round before
+        ready.append(rows.join(hot, ["mask", "value"], "left_anti") if masks else rows)
         rows = rows.join(hot, ["mask", "value"], "left_semi")
     shards = max(1, math.ceil(total * n / SHARD_ROWS))
     made = [
         r.withColumn("shard", F.pmod(F.xxhash64("mask", "value"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: _spanning(pdf, radius), "a long, b long")
-        for r in (*ready, rows)
+        for r in ready
     ]
-    return reduce(DataFrame.unionByName, made)
+    found = cut(reduce(DataFrame.unionByName, made), "links")
+    discard(*hot_tables)
+    return found
 
 
 def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -181,8 +179,10 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     marked = cut(docs.select(F.col(key_col).cast("long").alias("doc"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     classes = cut(marked.groupBy("fp").agg(F.min("doc").alias("rep")), "classes")
     named = classes.where("rep is not null")
-    joined = components(links(named, radius))
+    linked = links(named, radius)
+    joined = components(linked)
     final = cut(named.join(joined, named["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "final")
+    discard(classes, linked)
     return marked.join(final, "fp", "left").select(F.col("doc").alias(key_col), "fp", "component_id")
 
 
