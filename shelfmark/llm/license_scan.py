@@ -10,7 +10,8 @@ An expression that its line or the next tag breaks off after an operator or insi
 known identifiers, so a word of prose after an operator ("MIT and then") is read as one.
 
 Null text counts as empty. Word positions count from 0. A phrase counts at each place where its words stand consecutively,
-overlaps included. Rows and all other columns stay as they are.
+overlaps included. Rows and all other columns stay as they are; repeated rows get equal results, and an empty table gives an
+empty one. A column of the input with the result's name stays, as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, set_aside
 
 RESULT = "struct<n_words:long,notices:array<struct<label:string,phrase:string,word:int,base:boolean>>,expressions:array<struct<text:string,word:int,valid:boolean,postfix:array<string>,labels:array<string>>>>"
 
@@ -47,7 +48,6 @@ MORE_PHRASES = (
 )
 # Identifier tags as words.
 TAGS = ("spdx license identifier",)
-_TAG_IN_TEXT = re.compile(rb"spdx[^a-z0-9\x80-\xff]+license[^a-z0-9\x80-\xff]+identifier(?![a-z0-9\x80-\xff])[ \t]*:?[ \t]*")
 _LINE_END = re.compile(rb"[\r\n]")
 _WORD_BYTES = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
@@ -165,6 +165,13 @@ def identifiers(postfix: list[str]) -> list[str]:
     return sorted({*stack[0][0], *(f"{x} with {y}" for x, y in stack[0][1])})
 
 
+@lru_cache(maxsize=8)
+def _tag_in_text(tags: tuple) -> re.Pattern:
+    """A tag's words as they may stand in a text, and a colon after them."""
+    words = [rb"[^a-z0-9\x80-\xff]+".join(re.escape(w) for w in tag.encode().split()) for tag in sorted(tags, key=len, reverse=True)]
+    return re.compile(rb"(?:" + b"|".join(words) + rb")(?![a-z0-9\x80-\xff])[ \t]*:?[ \t]*")
+
+
 @lru_cache(maxsize=8)
 def _automaton(phrases: tuple, tags: tuple) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -176,13 +183,13 @@ def _automaton(phrases: tuple, tags: tuple) -> ahocorasick.Automaton:
     return found
 
 
-def _expressions(text: str) -> list[dict]:
-    """Tags whose three words stand consecutively in the words of the text, and the expression after each."""
+def _expressions(text: str, tags: tuple = TAGS) -> list[dict]:
+    """Tags whose words stand consecutively in the words of the text, and the expression after each."""
     low = text.encode("utf-8", "surrogatepass")
     folded = low.lower()
-    tags = [m.span() for m in _TAG_IN_TEXT.finditer(folded) if not (m.start() and _WORD_BYTES.match(folded[m.start() - 1 : m.start()]))]
+    found = [m.span() for m in _tag_in_text(tags).finditer(folded) if not (m.start() and _WORD_BYTES.match(folded[m.start() - 1 : m.start()]))]
     out, word, at = [], 0, 0
-    for (start, after), (following, _) in zip(tags, [*tags[1:], (len(low), 0)], strict=True):
+    for (start, after), (following, _) in zip(found, [*found[1:], (len(low), 0)], strict=True):
         word, at = word + len(_WORD_BYTES.findall(folded[at:start])), start
         line_end = _LINE_END.search(low, after, following)
         line = low[after : line_end.start() if line_end else following].decode("utf-8", "replace").strip()
@@ -192,7 +199,7 @@ def _expressions(text: str) -> list[dict]:
     return out
 
 
-def _scan(text: str | None, machine: ahocorasick.Automaton) -> dict:
+def _scan(text: str | None, machine: ahocorasick.Automaton, tags: tuple) -> dict:
     words = alnum_words(text)
     if not words:
         return {"n_words": 0, "notices": [], "expressions": []}
@@ -206,7 +213,7 @@ def _scan(text: str | None, machine: ahocorasick.Automaton) -> dict:
             spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 0x20)
         notices.append({"label": label, "phrase": phrase, "word": int(np.searchsorted(spaces, end)) - size, "base": base})
     notices.sort(key=lambda x: (x["word"], x["phrase"]))
-    return {"n_words": len(words), "notices": notices, "expressions": _expressions(text) if tagged else []}
+    return {"n_words": len(words), "notices": notices, "expressions": _expressions(text, tags) if tagged else []}
 
 
 def license_findings(text: Column, base_phrases: tuple = BASE_PHRASES, more_phrases: tuple = MORE_PHRASES, tags: tuple = TAGS) -> Column:
@@ -217,14 +224,14 @@ def license_findings(text: Column, base_phrases: tuple = BASE_PHRASES, more_phra
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         machine = _automaton(phrases, tags)
         for texts in batches:
-            yield pd.DataFrame([_scan(t, machine) for t in texts], columns=["n_words", "notices", "expressions"])
+            yield pd.DataFrame([_scan(t, machine, tags) for t in texts], columns=["n_words", "notices", "expressions"])
 
     return find(text)
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", **rules) -> DataFrame:
     """``docs`` with a column of licence findings."""
-    return docs.withColumn(out_col, license_findings(F.col(text_col), **rules))
+    return set_aside(docs, out_col).withColumn(out_col, license_findings(F.col(text_col), **rules))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ answered by intersecting and uniting postings, and only the candidates it leaves
 rule from which no mandatory trigram follows (runs of hex digits) scans every text. Postings hold only trigrams that some
 rule asks for, so a segment's index is far smaller than its texts, and no text is ever shuffled.
 
-Null text counts as empty. Offsets are code points, ends are exclusive. Rows, their order within a partition and all other
-columns stay as they are; repeated rows get equal results.
+Null text counts as empty. Offsets are code points, ends are exclusive. Spans that start together follow the order of the rules.
+Rows, their order within a partition and all other columns stay as they are; repeated rows get equal results, and an empty table
+gives an empty one. A column of the input with the result's name stays, as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions
+from .common import portions, set_aside
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 SEGMENT_BYTES = 2 << 20
@@ -202,7 +203,7 @@ def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out_col: str = "spans") -> DataFrame:
     """``docs`` with a column of the secrets' spans."""
-    return docs.withColumn(out_col, secret_spans(F.col(text_col), rules))
+    return set_aside(docs, out_col).withColumn(out_col, secret_spans(F.col(text_col), rules))
 
 
 def _cut_out(text: str, spans: list[tuple], mark: str) -> str:
