@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -231,9 +232,9 @@ def plain_items(texts, items):
     return out
 
 
-@pytest.mark.parametrize("shard", [200_000, 15])
-def test_decontamination(spark, monkeypatch, shard):
-    monkeypatch.setattr(decontaminate, "SHARD_WINDOWS", shard)
+@pytest.mark.parametrize("most", [1_300_000, 15])
+def test_decontamination(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", most)
     r = random.Random(9)
     words = [f"w{i}" for i in range(60)]
     make = lambda n: " ".join(r.choices(words, k=n))
@@ -242,6 +243,15 @@ def test_decontamination(spark, monkeypatch, shard):
     texts += [f"{make(r.randint(0, 300))}, {items[i][1]}! {make(10)} {items[i][1]}" for i in range(8)] + [" ".join(items[7][1].split()[2:15]) * 1]
     got = {x["doc_id"]: tuple(x)[1:] for x in decontaminate.digest(decontaminate.find_items(rows(spark, texts), spark.createDataFrame(items, "item_id long, text string"))).collect()}
     assert [got[i] for i in range(len(texts))] == plain_items(texts, items)
+    again = [(None, texts[9]), (5, texts[9]), (5, texts[9]), (5, texts[10])]
+    docs = spark.createDataFrame([(k, t, 9.5, "mine") for k, t in again], DOCS + ", n_words double, contamination string")
+    odd = items + [(None, texts[9]), (0, items[0][1]), (3, items[1][1])]
+    found = decontaminate.judge(decontaminate.find_items(docs, spark.createDataFrame(odd, "item_id long, text string"))).collect()
+    want = plain_items([t for _, t in again], [*items, (3, items[1][1])])
+    assert sorted((x["doc_id"] or 0, x["n_words"], x["n_hit"], x["contaminated"], x["n_words_input"], x["contamination_input"]) for x in found) == sorted((k or 0, w[0], w[1], w[4], 9.5, "mine") for (k, _), w in zip(again, want, strict=True))
+    assert decontaminate.find_items(docs.where("false"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    none = decontaminate.judge(decontaminate.find_items(docs, spark.createDataFrame([], "item_id long, text string"))).collect()
+    assert len(none) == 4 and not any(x["contaminated"] or x["n_hit"] for x in none)
 
 
 def test_toxicity(spark):
@@ -254,6 +264,105 @@ def test_toxicity(spark):
     assert len(empty) == 5 and not any(x["toxic"] for x in empty)
 
 
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Columns with the names of all outputs stay as they came; an empty table stays empty; of a key's rows the choice is fixed."""
+    names = ["score", "lang_pred", "n_words", "n_hit", "items", "contaminated", "spans", "row", "token_ids", "decoded", "component_id", "fp"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    given = [(i, f"a house by the river and the road number {i} in the wood", "en", "s", 1, *(f"{n}{i}" for n in names)) for i in range(4)]
+    given += [(2, "another text of the same key, with other words in it", "en", "s", 1, *("x" for _ in names)), (None, None, None, None, None, *(None for _ in names))]
+    spark.createDataFrame([(1, "none of it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows_ in (given, []):
+        docs = spark.createDataFrame(rows_, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            done = stage(spark, docs, str(tmp_path))
+            if name == "tokens":
+                assert done.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256"] and done.count() == len(rows_)
+                continue
+            got = done.collect()
+            assert done.columns == docs.columns and bool(got) == bool(rows_)
+            assert all(x[n] in (f"{n}{x['doc_id']}", "x", None) for x in got for n in names)
+    docs = spark.createDataFrame(given, schema)
+    pick = [sorted(x["text"] or "" for x in corpus_pipeline.drop_near_copies(spark, d, str(tmp_path)).collect()) for d in (docs, docs.orderBy(F.desc("text")), docs.repartition(3))]
+    assert pick[0] == pick[1] == pick[2]
+
+
+def test_sampling_by_text(spark):
+    """Many rows under one key, and many copies of one text, leave a sample of different texts, bounded in all."""
+    one_key = spark.createDataFrame([(7, f"{'the house' if i % 2 else 'la maison'} {i}", "en" if i % 2 else "fr") for i in range(3000)] + [(7, "copy", "en")] * 500, "doc_id long, text string, lang string")
+    got = [(x["lang"], x["text"]) for x in language_id.sample(one_key, F.lit(True)).collect()]
+    assert len(got) == len(set(got)) and all(200 < sum(lang == x for lang, _ in got) < 400 for x in ("en", "fr"))
+    assert {x["lang_pred"] for x in language_id.identify(one_key.withColumn("doc_id", F.lit(1))).collect()} == {"en", "fr"}
+    many = spark.createDataFrame([(i, f"w{i} {i % 7}", f"l{i % 500}") for i in range(5000)], "doc_id long, text string, lang string")
+    got = language_id.sample(many, F.lit(True), most_rows=640).collect()
+    assert len({x["lang"] for x in got}) == 64 and 450 < len(got) < 800
+    labels = spark.createDataFrame([(7, 1, 1), (7, 0, 0), (8, 1, 0), (8, None, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(7, f"bad w{i}", "c") for i in range(300)] + [(8, "good day", "c")] * 300 + [(None, None, "c")], "doc_id long, text string, chain string")
+    done = toxicity.classify(docs, labels)
+    assert done.columns == ["doc_id", "text", "chain_input", "chain"]
+    by_text = {x["text"]: x["toxic"] for x in done.select("text", (F.col("chain.toxic") >= 0.5).alias("toxic")).collect()}
+    assert by_text["bad w5"] and not by_text["good day"] and done.count() == 601
+    assert toxicity.digest(toxicity.classify(docs.where("false").drop("chain"), labels)).count() == 0
+
+
+def test_chain_by_hand():
+    """The chain's probabilities, and that earlier ones are out of fold, on tiny data."""
+    r = np.random.default_rng(1)
+    x = (r.random((40, 5)) < 0.4).astype(np.float32)
+    labels = np.stack([x[:, 0], np.maximum(x[:, 0], x[:, 1])], axis=1).astype(np.int64)
+    labels[3] = 1 - labels[3]
+    fold = np.arange(40) % toxicity.FOLDS
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    chain = toxicity.fit(x, labels, ["one", "two"], words, fold)
+    out = np.empty(40, dtype=np.float32)
+    for k in range(toxicity.FOLDS):
+        w, b = toxicity.logistic(x[fold != k], labels[fold != k, 0].astype(np.float32))
+        out[fold == k] = [1 / (1 + math.exp(-(float(v @ w) + b))) for v in x[fold == k]]
+    w, b = toxicity.logistic(np.hstack([x, out[:, None]]), labels[:, 1].astype(np.float32))
+    assert np.allclose(chain.links[1].words, w[:5], atol=1e-4) and np.allclose(chain.links[1].earlier, w[5:], atol=1e-4) and abs(chain.links[1].bias - b) < 1e-4
+    for text, have in (("alpha gamma GAMMA", [0, 2]), ("", []), (None, []), ("other", []), ("beta eps", [1, 4])):
+        p = []
+        for link in chain.links:
+            z = sum(float(link.words[i]) for i in have) + sum(q * float(e) for q, e in zip(p, link.earlier, strict=True)) + link.bias
+            p.append(1 / (1 + math.exp(-max(-40, min(40, z)))))
+        assert np.allclose(chain.judge([text])[0], p, atol=1e-6)
+
+
+def test_language_decision_by_hand():
+    """Frequencies, family and votes of each text, computed one n-gram at a time."""
+    texts = {"en": ["the cat and the dog", "this is the house", "where is the road"], "de": ["der hund und die katze", "das ist ein haus", "wo ist der weg"], "nl": ["de hond en de kat", "dat is een huis", "waar is de weg"], "fr": ["le chat et la maison", "une rose des bois", "la route et le pont"], "fi": ["talo on suuri", "kissa ja koira", "tie on pitka"]}
+
+    def vector(text):
+        data = b" " + text.lower().encode() + b" "
+        v = np.zeros(language_id.BUCKETS)
+        for i in range(len(data) - 2):
+            code = (data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % (1 << 32)
+            v[code >> (32 - language_id.BUCKET_BITS)] += 1
+        return v / max(len(data) - 2, 1)
+
+    langs = np.array([lang for lang, ts in texts.items() for _ in ts])
+    model = language_id.fit(np.stack([vector(t) for ts in texts.values() for t in ts]).astype(np.float32), langs)
+    asked = [t for ts in texts.values() for t in ts] + ["the house and the road", "ein hund", "x", "1 2", None, "la katze on the road"]
+    for text, (lang, score) in zip(asked, language_id.predict_texts(model, asked), strict=True):
+        if text is None or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        margin = lambda m: float(model.weights[m.row].astype(np.float64) @ vector(text)) + m.bias  # noqa: B023, E731
+        family = max(model.family_machines, key=margin).yes
+        votes = dict.fromkeys(model.languages[family], 0)
+        for m in model.pair_machines[family]:
+            votes[m.yes if margin(m) >= 0 else m.no] += 1
+        assert language_id.family_of(lang) == family and votes[lang] == max(votes.values()) and 0 <= score <= 1
+
+
+def test_repeated_rows(spark, texts):
+    keys = [(1, texts[10]), (1, texts[10]), (2, texts[11]), (1, texts[11]), (3, None), (3, None), (None, texts[10]), (None, "alone here with no key")]
+    got = [(x["doc_id"], x["component_id"]) for x in simhash_dedup.digest(simhash_dedup.near_duplicates(spark.createDataFrame(keys, DOCS))).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1), (1, 1), (2, 1), (1, 1), (3, 3), (3, 3), (None, 1), (None, None)], key=repr)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.001], 1), (2, [0.0, 1.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = [tuple(x) for x in embedding_dedup.near_duplicates(vectors).collect()]
+    assert len(got) == 5 and len(set(got)) == 3 and [g for g in got if g[0] is None] == [(None, 0, None, False)]
+
+
 def test_pipeline(spark, tmp_path):
     texts = ["the quick brown fox jumps over the lazy dog " * 5 + str(i) for i in range(3)] + [None, "12 34", "password=abcdefgh the end of it all"]
     texts.append("one two three four five six seven eight nine ten eleven twelve thirteen fourteen")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import public_tokenizers
 import pyarrow.dataset as ds
@@ -58,12 +59,20 @@ def test_redaction(make_docs):
     assert [r[0] for r in docs.select(secret_scan.redact(F.col("text"))).collect()] == ["a [secret] b", None, "x [secret] [secret]", ""]
 
 
-def test_empty_table_and_extra_columns(make_docs):
-    docs = make_docs([]).withColumnRenamed("source", "spans_")
-    assert secret_scan.scan_secrets(docs).count() == 0
-    assert bpe_codec.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+def test_empty_table_and_clashing_columns(make_docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    names = ["spans", "token_ids", "Decoded", "licenses", "lang_pred", "SCORE", "language", "both", "spans_input"]
+    docs = make_docs(["password=abcdefgh by the river", None], langs=["en", "en"]).selectExpr("*", *(f"'mine' as {n}" for n in names))
+    for made in (secret_scan.scan_secrets(docs), bpe_codec.encode_documents(docs, path), bpe_codec.encode_documents(docs, path, decoded_col=None), license_scan.scan_licenses(docs), language_id.identify(docs), language_id.identify(docs.withColumn("lang", docs.lang.substr(9, 1)))):
+        assert len(set(c.lower() for c in made.columns)) == len(made.columns)
+        for row in made.collect():
+            assert sum(v == "mine" for v in row) == len(names)
+        assert made.where("false").count() == 0
+    docs = docs.where("false")
+    assert secret_scan.digest(secret_scan.scan_secrets(docs)).count() == 0
+    assert bpe_codec.digest(bpe_codec.encode_documents(docs, path)).count() == 0
     assert license_scan.digest(license_scan.scan_licenses(docs)).count() == 0
-    assert {r["lang_pred"] for r in language_id.identify(docs).collect()} == set()
+    assert language_id.identify(docs).count() == 0
 
 
 def test_bpe(make_docs):
@@ -144,6 +153,33 @@ def test_long_expressions_and_prose(make_docs):
     assert [(x["text"], x["word"]) for x in found] == [("MIT", 2), ("ISC", 8)]
 
 
+def test_other_tags_and_many_tags(make_docs):
+    text = "Licence id: MIT or ISC. SPDX-License-Identifier: BSL"
+    got = license_scan.digest(license_scan.scan_licenses(make_docs([text]), tags=("licence id",))).first()
+    assert got["labels"] == "isc,mit"
+    began = time.process_time()
+    found = license_scan._expressions("x SPDX-License-Identifier: MIT\n" * 8000)
+    assert len(found) == 8000 and found[-1]["word"] == 7999 * 5 + 1 and time.process_time() - began < 2
+
+
+def plain_added(text):
+    """Spans of the added kinds, each found by its expression alone."""
+    kinds = {r.kind: r.pattern for r in secret_scan.MORE_RULES}
+    return sorted(f"{k}:{m.start()}:{m.end()}" for k, p in kinds.items() for m in re.finditer(p, text or "", re.A))
+
+
+def test_added_spans(make_docs):
+    extra = ["https://me:pw@host/x https://a:b@c", "xoxb-1234567890-abc AIza" + "x" * 35, "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4", "-----BEGIN PRIVATE KEY-----"]
+    texts = SECRETS + extra + sample_texts(200)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan_secrets(make_docs(texts))).collect()}
+    base = {"assign", "access", "hex"}
+    for i, text in enumerate(texts):
+        spans = [s for s in got[i].split(",") if s]
+        assert sorted(s for s in spans if s.split(":")[0] not in base) == plain_added(text)
+        assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
+    assert sum(bool(plain_added(t)) for t in texts) >= 5
+
+
 @pytest.mark.parametrize("text", ["", "or", "a or", "(a", "a)", "a b", "and a", "()"])
 def test_bad_expressions(text):
     assert license_scan.to_postfix(text) is None
