@@ -1,7 +1,8 @@
 """A corpus pipeline of five text operators; every stage works on all that the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents as they came, extra columns of any name among them: the operators work beside a struct of
+the whole row. An empty table gives an empty one with the same columns.
 """
 
 from __future__ import annotations
@@ -15,26 +16,32 @@ from shelfmark.llm.common import cut
 from shelfmark.llm.queries import VOCABULARY
 
 
+def _beside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The rows as structs, and the columns that an operator needs."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *needed)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go; ``lang`` becomes the prediction."""
-    done = language_id.identify(docs)
-    return done.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Documents without a language (null, or no letter) go; ``lang`` becomes the prediction. Repeated rows stay."""
+    done = language_id.identify(_beside(docs, "doc_id", "text", "lang")).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return done.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest key stays; of repeated rows of a key, one; rows without a key stay."""
-    groups = simhash_dedup.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    keyed = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if keyed.count() > kept.count():
-        keyed = keyed.dropDuplicates(["doc_id"])
-    return keyed.unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies the document with the smallest key stays; of repeated rows of a key, the one with the least hash of its text and then of its row; rows without a key stay."""
+    keyed = docs.where("doc_id is not null")
+    if keyed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        order = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(F.struct(*docs.columns))))
+        keyed = cut(keyed.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*"), "one-row-a-key")
+    groups = simhash_dedup.near_duplicates(keyed.select("doc_id", "text"))
+    kept = cut(groups.where("doc_id = component_id").select("doc_id"), "kept")
+    return keyed.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with too large a part of benchmark items go."""
-    found = decontaminate.judge(decontaminate.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """Documents with too large a part of benchmark items go. Repeated rows share their fate."""
+    found = decontaminate.judge(decontaminate.find_items(_beside(docs, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")))
+    return found.where(~F.col("contaminated")).select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and a hash of what they decode to."""
-    done = bpe_codec.encode_documents(docs, public_tokenizers.path(VOCABULARY))
+    done = bpe_codec.encode_documents(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(VOCABULARY))
     return done.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
