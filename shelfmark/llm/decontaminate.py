@@ -76,6 +76,16 @@ class Bitmap:
         return [w for w in words if self.bits[(m := _mark(w)) >> 3] >> (m & 7) & 1]
 
 
+class Listed:
+    """A set of words as they are, where their number is bounded."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = frozenset(words)
+
+    def among(self, words: set[bytes]) -> frozenset[bytes]:
+        return self.words.intersection(words)
+
+
 def _bitmap(words: DataFrame) -> Broadcast:
     """Of the column ``word``. At most 2 ** MARKS different marks reach the driver, whatever the number of words."""
 
@@ -88,7 +98,7 @@ def _bitmap(words: DataFrame) -> Broadcast:
 
 
 def document_counts(docs: DataFrame, words: Broadcast, text_col: str = "text") -> DataFrame:
-    """In how many documents each word of a bitmap occurs, over all documents: word, n."""
+    """In how many documents each word of a set (``Bitmap`` or ``Listed``) occurs, over all documents: word, n."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -218,12 +228,16 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     docs = set_aside(docs, out_col)
     windows = cut(windows_of(items, window, item_col, item_text_col), "windows")
     size = windows.agg(F.sum(F.size("win")).alias("n")).first()["n"] or 0
-    counts = document_counts(docs, _bitmap(windows.select(F.explode("win").alias("word")).distinct()), text_col) if size else docs.sparkSession.createDataFrame([], "word binary, n long")
+    words = windows.select(F.explode("win").alias("word")).distinct()
+    context = docs.sparkSession.sparkContext
+    few = size <= BROADCAST_WORDS
+    known = context.broadcast(Listed([bytes(r["word"]) for r in words.collect()])) if few else _bitmap(words)
+    counts = document_counts(docs, known, text_col) if size else docs.sparkSession.createDataFrame([], "word binary, n long")
     index = cut(prefixes(windows, counts), "prefixes")
-    if size <= BROADCAST_WORDS:
+    if few:
         rows = windows.join(index, "win").toPandas()
         discard(windows, index)
-        return docs.withColumn(out_col, _look(docs.sparkSession.sparkContext.broadcast(PrefixIndex(rows)))(F.col(text_col)))
+        return docs.withColumn(out_col, _look(context.broadcast(PrefixIndex(rows)))(F.col(text_col)))
     found = cut(_joined_places(docs.select(F.col(text_col).alias("text")), windows, index, window), "places")
     discard(windows, index)
     count = F.pandas_udf(lambda s: s.map(lambda t: len(alnum_words(t))).astype("int64"), "long")
