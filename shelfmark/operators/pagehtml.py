@@ -10,13 +10,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import names as people
-from ..schemas import CREATORS
-
 FIELDS = (
     "struct<info_html:string,h1_span:string,page_title:string,series:string,abstract:string,cover:string,author_anchors:array<string>,"
     "entries:array<struct<label:string,value:string>>,surfaces:struct<h1_title:boolean,abstract_block:boolean,json_ld:boolean,open_graph_title:boolean,open_graph_description:boolean>,"
-    f"heading:string,info_text:string,intro:string,people:struct<creators:{CREATORS},notes:array<string>>>"
+    "heading:string,info_text:string,intro:string>"
 )
 LINKS = "array<struct<href:string,title_attr:string,text:string>>"
 
@@ -121,10 +118,6 @@ def _until_break(label: Node) -> Iterator[Node]:
         yield n
 
 
-def _is_intro(n: Node) -> bool:
-    return n.has_class("intro") and n.inside(lambda p: p.attrs.get("id") == "link-report")
-
-
 def _series(labels: list[Node]) -> str | None:
     for label in labels:
         if "丛书" in label.content():
@@ -156,65 +149,66 @@ def _entries(info: Node) -> list[dict]:
     return out
 
 
-_LABEL = re.compile(r'<span\s+class="pl">\s*(.*?)\s*</span>', re.I)
-
-
-def labelled(markup: str) -> list[tuple[str, str]]:
-    """Label and value of each line of the block's markup, by its exact label marks; the last value of a label at its first place."""
-    found: dict[str, str] = {}
-    for line in re.split(r"<br\s*/?>", markup, flags=re.I):
-        m = _LABEL.search(line)
-        if m:
-            label = re.sub("[:：]", "", "".join(_squash(re.sub("<[^>]*>", "", m[1])).split(" ")))
-            value = re.sub("<[^>]*>", "", line[m.end() :])
-            for mark, plain in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-                value = value.replace(mark, plain)
-            value = _squash(value).lstrip(_SPACES + ":：")
-            if label and value:
-                found[label] = value
-    return list(found.items())
+def _landmarks(root: Node) -> tuple[dict[str, Node], set[str]]:
+    """The first element of each kind that a field is read from, and the marks of surfaces, in one walk."""
+    first: dict[str, Node] = {}
+    marks: set[str] = set()
+    for n in root.walk():
+        if n.tag == "#text":
+            continue
+        if n.attrs.get("id") == "info":
+            first.setdefault("info", n)
+        if n.tag in ("title", "h1"):
+            first.setdefault(n.tag, n)
+        elif n.tag == "span" and "span" not in first and n.inside(lambda p: p.tag == "h1"):
+            first["span"] = n
+        elif n.tag == "img" and "image" not in first and n.inside(lambda p: p.attrs.get("id") == "mainpic"):
+            first["image"] = n
+        elif n.tag == "meta":
+            marks.update(x for x in (n.attrs.get("property"), n.attrs.get("name")) if x)
+        elif n.tag == "script" and n.attrs.get("type") == "application/ld+json":
+            marks.add("json_ld")
+        if n.has_class("intro"):
+            first.setdefault("intro", n)
+            if n.inside(lambda p: p.attrs.get("id") == "link-report"):
+                first.setdefault("report", n)
+                if "full" not in first and n.inside(lambda p: p.has_class("hidden") or p.has_class("all")):
+                    first["full"] = n
+    return first, marks
 
 
 def parse_page(html: str | None) -> dict:
     """Raw fields of one page; null without html."""
-    nodes = list(tree(html or "").walk())
-    first = lambda test: next((n for n in nodes if test(n)), None)
+    found, marks = _landmarks(tree(html or ""))
     text = lambda n: n.content().strip(_SPACES) if n is not None else ""
-    info = first(lambda n: n.attrs.get("id") == "info")
+    squashed = lambda name: _squash(found[name].content()) if name in found else ""
+    info = found.get("info")
     labels = [n for n in info.walk() if n.tag == "span" and n.has_class("pl")] if info else []
-    span = first(lambda n: n.tag == "span" and n.inside(lambda p: p.tag == "h1"))
-    title = first(lambda n: n.tag == "title")
-    full = first(lambda n: _is_intro(n) and n.inside(lambda p: p.has_class("hidden") or p.has_class("all")))
-    intro = first(_is_intro)
-    image = first(lambda n: n.tag == "img" and n.inside(lambda p: p.attrs.get("id") == "mainpic"))
     anchors = []
     for label in labels:
         if text(label).replace(":", "").replace("：", "") in ("作者", "著者"):
             names = [text(n) for n in _until_break(label) if n.tag == "a"]
             anchors.append("/".join(x for x in names if x))
-    markup = info.inner() if info else None
-    creators, notes = people.of_page(labelled(markup) if markup else [], anchors)
-    meta = lambda key: any(n.tag == "meta" and key in (n.attrs.get("property"), n.attrs.get("name")) for n in nodes)
+    abstract = text(found.get("full")) or text(found.get("report")) or None
     return {
-        "info_html": markup,
-        "h1_span": text(span),
-        "page_title": title.content() if title else None,
+        "info_html": info.inner() if info else None,
+        "h1_span": text(found.get("span")),
+        "page_title": found["title"].content() if "title" in found else None,
         "series": _series(labels),
-        "abstract": text(full) or text(intro) or None,
-        "cover": (image.attrs.get("src") or None) if image else None,
+        "abstract": abstract,
+        "cover": (found["image"].attrs.get("src") or None) if "image" in found else None,
         "author_anchors": anchors,
         "entries": _entries(info) if info else [],
         "surfaces": {
-            "h1_title": bool(_squash(span.content())) if span else False,
-            "abstract_block": bool(text(full) or text(intro)),
-            "json_ld": any(n.tag == "script" and n.attrs.get("type") == "application/ld+json" for n in nodes),
-            "open_graph_title": meta("og:title"),
-            "open_graph_description": meta("og:description"),
+            "h1_title": squashed("span") != "",
+            "abstract_block": abstract is not None,
+            "json_ld": "json_ld" in marks,
+            "open_graph_title": "og:title" in marks,
+            "open_graph_description": "og:description" in marks,
         },
-        "heading": _squash(h.content()) if (h := first(lambda n: n.tag == "h1")) else "",
-        "info_text": _squash(info.content()) if info else "",
-        "intro": _squash(i.content()) if (i := first(lambda n: n.has_class("intro"))) else "",
-        "people": {"creators": creators, "notes": notes},
+        "heading": squashed("h1"),
+        "info_text": squashed("info"),
+        "intro": squashed("intro"),
     }
 
 
@@ -223,7 +217,7 @@ def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([parse_page(p) for p in pages], columns=list(_COLUMNS))
 
 
-_COLUMNS = ("info_html", "h1_span", "page_title", "series", "abstract", "cover", "author_anchors", "entries", "surfaces", "heading", "info_text", "intro", "people")
+_COLUMNS = ("info_html", "h1_span", "page_title", "series", "abstract", "cover", "author_anchors", "entries", "surfaces", "heading", "info_text", "intro")
 
 
 def page_fields(html: Column) -> Column:

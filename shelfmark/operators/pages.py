@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
+from ..functions.creators import page_lists, page_people
 from ..functions.text import SPACE, WS, filled, js_trim, let, subject_id
 from ..schemas import BOOK_FIELDS
 from ..site import SITE, Site
@@ -49,12 +50,14 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("raw", page_fields(F.col(html))).drop(html)
 
 
-def books(pages: DataFrame, site: Site = SITE) -> DataFrame:
+def books(pages: DataFrame, site: Site = SITE, html: str = "html", surfaces: bool = False) -> DataFrame:
     """Pages (url, html, ...) as ``book`` structs. Rows that cannot be read have ``parse_error`` and a null book.
 
-    The html is dropped right after the one helper pass.
+    The html is dropped right after the one helper pass. With ``surfaces`` the page's labels and surfaces stay beside the book.
     """
-    raw = extract(pages).withColumn("entries", info_entries(F.col("raw.info_html")))
+    raw = extract(pages, html).withColumn("entries", info_entries(F.col("raw.info_html")))
+    none = F.array().cast("array<struct<label:string,value:string>>")
+    raw = page_people(raw, page_lists(F.coalesce("entries", none), F.col("raw.author_anchors")), "page_creators", "page_notes")
     raw = raw.withColumn("main_title", page_title(F.col("raw"), site))
     raw = raw.withColumn("by_label", F.map_from_entries("entries"))
     value = lambda label: F.try_element_at(F.col("by_label"), F.lit(label))
@@ -65,12 +68,14 @@ def books(pages: DataFrame, site: Site = SITE) -> DataFrame:
         "publisher": F.coalesce(value("出版社"), F.lit("")), "publish_date": nz.publication_date(F.coalesce(either("出版年", "出版时间"), F.lit(""))),
         "isbn": isbn, "isbn13": nz.isbn13(isbn), "pages": value("页数"), "price": value("定价"), "format": value("装帧"), "language": value("语言"),
         "series": F.coalesce(filled(F.col("raw.series")), value("丛书")), "original_title": value("原作名"), "abstract_note": F.col("raw.abstract"), "cover_url": F.col("raw.cover"),
-        "creators": F.col("raw.people.creators"), "creator_notes": F.when(F.size("raw.people.notes") > 0, F.col("raw.people.notes")),
+        "creators": F.col("page_creators"), "creator_notes": F.when(F.size("page_notes") > 0, F.col("page_notes")),
     }
     error = F.when(F.col("raw.info_html").isNull(), "missing-info-block").when(F.col("main_title") == "", "missing-title")
     book = F.struct(*(known.get(n, F.lit(None).cast("string")).alias(n) for n in BOOK_FIELDS))
     out = raw.withColumn("parse_error", error).withColumn("book", F.when(F.col("parse_error").isNull(), book))
-    return out.drop("entries", "by_label", "main_title", "raw")
+    if surfaces:
+        out = out.withColumns({"labels": F.transform("raw.entries", lambda e: e["label"]), "surfaces": F.col("raw.surfaces")})
+    return out.drop("entries", "by_label", "main_title", "page_creators", "page_notes", "raw")
 
 
 def split_failures(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

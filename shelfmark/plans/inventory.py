@@ -12,7 +12,7 @@ from ..operators import coverage, exports, lists, matching, merge, pages, valida
 from ..schemas import CREATORS
 from ..sources import store
 from . import synth
-from .queries import QUERIES, _ENTRIES, _FIELDS, _GATE, _LABELS, _MATCH, _STATUS, candidates, cleaned_records, compared, diagnosed, incoming, merged, parsed_pages, proposals, query, samples
+from .queries import QUERIES, _ENTRIES, _FIELDS, _GATE, _LABELS, _MATCH, _STATUS, candidates, cleaned_records, compared, diagnosed, incoming, merged, parsed_pages, proposals, query, samples, stored_samples
 from .synth import run_sql, table
 
 
@@ -64,7 +64,8 @@ def c7_original_names(spark, sf):
 @query(f"SELECT k, CASE k % 3 WHEN 0 THEN z || '|' || z || '一' WHEN 1 THEN z || '|二' || z || '|三' || z ELSE z END AS names FROM {_NAMES}")
 def c9_split_names(spark, sf):
     raw = _cases("k", F.concat("z", F.lit(" / "), "z", F.lit("一")), F.concat("z", F.lit("、二"), "z", F.lit("，三"), "z"), F.concat("z", F.lit(" / John Smith")))
-    return _names(spark, sf).select("k", F.array_join(cr.split_names(raw), "|").alias("names"))
+    split = cr.with_names(_names(spark, sf), cr.name_list(raw, F.lit("author")))
+    return split.select("k", F.array_join(F.transform("names", lambda n: n["raw"]), "|").alias("names"))
 
 
 def _shown(creators: Column) -> Column:
@@ -73,19 +74,22 @@ def _shown(creators: Column) -> Column:
 
 @query(f"SELECT k, CASE k % 2 WHEN 0 THEN 'author/' || z || '/' || z || '/0' ELSE 'author//' || z || '/1' END AS creator FROM {_NAMES}")
 def c10_creators(spark, sf):
-    made = cr.format_creator(_cases("k", F.concat("z", F.lit("·"), "z"), F.col("z")), F.lit("author"))
-    return _names(spark, sf).select("k", _shown(F.array(made)).alias("creator"))
+    raw = _cases("k", F.concat("z", F.lit("·"), "z"), F.col("z"))
+    made = cr.with_names(_names(spark, sf), cr.name_list(raw, F.lit("author")), whole=True)
+    return made.select("k", _shown(cr.creators_of(F.col("names"))).alias("creator"))
 
 
 @query(f"SELECT k, 'author//' || z || '/1' AS creators, 'John' AS notes FROM {_NAMES}")
 def c11_creators_with_notes(spark, sf):
-    made = cr.creator_list_with_notes(F.concat("z", F.lit("（John） 著")), F.lit("author"))
-    return _names(spark, sf).withColumn("m", made).select("k", _shown(F.col("m.creators")).alias("creators"), F.array_join("m.notes", ",").alias("notes"))
+    made = cr.with_names(_names(spark, sf), cr.name_list(F.concat("z", F.lit("（John） 著")), F.lit("author")))
+    made = made.withColumn("names", cr.first_of_list(F.col("names")))
+    return made.select("k", _shown(cr.creators_of(F.col("names"))).alias("creators"), F.array_join(cr.notes_of(F.col("names")), ",").alias("notes"))
 
 
 @query(f"SELECT k, 'author//' || z || '樹/1' AS creators FROM {_NAMES}")
 def c12_variants(spark, sf):
-    return _names(spark, sf).select("k", _shown(cr.creator_list(F.concat("z", F.lit("树/"), "z", F.lit("樹")), F.lit("author"))).alias("creators"))
+    made = cr.with_names(_names(spark, sf), cr.name_list(F.concat("z", F.lit("树/"), "z", F.lit("樹")), F.lit("author")))
+    return made.select("k", _shown(cr.preferred(F.col("names"))).alias("creators"))
 
 
 def _people(*who: tuple[str, Column]) -> Column:
@@ -103,7 +107,7 @@ def c13_role_aliases(spark, sf):
 
 
 def _raw_pages(spark, sf) -> DataFrame:
-    return pages.extract(run_sql(spark, sf, synth.PAGES))
+    return pages.extract(synth.detail_pages(spark, sf))
 
 
 @query(
@@ -468,12 +472,12 @@ def a20_report_rows(spark, sf):
 
 @query(f"SELECT DISTINCT label FROM ({_LABELS}) a WHERE cohort = 'old' AND label NOT IN (SELECT label FROM ({_LABELS}) b WHERE cohort = 'new')")
 def x1_labels_of_one_cohort(spark, sf):
-    return coverage.new_labels(samples(spark, sf), "new", "old")
+    return coverage.new_labels(stored_samples(spark, sf), "new", "old")
 
 
 @query(f"SELECT cast(k AS string) AS subject_id, k % 5 <> 0 AS outside FROM ({_STATUS}) s WHERE k % 5 <> 0 OR cohort = 'new'")
 def x2_outside_and_inside(spark, sf):
-    s = samples(spark, sf)
+    s = stored_samples(spark, sf)
     chosen = s.where("k % 5 = 0").select("subject_id")
     return coverage.outside(s.select("subject_id"), chosen).withColumn("outside", F.lit(True)).unionByName(coverage.inside(chosen, s, "new").withColumn("outside", F.lit(False)))
 

@@ -177,7 +177,7 @@ def a18_review_summary(spark, sf):
 
 
 def parsed_pages(spark, sf) -> DataFrame:
-    return validate.with_validation(pages.books(run_sql(spark, sf, synth.PAGES)))
+    return validate.with_validation(pages.books(synth.detail_pages(spark, sf)))
 
 
 _FIELDS = f"""
@@ -268,9 +268,14 @@ def e21_parser_warnings(spark, sf):
 
 
 def samples(spark, sf) -> DataFrame:
-    raw = pages.extract(run_sql(spark, sf, synth.PAGES)).select("k", F.transform("raw.entries", lambda e: e["label"]).alias("labels"), F.col("raw.surfaces").alias("surfaces"))
-    good, _ = pages.split_failures(parsed_pages(spark, sf))
-    return good.join(raw, "k").withColumns({"subject_id": F.col("k").cast("string"), "batch": F.concat(F.lit("b"), (F.col("k") % 3).cast("string"))})
+    """Parsed pages with their labels and surfaces, from one pass of the helper."""
+    good, _ = pages.split_failures(validate.with_validation(pages.books(synth.detail_pages(spark, sf), surfaces=True)))
+    return good.withColumns({"subject_id": F.col("k").cast("string"), "batch": F.concat(F.lit("b"), (F.col("k") % 3).cast("string"))})
+
+
+def stored_samples(spark, sf) -> DataFrame:
+    """``samples`` as a table, for statistics that read them more than once."""
+    return store.stage(samples(spark, sf), "samples")
 
 
 _LABELS = f"""SELECT k, cohort, unnest(list_filter([CASE WHEN author <> '' THEN '作者' END, CASE WHEN publisher <> '' THEN '出版社' END, CASE WHEN subtitle <> '' THEN '副标题' END, CASE WHEN translator <> '' THEN '译者' END,
@@ -322,7 +327,7 @@ SELECT cast(k AS string) AS subject_id, 'b' || k % 3 AS batch, CASE WHEN len(mor
 FROM p ORDER BY tier, score DESC, subject_id LIMIT 12"""
 )
 def w9_golden_candidates(spark, sf):
-    return coverage.golden_candidates(samples(spark, sf), "old", "new").withColumn("reasons", F.array_join("reasons", ","))
+    return coverage.golden_candidates(stored_samples(spark, sf), "old", "new").withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query(
@@ -331,7 +336,7 @@ def w9_golden_candidates(spark, sf):
 FROM ({_STATUS}) s WHERE gate <> '' OR series IS NOT NULL ORDER BY score DESC, subject_id LIMIT 15"""
 )
 def w10_review_candidates(spark, sf):
-    return coverage.review_candidates(samples(spark, sf), "old", "new").withColumn("reasons", F.array_join("reasons", ","))
+    return coverage.review_candidates(stored_samples(spark, sf), "old", "new").withColumn("reasons", F.array_join("reasons", ","))
 
 
 # ---- lists
@@ -466,7 +471,7 @@ _READABLE = f"""SELECT k, 'Source URL: ' || url || chr(10) || 'Rule metadata: {{
 
 
 def readable_pages(spark, sf) -> DataFrame:
-    raw = pages.extract(run_sql(spark, sf, synth.PAGES)).withColumn("book", F.struct(pages.page_title(F.col("raw")).alias("title")))
+    raw = pages.extract(synth.detail_pages(spark, sf)).withColumn("book", F.struct(pages.page_title(F.col("raw")).alias("title")))
     return raw.select(F.col("k").alias("key"), "book", pages.readable_text(F.col("url"), F.col("raw"), F.col("book")).alias("readable"))
 
 

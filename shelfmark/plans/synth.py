@@ -84,6 +84,12 @@ SELECT k, url, cohort, '<html><head><title>' || main_title || ' (Catalog)</title
 FROM ({PAGE_FIELDS}) f
 """
 
+
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detail pages, dealt to all cores: the table they are made of may be one split."""
+    return run_sql(spark, sf_dir, PAGES).repartition(2 * spark.sparkContext.defaultParallelism, "k")
+
+
 #: Series: an order's lines in order, two a page; subjects repeat. The declared count is none, 2, 4 or 9.
 VOLUMES = """
 SELECT l_orderkey AS series, 1 + l_partkey % 4 AS subject, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,29 @@ _DECISION = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in
 MANIFEST = T.StructType([T.StructField("decisions", _DECISION), T.StructField("candidates", _DECISION)])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that setting is absent and the session is on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="shelfmark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other job uses."""
+    return f"{shared_dir(spark)}/shelfmark-{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for jobs that use it several times."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append", by: str | None = None) -> None:
     """Columns that a table lacks in ``df`` become null; ``by`` partitions it, as by a run."""
     have = set(df.columns)
@@ -28,42 +53,71 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
-def read_corpus(spark: SparkSession, root: str, manifest: str = "manifest.json") -> DataFrame:
-    """Pages of a captured corpus: the manifest's rows with ``html``, joined by file name. Pages are text files read whole."""
+def _below(path: Column, root: str) -> Column:
+    """A file's path below the root; schemes and hosts before the root do not matter."""
+    bare = root.rstrip("/").split("://", 1)[-1]
+    return F.substring_index(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), f"{bare}/", -1)
+
+
+def _page_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """Page files at any depth, read whole: html without a byte order mark, and file (the path below the root)."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(root)
+    return found.select(F.regexp_replace("value", "^\\uFEFF", "").alias("html"), _below(F.col("_metadata.file_path"), root).alias("file"))
+
+
+def read_corpus(spark: SparkSession, root: str, manifest: str = "manifest.json", glob: str = "*.html") -> DataFrame:
+    """Pages of a captured corpus: the manifest's rows with ``html``, joined by the file's path below the root.
+
+    A row whose file is absent keeps its place with null html, so that a loss shows. ``./`` before a path does not count.
+    """
     listed = spark.read.schema(FIXTURES).option("multiLine", True).json(f"{root}/{manifest}").select(F.explode("fixtures").alias("f")).select("f.*")
-    pages = spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(root).select(F.col("value").alias("html"), F.substring_index("_metadata.file_path", "/", -1).alias("file"))
-    return listed.join(pages, "file").withColumnRenamed("sourceUrl", "url")
+    listed = listed.withColumn("file", F.regexp_replace("file", "^(\\./)+", ""))
+    return listed.join(_page_files(spark, root, glob), "file", "left").withColumnRenamed("sourceUrl", "url")
 
 
-def read_samples(spark: SparkSession, root: str) -> DataFrame:
+def read_samples(spark: SparkSession, root: str, glob: str = "*.html", metadata: str = "metadata.json") -> DataFrame:
     """Sample folders ``.../{batch}/.../metadata.json`` with the html beside it: subject_id, url, batch, html.
 
     The source html is preferred to the captured one, a byte order mark is dropped, and the batch is the first folder below the root.
+    A sample without its page keeps null html.
     """
-    base = root.rstrip("/")
-    read = spark.read.option("recursiveFileLookup", True)
-    meta = read.option("pathGlobFilter", "metadata.json").option("multiLine", True).schema(SAMPLE).json(base).withColumn("path", F.col("_metadata.file_path"))
-    pages = read.option("pathGlobFilter", "*.html").option("wholetext", True).text(base).select(F.regexp_replace("value", "^﻿", "").alias("html"), F.col("_metadata.file_path").alias("page"))
-    folder = F.regexp_replace("path", "/[^/]*\\z", "")
-    wanted = F.concat(folder, F.lit("/"), F.coalesce("sourceHtml", "domHtml"))
-    tail = F.substring_index("path", f"{base}/", -1)
-    rows = meta.withColumn("page", wanted).withColumn("batch", F.split(tail, "/")[0]).join(pages, "page")
-    return rows.select(F.col("subjectId").alias("subject_id"), F.col("sourceUrl").alias("url"), "batch", "html").orderBy(F.col("subject_id").try_cast("long"), "subject_id")
+    meta = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", metadata).option("multiLine", True).schema(SAMPLE).json(root)
+    meta = meta.withColumn("path", _below(F.col("_metadata.file_path"), root))
+    folder = F.regexp_replace("path", "[^/]*\\z", "")
+    rows = meta.withColumn("file", F.concat(folder, F.coalesce("sourceHtml", "domHtml"))).withColumn("batch", F.split("path", "/")[0]).join(_page_files(spark, root, glob), "file", "left")
+    return rows.select(F.col("subjectId").alias("subject_id"), F.col("sourceUrl").alias("url"), "batch", "html")
+
+
+def sample_order(samples: DataFrame) -> DataFrame:
+    """By the subject's number, then by its text."""
+    return samples.orderBy(F.col("subject_id").try_cast("long"), "subject_id")
 
 
 def read_review(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    """Review manifests with the file they stand in, so that the last decision of a key is a defined one."""
+    return spark.read.schema(MANIFEST).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
 def write_review(rows: DataFrame, path: str) -> None:
+    """One manifest a row, a line each; ``read_manifest_lines`` reads them again."""
     rows.write.mode("overwrite").json(path)
 
 
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest rows, one a line, as ``write_review`` writes them."""
+    return spark.read.schema(_DECISION.elementType).json(path)
+
+
 def write_text_export(records: DataFrame, path: str, fmt: str) -> None:
-    """One entry a record, as text files."""
+    """One entry a record, as text files, entries apart by an empty line."""
     records.where(F.col("format") == fmt).select(F.concat("payload_text", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_text_export(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a text export."""
+    return spark.read.option("lineSep", "\n\n").text(path).select(F.col("value").alias("entry"))
+
+
 def comparison_rows(records: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Comparison records (id, url, html, rule_json, model_json) as raw, rule-cleaned and model-cleaned rows."""
     html = F.coalesce(F.nullif("html", F.lit("")), F.concat_ws("\n", "url", "id"))
