@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.creators import display_names
@@ -108,12 +108,21 @@ def item_notes(payloads: DataFrame, key: str = "id") -> DataFrame:
     return payloads.select(key, F.posexplode("payload.notes").alias("pos", "n")).select(key, "pos", js_trim(F.col("n.note")).alias("note")).where(has_text(F.col("note")))
 
 
+def _readlist_keys() -> list[Column]:
+    return [F.asc_nulls_last("position"), F.asc_nulls_last(F.col("subject_id").try_cast("long")), F.asc("raw_record_id")]
+
+
 def readlist_order(rows: DataFrame, most: int | None = None) -> DataFrame:
     """By position (missing last), subject number, record; the first ``most`` if given."""
-    ordered = rows.orderBy(F.asc_nulls_last("position"), F.asc_nulls_last(F.col("subject_id").try_cast("long")), "raw_record_id")
+    ordered = rows.orderBy(*_readlist_keys())
     return ordered if most is None else ordered.limit(most)
 
 
+def readlist_places(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` in that order, with their ``place`` from 1: an order that survives writing and joining."""
+    return readlist_order(rows, most).withColumn("place", F.row_number().over(Window.orderBy(*_readlist_keys())))
+
+
 def inspection_export(cleaned: DataFrame, raw: DataFrame, run_id: str, most: int | None = None, site: Site = SITE) -> DataFrame:
     """Payloads of one cleaning run with list context and an inspection note, in list order."""
     rows = cleaned.where(F.col("cleaning_run_id") == run_id).join(raw.select("raw_record_id", "source_url", "subject_id", F.get_json_object("list_context_json", "$.position").try_cast("int").alias("position")), "raw_record_id")

@@ -155,13 +155,13 @@ def completeness_warnings(summary: DataFrame, site: Site = SITE, page: int = PAG
     expected = F.ceil(total / page)
     s = site.name
     found = F.array(
-        F.when((total <= 0) & (unique > 0), F.lit(f"readlist-total-unknown: {s} did not expose a readable wish-list total; completeness could not be verified.")),
-        F.when((total > 0) & (seen < total), F.format_string(f"readlist-visible-count-mismatch: {s} declared %d wish-list books, but only %d visible list entries were fetched anonymously; %d may be hidden by login/privacy behavior.", total, seen, total - seen)),
-        F.when((total > 0) & (unique < seen), F.format_string("readlist-duplicate-visible-links: %d visible list entries resolved to %d unique subject URLs.", seen, unique)),
-        F.when((total > 0) & (pages < expected) & (seen < total), F.format_string(f"readlist-pagination-incomplete: {s} declared %d books, which implies %d pages at {page} books per page, but only %d pages were fetched.", total, expected, pages)),
+        F.when((total <= 0) & (unique > 0), F.lit(f"readlist-total-unknown: no page of {s} states how long the list is.")),
+        F.when((total > 0) & (seen < total), F.format_string(f"readlist-visible-count-mismatch: of %d entries that {s} states, %d are on the pages; %d are not shown to this reader.", total, seen, total - seen)),
+        F.when((total > 0) & (unique < seen), F.format_string("readlist-duplicate-visible-links: the %d entries on the pages name %d different subjects.", seen, unique)),
+        F.when((total > 0) & (pages < expected) & (seen < total), F.format_string(f"readlist-pagination-incomplete: %d entries fill %d pages of {page}; {s} gave %d.", total, expected, pages)),
     )
-    changed = F.transform("other_totals", lambda t: F.format_string(f"readlist-total-changed: {s} wish-list total changed from %d to %d during pagination.", total, t))
-    loop = F.array(F.when(F.col("loop_url").isNotNull(), F.concat(F.lit("readlist-pagination-loop: next-page link repeated "), "loop_url", F.lit("; stopped pagination."))))
+    changed = F.transform("other_totals", lambda t: F.format_string(f"readlist-total-changed: {s} stated %d entries first and %d on a later page.", total, t))
+    loop = F.array(F.when(F.col("loop_url").isNotNull(), F.concat(F.lit("readlist-pagination-loop: a page came up a second time: "), "loop_url")))
     return summary.withColumn("warnings", F.filter(F.concat(changed, loop, found), lambda w: w.isNotNull()))
 
 
@@ -176,9 +176,9 @@ def capture_completeness(inputs: DataFrame, site: Site = SITE) -> DataFrame:
     )
     out = inputs.withColumn("completeness_status", status)
     text = (
-        F.when(c("completeness_status") == "incomplete-list-capture", F.format_string(f"readlist-pagination-incomplete: {site.name} declared %d books, which implies %d pages, but only %d list pages were captured.", "declared_total", "expected_pages", "captured_list_pages"))
-        .when(c("completeness_status") == "incomplete-detail-capture", F.format_string("readlist-detail-capture-incomplete: attempted %d detail pages, succeeded %d, and recorded %d failures.", "details_attempted", "details_succeeded", "detail_failures"))
-        .when(c("completeness_status") == "incomplete-row-count", F.format_string("row-count-mismatch: %d detail pages succeeded but raw_scraped_records has %d rows.", "details_succeeded", "raw_records"))
+        F.when(c("completeness_status") == "incomplete-list-capture", F.format_string(f"readlist-pagination-incomplete: the %d entries that {site.name} states fill %d pages; the capture has %d.", "declared_total", "expected_pages", "captured_list_pages"))
+        .when(c("completeness_status") == "incomplete-detail-capture", F.format_string("readlist-detail-capture-incomplete: of %d detail pages asked for, %d came and %d failed.", "details_attempted", "details_succeeded", "detail_failures"))
+        .when(c("completeness_status") == "incomplete-row-count", F.format_string("row-count-mismatch: %d detail pages came, %d raw records are stored.", "details_succeeded", "raw_records"))
     )
     return out.withColumn("completeness_warnings", F.array_distinct(F.concat("discovery_warnings", F.filter(F.array(text), lambda w: w.isNotNull()))))
 
@@ -270,22 +270,22 @@ def audit_lists(people: DataFrame, selected: DataFrame, subjects: DataFrame, che
     right = list_summary(people.withColumnsRenamed({"expected_pages": "e", "last_page_items": "l"}), page)
     err = lambda df, text: df.select(F.lit("error").alias("severity"), text.alias("message"))
     parts = [
-        err(right.where("e <> expected_pages"), m(f"%s: expectedPageCount %d does not match ceil(%d/{page})", "person", "e", "declared_total")),
-        err(right.where("l <> last_page_items"), m("%s: lastPageItemCount %d does not match declared total %d", "person", "l", "declared_total")),
-        err(selected.join(people, "person").where("page_index < 0 or page_index >= expected_pages"), m("%s: selected page %d is outside expected page range", "person", "page_index")),
-        err(subjects.where(~F.col("url").rlike(f"^{site.root}/subject/[0-9]+/\\z")), F.concat(F.lit("invalid selected subject URL: "), "url")),
-        err(subjects.groupBy("subject_id").agg(F.count("*").alias("n")).where("n > 1"), F.concat(F.lit("duplicate selected subject ID: "), F.col("subject_id").cast("string"))),
+        err(right.where("e <> expected_pages"), m(f"pages of %s: %d recorded, but %d entries of {page} a page were stated", "person", "e", "declared_total")),
+        err(right.where("l <> last_page_items"), m("last page of %s: %d entries recorded, which does not go with %d in all", "person", "l", "declared_total")),
+        err(selected.join(people, "person").where("page_index < 0 or page_index >= expected_pages"), m("choice for %s: there is no page %d", "person", "page_index")),
+        err(subjects.where(~F.col("url").rlike(f"^{site.root}/subject/[0-9]+/\\z")), F.concat(F.lit("chosen subject without a subject's address: "), "url")),
+        err(subjects.groupBy("subject_id").agg(F.count("*").alias("n")).where("n > 1"), F.concat(F.lit("subject chosen more than once: "), F.col("subject_id").cast("string"))),
     ]
     joined = checks.join(people.select("person", "declared_total"), "person", "left")
-    at = lambda text, *cols: m(f"%s page %d: {text}", "person", "page_index", *cols)
+    at = lambda text, *cols: m(f"page %2$d of %1$s: {text}", "person", "page_index", *cols)
     shown = joined.where("d.range is not null")
     parts += [
-        err(joined.where("d.range is null"), at("parser did not find subject-num")),
-        err(shown.where("d.range.total <> declared_total"), at("subject-num total %d differs from first-page total %d", F.col("d.range.total"), "declared_total")),
-        err(shown.where("d.range.start <> expected_start"), at("subject-num start %d differs from expected %d", F.col("d.range.start"), "expected_start")),
-        err(shown.where("d.range.end <> expected_end"), at("subject-num end %d differs from expected %d", F.col("d.range.end"), "expected_end")),
-        err(shown.where("d.visible <> visible_links"), at("parser saw %d links, manifest recorded %d", F.col("d.visible"), "visible_links")),
-        shown.where("d.visible < d.range.end - d.range.start + 1").select(F.lit("warning").alias("severity"), at("subject-num range has %d entries but anonymous page exposes %d unique subject links", F.col("d.range.end") - F.col("d.range.start") + 1, F.col("d.visible")).alias("message")),
+        err(joined.where("d.range is null"), at("no counter")),
+        err(shown.where("d.range.total <> declared_total"), at("its counter ends at %3$d, that of the first page at %4$d", F.col("d.range.total"), "declared_total")),
+        err(shown.where("d.range.start <> expected_start"), at("begins with entry %3$d instead of %4$d", F.col("d.range.start"), "expected_start")),
+        err(shown.where("d.range.end <> expected_end"), at("ends with entry %3$d instead of %4$d", F.col("d.range.end"), "expected_end")),
+        err(shown.where("d.visible <> visible_links"), at("has %3$d links, the capture noted %4$d", F.col("d.visible"), "visible_links")),
+        shown.where("d.visible < d.range.end - d.range.start + 1").select(F.lit("warning").alias("severity"), at("counts %3$d entries and shows %4$d different links", F.col("d.range.end") - F.col("d.range.start") + 1, F.col("d.visible")).alias("message")),
     ]
     out = parts[0]
     for p in parts[1:]:

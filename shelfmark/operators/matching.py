@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,12 @@ def title_matches(books: DataFrame, library: DataFrame, ignore_case: bool = True
     """Best similar item of each book: book_key, item_id, item_title, confidence, reason.
 
     A pair is compared if the item's title contains the first ten characters of the book's main title. That is an equi-join: the
-    item's title is cut into all pieces of the lengths that occur. Equal books and equal items are compared once. Books come
+    item's title is cut into all pieces of the lengths that occur. Titles whose normalized lengths differ by half or more cannot
+    reach the threshold, so the join's key has a band of lengths as well (a book goes to its own band and both next to it), and a
+    beginning that many titles share meets only titles of like length. Equal books and equal items are compared once. Books come
     here without an ISBN match, so of a book with ISBNs only items without any are comparable.
     """
+    band = lambda title: F.when(F.length(title) > 0, F.floor(F.log(F.length(title).cast("double")) / math.log(1.5)).cast("int")).otherwise(-9)
     fold = F.lower if ignore_case else lambda c: c
     year = F.coalesce(_years(F.col("publish_date")), F.lit(""))
     b = books.select("book_key", F.col("title").alias("b_title"), F.coalesce("publisher", F.lit("")).alias("b_pub"), year.alias("b_year"), (F.size(nz.isbn_keys("isbn13", "isbn")) > 0).alias("b_isbn"))
@@ -51,12 +56,15 @@ def title_matches(books: DataFrame, library: DataFrame, ignore_case: bool = True
     low = fold(F.col("i_title"))
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PREFIX)), lambda k: F.when(F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substr(low, i, k))).otherwise(F.array().cast("array<string>"))))
     lengths = kinds.select(F.length("piece").alias("k")).distinct()
-    cut = items.select("i_title").distinct().select("i_title", F.explode(F.array_distinct(pieces)).alias("piece")).withColumn("k", F.length("piece")).join(F.broadcast(lengths), "k", "left_semi").drop("k")  # at most ten lengths
-    titles = kinds.select("piece").distinct().join(cut, "piece")
+    cut = items.select("i_title", "i_norm").distinct().select("i_title", band(F.col("i_norm")).alias("band"), F.explode(F.array_distinct(pieces)).alias("piece"))
+    cut = cut.withColumn("k", F.length("piece")).join(F.broadcast(lengths), "k", "left_semi").drop("k")  # at most ten lengths
+    near = F.sequence(band(F.col("b_norm")) - 1, band(F.col("b_norm")) + 1)
+    kinds = kinds.withColumn("band", F.explode(near))
+    titles = kinds.select("piece", "band").distinct().join(cut, ["piece", "band"])
     both = (F.col("b_pub") != "") & (F.col("i_pub") != "")
     la, lb = F.length("b_norm"), F.length("i_norm")
     bound = F.when(F.greatest(la, lb) == 0, 1.0).otherwise(1 - F.abs(la - lb) / F.greatest(la, lb))
-    pairs = kinds.join(titles, "piece").join(items, "i_title").where(~(F.col("b_isbn") & F.col("i_isbn"))).where(F.when(both, TITLE * bound + 0.4 + 1e-9).otherwise(bound + 1e-9) > CANDIDATE)
+    pairs = kinds.join(titles, ["piece", "band"]).join(items, "i_title").where(~(F.col("b_isbn") & F.col("i_isbn"))).where(F.when(both, TITLE * bound + 0.4 + 1e-9).otherwise(bound + 1e-9) > CANDIDATE)
     pairs = pairs.withColumn("t", nz.similarity(F.col("b_norm"), F.col("i_norm"))).withColumn("p", F.when(both, nz.similarity(F.col("b_pub_norm"), F.col("i_pub_norm"))))
     years = (F.col("b_year") != "") & (F.col("i_year") != "")
     weighted = F.col("t") * TITLE + F.col("p") * PUBLISHER

@@ -9,7 +9,7 @@ from ..functions import normalize as nz
 from ..functions.text import candidate_id, js_trim
 from ..schemas import BOOK_FIELDS, CREATOR_DDL, ID_FIELDS, STRING_FIELDS
 from ..site import SITE, Site
-from . import exports, validate
+from . import exports, pages, validate
 
 # Field groups of the merge policy.
 REQUIRED = ("title", "publisher", "publish_date")
@@ -120,6 +120,13 @@ def replay(parsed: Column, stored: Column) -> Column:
     return F.struct(parsed.withField("language", F.coalesce(own, parsed["language"])).alias("book"), own.isNotNull().alias("preserved"))
 
 
+def replay_pages(rows: DataFrame, site: Site = SITE) -> DataFrame:
+    """Stored pages (url, raw_html, stored: the model's record) parsed again: book, preserved, and validation. Pages that fail are left out."""
+    good, _ = pages.split_failures(pages.books(rows, site, "raw_html"))
+    made = good.withColumn("__r", replay(F.col("book"), F.col("stored"))).withColumns({"book": F.col("__r.book"), "preserved": F.col("__r.preserved")})
+    return validate.with_validation(made.drop("__r", "stored"))
+
+
 PROMPT = "Clean the metadata of one book page. Answer with one JSON object. Leave a field out when the page does not prove it."
 
 
@@ -206,10 +213,15 @@ def candidate_rows(cleaned: DataFrame, cleaning_runs: DataFrame, raw: DataFrame,
 
 
 def review_decisions(manifest: DataFrame) -> DataFrame:
-    """Decisions of a manifest row with the arrays ``decisions`` and ``candidates``: key, decision, notes; invalid ones out, the last of a key wins."""
-    every = manifest.select(F.posexplode(F.concat(F.coalesce("decisions", F.array()), F.coalesce("candidates", F.array()))).alias("pos", "d"))
-    rows = every.select("pos", F.coalesce("d.model_record_id", "d.candidate_id").alias("key"), "d.decision", "d.notes").where(F.col("decision").isin("accept", "skip") & F.col("key").isNotNull())
-    return rows.groupBy("key").agg(F.max_by(F.struct("decision", "notes"), "pos").alias("d")).select("key", "d.decision", "d.notes")
+    """Decisions of manifest rows with the arrays ``decisions`` and ``candidates``: key, decision, notes; invalid ones out.
+
+    The last of a key wins: by ``file`` (the manifest's name, if there is such a column), then by place; of rows that agree in
+    both, the larger decision and note.
+    """
+    file = F.col("file") if "file" in manifest.columns else F.lit("")
+    every = manifest.select(file.alias("file"), F.posexplode(F.concat(F.coalesce("decisions", F.array()), F.coalesce("candidates", F.array()))).alias("pos", "d"))
+    rows = every.select("file", "pos", F.coalesce("d.model_record_id", "d.candidate_id").alias("key"), "d.decision", "d.notes").where(F.col("decision").isin("accept", "skip") & F.col("key").isNotNull())
+    return rows.groupBy("key").agg(F.max(F.struct("file", "pos", "decision", "notes")).alias("d")).select("key", "d.decision", "d.notes")
 
 
 def build_candidates(rows: DataFrame, decisions: DataFrame, site: Site = SITE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -55,24 +56,25 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def _below(path: Column, root: str) -> Column:
     """A file's path below the root; schemes and hosts before the root do not matter."""
-    bare = root.rstrip("/").split("://", 1)[-1]
+    bare = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//)?", "", root.rstrip("/"))
     return F.substring_index(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), f"{bare}/", -1)
 
 
-def _page_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+def page_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Page files at any depth, read whole: html without a byte order mark, and file (the path below the root)."""
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(root)
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     return found.select(F.regexp_replace("value", "^\\uFEFF", "").alias("html"), _below(F.col("_metadata.file_path"), root).alias("file"))
 
 
-def read_corpus(spark: SparkSession, root: str, manifest: str = "manifest.json", glob: str = "*.html") -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, manifest: str = "manifest.json", glob: str = "*.html", lines: bool = False) -> DataFrame:
     """Pages of a captured corpus: the manifest's rows with ``html``, joined by the file's path below the root.
 
-    A row whose file is absent keeps its place with null html, so that a loss shows. ``./`` before a path does not count.
+    A row whose file is absent keeps its place with null html, so that a loss shows. ``./`` before a path does not count. A large
+    manifest may be a folder of ``lines``, each an object with some of the fixtures.
     """
-    listed = spark.read.schema(FIXTURES).option("multiLine", True).json(f"{root}/{manifest}").select(F.explode("fixtures").alias("f")).select("f.*")
+    listed = spark.read.schema(FIXTURES).option("multiLine", not lines).json(f"{root}/{manifest}").select(F.explode("fixtures").alias("f")).select("f.*")
     listed = listed.withColumn("file", F.regexp_replace("file", "^(\\./)+", ""))
-    return listed.join(_page_files(spark, root, glob), "file", "left").withColumnRenamed("sourceUrl", "url")
+    return listed.join(page_files(spark, root, glob), "file", "left").withColumnRenamed("sourceUrl", "url")
 
 
 def read_samples(spark: SparkSession, root: str, glob: str = "*.html", metadata: str = "metadata.json") -> DataFrame:
@@ -84,7 +86,7 @@ def read_samples(spark: SparkSession, root: str, glob: str = "*.html", metadata:
     meta = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", metadata).option("multiLine", True).schema(SAMPLE).json(root)
     meta = meta.withColumn("path", _below(F.col("_metadata.file_path"), root))
     folder = F.regexp_replace("path", "[^/]*\\z", "")
-    rows = meta.withColumn("file", F.concat(folder, F.coalesce("sourceHtml", "domHtml"))).withColumn("batch", F.split("path", "/")[0]).join(_page_files(spark, root, glob), "file", "left")
+    rows = meta.withColumn("file", F.concat(folder, F.coalesce("sourceHtml", "domHtml"))).withColumn("batch", F.split("path", "/")[0]).join(page_files(spark, root, glob), "file", "left")
     return rows.select(F.col("subjectId").alias("subject_id"), F.col("sourceUrl").alias("url"), "batch", "html")
 
 
