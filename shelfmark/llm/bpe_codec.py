@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import PORTION, portions, set_aside, unused
 
+MANY = 1 << 17  # positions that enter the index at once
 FEW = 40  # positions of a rank that are merged one by one
 SLICE = 1 << 19  # characters whose results leave a worker at once
 
@@ -81,7 +82,7 @@ class Vocabulary:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; ``none`` where it does not merge."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.ranks[at], self.none)
 
@@ -166,17 +167,19 @@ class Chain:
         bytes_ = np.frombuffer(data, dtype=np.uint8)
         n = len(bytes_)
         ends = np.cumsum(size)[size > 0] - 1
-        symbol = vocabulary.inner[bytes_]
+        symbol = vocabulary.inner[bytes_].astype(np.int32)
         symbol[ends] = vocabulary.last[bytes_[ends]]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends] = -1
         before[ends[:-1] + 1] = -1
         # each column twice: as an array for long lists of positions, as machine integers for short ones
-        self.columns = [array("q", x.astype(np.int64).tobytes()) for x in (symbol, after, before)]
-        self.symbol, self.after, self.before = (np.frombuffer(c, dtype=np.int64) for c in self.columns)
+        self.columns = [array("i", x.tobytes()) for x in (symbol, after, before)]
+        self.symbol, self.after, self.before = (np.frombuffer(c, dtype=np.int32) for c in self.columns)
         self.waiting: list[int] = []
         self.places: dict[int, list] = {}
-        self.add(np.flatnonzero(self.after >= 0))
+        del symbol, after, before
+        for begin in range(0, n, MANY):
+            self.add(np.flatnonzero(self.after[begin : begin + MANY] >= 0).astype(np.int32) + np.int32(begin))
 
     def add(self, at: np.ndarray) -> None:
         """Enters the pairs that start at these positions."""
@@ -255,8 +258,8 @@ def load(path: str) -> Vocabulary:
 
 
 def _batches(batches: Iterator[pd.Series], vocabulary: Vocabulary) -> Iterator[list[np.ndarray]]:
-    """Ids of the texts, indexed by portions and handed on in slices."""
-    for texts in portions(batches, PORTION):
+    """Ids of the texts, indexed by portions and handed on in slices; a worker of the pipeline has room for about a million characters."""
+    for texts in portions(batches, PORTION // 4):
         texts = ["" if t is None else t for t in texts]
         ids = vocabulary.encode_batch(texts)
         begin, held = 0, 0
