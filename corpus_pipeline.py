@@ -35,7 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         keyed = cut(keyed.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*"), "one-row-a-key")
     groups = simhash_dedup.near_duplicates(keyed.select("doc_id", "text"))
     kept = cut(groups.where("doc_id = component_id").select("doc_id"), "kept")
-    return keyed.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # the keys grow with the documents, so they are shuffled at every size, small tables included
+    return keyed.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
