@@ -52,7 +52,10 @@ def validation_coverage(samples: DataFrame, cohorts: tuple[str, str]) -> DataFra
 
 
 def histogram(samples: DataFrame, column: str) -> DataFrame:
-    return samples.select(F.explode(column).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    """How often each value of an array column occurs."""
+    # outer, then filtered: a plain explode has a filter inferred that repeats the array's expression below it
+    values = samples.select(F.posexplode_outer(column).alias("pos", "value")).where("pos is not null")
+    return values.groupBy("value").agg(F.count("*").alias("n"))
 
 
 def sample_counts(samples: DataFrame, cohorts: tuple[str, str]) -> DataFrame:
