@@ -36,4 +36,9 @@ c AS (SELECT node, min(low) AS component_id FROM r GROUP BY 1), k AS (SELECT a A
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.node = vec_id
 """
 
-ORACLE_SQL = {"op5_embedding_dedup": EMBEDDINGS, "op7_phrase_dedup": PHRASES, "op8_decontaminate": DECONTAMINATE}
+COPIES = f"""
+WITH d AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256 FROM d WINDOW same AS (PARTITION BY t)
+"""
+
+ORACLE_SQL = {"op5_embedding_dedup": EMBEDDINGS, "op7_phrase_dedup": PHRASES, "op8_decontaminate": DECONTAMINATE, "op12_stream_dedup": COPIES}
