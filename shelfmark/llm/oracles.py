@@ -36,9 +36,30 @@ c AS (SELECT node, min(low) AS component_id FROM r GROUP BY 1), k AS (SELECT a A
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN k ON k.node = vec_id
 """
 
+# CRC-32 of strings of characters up to 07FF, through a table of its 256 steps
+_CRC_TABLE = "SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c // 2, (c % 2) * 3988292384))) AS crc_table"
+_UTF8 = "flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] WHEN ord(x) < 2048 THEN [192 + ord(x) // 64, 128 + ord(x) % 64] ELSE [224 + ord(x) // 4096, 128 + ord(x) // 64 % 64, 128 + ord(x) % 64] END))"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295, {_UTF8}), lambda c, b: xor(c // 256, crc_table[xor(c % 256, b) + 1])))"
+
+RESAMPLE = f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format('text')} AS w FROM documents), e AS (SELECT {_ALNUM.format('text')} AS w FROM benchmark), k AS ({_CRC_TABLE}),
+df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+ef AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM e),
+known AS (SELECT f, {_CRC.format('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM ef) x) y, k),
+db AS (SELECT doc_id, bucket FROM df JOIN known USING (f)), s AS (SELECT bucket, count(*) AS s FROM db GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM ef JOIN known USING (f) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM df)::DOUBLE AS s_all, (SELECT count(*) FROM ef)::DOUBLE AS t_all),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+m AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS total FROM db JOIN g USING (bucket) GROUP BY 1),
+v AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CASE WHEN n_features IS NULL THEN 0 ELSE (total - (total % n_features + n_features) % n_features) // n_features END AS weight,
+  ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS fit FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank FROM r
+"""
+
 COPIES = f"""
 WITH d AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256 FROM d WINDOW same AS (PARTITION BY t)
 """
 
-ORACLE_SQL = {"op5_embedding_dedup": EMBEDDINGS, "op7_phrase_dedup": PHRASES, "op8_decontaminate": DECONTAMINATE, "op12_stream_dedup": COPIES}
+ORACLE_SQL = {"op5_embedding_dedup": EMBEDDINGS, "op7_phrase_dedup": PHRASES, "op8_decontaminate": DECONTAMINATE, "op11_importance_resample": RESAMPLE, "op12_stream_dedup": COPIES}
