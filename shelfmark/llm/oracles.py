@@ -57,9 +57,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DES
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank FROM r
 """
 
+SPELLING = f"""
+WITH RECURSIVE k AS ({_CRC_TABLE}), r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) x),
+g AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY 1, 2), h AS (SELECT run, c, {_CRC.format("doc_id || ':' || run")} AS h FROM g, k),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+s AS (SELECT word, n, substr(word, 1, i) || chr(0) || substr(word, i + 2) AS gap FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w) x),
+p AS (SELECT word, n, substr(word, 1, i) || chr(0) || substr(word, i + 1) AS gap FROM (SELECT word, n, unnest(range(0, length(word) + 1)) AS i FROM w) x),
+a AS (SELECT x.word, y.word AS near, y.n FROM s x JOIN s y USING (gap) WHERE x.word <> y.word UNION SELECT x.word, y.word, y.n FROM s x JOIN p y USING (gap) UNION SELECT y.word, x.word, x.n FROM s x JOIN p y USING (gap)),
+b AS (SELECT word, near, n AS near_n, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(near)) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM w LEFT JOIN (SELECT * FROM b WHERE place = 1) c USING (word)),
+z(word, root, d) AS (SELECT word, word, 0 FROM f UNION ALL SELECT z.word, f.form, d + 1 FROM z JOIN f ON f.word = z.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, d) AS root FROM z GROUP BY 1) y USING (word)
+"""
+
 COPIES = f"""
 WITH d AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256 FROM d WINDOW same AS (PARTITION BY t)
 """
 
-ORACLE_SQL = {"op5_embedding_dedup": EMBEDDINGS, "op7_phrase_dedup": PHRASES, "op8_decontaminate": DECONTAMINATE, "op11_importance_resample": RESAMPLE, "op12_stream_dedup": COPIES}
+ORACLE_SQL = {"op5_embedding_dedup": EMBEDDINGS, "op7_phrase_dedup": PHRASES, "op8_decontaminate": DECONTAMINATE, "op11_importance_resample": RESAMPLE, "op12_stream_dedup": COPIES, "op13_spelling_variants": SPELLING}

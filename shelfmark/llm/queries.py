@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, embedding_dedup, importance, language_id, license_scan, phrase_dedup, secret_scan, simhash_dedup, stream_dedup, suffix_dedup, toxicity
+from . import bpe_codec, decontaminate, embedding_dedup, importance, language_id, license_scan, phrase_dedup, secret_scan, simhash_dedup, spelling, stream_dedup, suffix_dedup, toxicity
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "VOCABULARY"]
@@ -72,10 +72,15 @@ def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.digest(stream_dedup.judge_copies(spark, f"{sf_dir}/documents.parquet"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.digest(spelling.group_variants(spelling.vocabulary(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_simhash_dedup, op3_language_id, op4_suffix_dedup, op5_embedding_dedup, op6_toxicity, op7_phrase_dedup, op8_decontaminate, op9_bpe_codec, op10_license_scan,
-        op11_importance_resample, op12_stream_dedup,
+        op11_importance_resample, op12_stream_dedup, op13_spelling_variants,
     )
 }
