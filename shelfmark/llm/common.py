@@ -43,6 +43,21 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEAN, before)
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Deletes at its end all tables that ``cut`` writes within it, but for those that the block takes out of the list it is given."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        discard(*made)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here and any executor can be lost afterwards."""
     spark = df.sparkSession
@@ -51,6 +66,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.shelfmark_path = path
+    if _scopes:
+        _scopes[-1].append(made)
     return made
 
 

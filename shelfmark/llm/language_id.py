@@ -2,10 +2,10 @@
 
 A linear one-versus-rest machine picks the language family; within the family one-versus-one linear support vector machines
 vote between the languages. Features are relative frequencies of hashed byte n-grams of the whole lower-cased text. Training
-uses a bounded sample of labelled rows: of the ``MOST_LANGUAGES`` languages with the most different texts about
-``PER_LANGUAGE`` different texts each, and about ``MOST_ROWS`` in all, spread by a hash of the text; a text counts once for a
-language, however many rows hold it. The n-gram frequencies are counted on Spark and only that many small vectors reach the
-driver. Prediction is a sum of weights per n-gram inside each task.
+uses a bounded sample of labelled rows: of each language about ``PER_LANGUAGE`` different texts, about ``MOST_ROWS`` in all, and
+one at least, spread by a hash of the text; a text counts once for a language, however many rows hold it. Every language of
+the labels is learned; only their number, that of the world's languages, has no bound of its own. The n-gram frequencies are counted on
+Spark and only that many small vectors reach the driver. Prediction is a sum of weights per n-gram inside each task.
 
 A text that is null or has no letter is ``und`` with score 0. Without any learnable language every text is ``und``. Repeated
 rows and keys get equal results for equal texts; an empty table gives an empty one. A null key is not held out. Columns of the input with the
@@ -28,7 +28,6 @@ from .common import portions, set_aside, unused
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 PER_LANGUAGE = 300
-MOST_LANGUAGES = 64
 MOST_ROWS = 3000
 CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
@@ -123,24 +122,22 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3) ->
     return w, float(b)
 
 
-def sample(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_rows: int = MOST_ROWS, text_col: str = "text", lang_col: str = "lang") -> DataFrame | None:
+def sample(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, text_col: str = "text", lang_col: str = "lang") -> DataFrame | None:
     """Rows (lang, text) to learn from; None if no row may be learned from. A text and language appear once.
 
     Of each language the texts whose hash falls below a threshold are taken, so that about ``per_language`` are expected, fewer
-    where that many for each language would be over ``most_rows``.
+    where that many for each language would be over ``most_rows``, and the text with the least hash in any case.
     """
     known = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.withColumn("mark", F.xxhash64("text", F.lit("language sample")))
-    different = known.groupBy("lang", "mark").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("n"))
-    rows = {r["lang"]: r["n"] for r in different.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    if not rows:
+    different = known.groupBy("lang", "mark").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("n"), F.min("mark").alias("least")).collect()
+    if not different:
         return None
-    each = min(per_language, most_rows / len(rows))
-    share = F.pmod("mark", F.lit(1_000_000)).cast("double")
-    take = F.lit(False)
-    for lang, n in rows.items():
-        take = take | ((F.col("lang") == lang) & (share < 1_000_000 * min(1.0, each / n)))
-    return known.where(take).dropDuplicates(["lang", "mark"]).select("lang", "text")
+    each = min(per_language, most_rows / len(different))
+    wanted = docs.sparkSession.createDataFrame([(r["lang"], r["least"], 1_000_000 * min(1.0, each / r["n"])) for r in different], "lang string, least long, below double")
+    marked = known.join(F.broadcast(wanted), "lang")  # a row a language
+    chosen = marked.where((F.col("mark") == F.col("least")) | (F.pmod("mark", F.lit(1_000_000)).cast("double") < F.col("below")))
+    return chosen.dropDuplicates(["lang", "mark"]).select("lang", "text")
 
 
 def train(docs: DataFrame, may_learn: Column, **params) -> Model | None:

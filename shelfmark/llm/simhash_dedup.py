@@ -186,5 +186,17 @@ def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
     return marked.join(final, "fp", "left").select(F.col("doc").alias(key_col), "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row for each row of ``docs``: its key, ``tie`` (a hash of its text) and ``group``, the smallest fingerprint it reaches.
+
+    Groups follow the texts alone, so rows with one key and different texts are documents of their own.
+    """
+    marked = cut(docs.select(key_col, F.xxhash64(text_col).alias("tie"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
+    classes = cut(marked.select("fp", F.col("fp").alias("rep")).distinct(), "classes")
+    linked = links(classes, radius)
+    joined = components(linked).select(F.col("node").alias("fp"), "component")
+    return marked.join(joined.hint("merge"), "fp", "left").select(key_col, "tie", F.coalesce("component", "fp").alias("group"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
