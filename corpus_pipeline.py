@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe_codec, decontaminate, language_id, secret_scan, simhash_dedup
-from shelfmark.llm.common import cut
+from shelfmark.llm.common import cut, discard, temporary
 from shelfmark.llm.queries import VOCABULARY
 
 
@@ -28,15 +28,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest key stays; of repeated rows of a key, the one with the least hash of its text and then of its row; rows without a key stay."""
+    """Of each group of near copies the document with the smallest key stays, of a key's texts in it the one with the least hash. Rows with one key
+    and different texts are different documents; of rows with one key and text the one whose row has the least hash stays; rows without a key stay."""
     keyed = docs.where("doc_id is not null")
     if keyed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        order = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(F.struct(*docs.columns))))
-        keyed = cut(keyed.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*"), "one-row-a-key")
-    groups = simhash_dedup.near_duplicates(keyed.select("doc_id", "text"))
-    kept = cut(groups.where("doc_id = component_id").select("doc_id"), "kept")
+        order = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+        keyed = cut(keyed.groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*"), "one-row-a-document")
+    groups = simhash_dedup.near_groups(keyed.select("doc_id", "text"))
+    least = F.min(F.struct("doc_id", "tie")).alias("least")
+    kept = cut(groups.groupBy("group").agg(least).select(F.col("least.doc_id").alias("kept_key"), F.col("least.tie").alias("kept_tie")), "kept")
     # the keys grow with the documents, so they are shuffled at every size, small tables included
-    return keyed.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    same = (F.col("doc_id") == F.col("kept_key")) & (F.xxhash64("text") == F.col("kept_tie"))
+    return keyed.join(kept.hint("merge"), same, "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +74,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary() as made:  # what a stage wrote on its way goes once its result is written, and so does the stage before
+            new = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            made.remove(new)
+        discard(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)
