@@ -4,7 +4,7 @@ A word goes if a window of ``WINDOW`` consecutive words that covers it also star
 regions come from ``windows``. A shard confirms by hashes which windows recur in segments of different documents, compiles those
 alone into an Aho-Corasick automaton over word numbers, and streams all its segments through it in the order of their documents:
 the automaton locates every occurrence, and those after the first document's are marked. Segments equal to one another are
-streamed once and the marks hold for each of their places, so every document's occurrences are found. Automata are sharded by
+streamed at the first and the last of their places, and the marks of the last hold for those between, so every document's occurrences are found. Automata are sharded by
 anchor and hold a bounded number of words; they are not broadcast, since the number of recurring phrases grows with the corpus.
 
 Words stand between ASCII white space and stay as they are. Null text has no words. A row with a null key is kept whole. Repeated
@@ -56,11 +56,11 @@ def _numbered(bodies: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 def _marker(window: int):
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["anchor", "seg"]).sort_values(["anchor", "doc", "tid", "span"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["anchor", "doc", "tid", "span"]).reset_index(drop=True)
         weight = pd.Series(sizes(pdf["span"].to_numpy()) + window).cumsum()
         # whole anchors, of about AUTOMATON_WORDS words, make one automaton
         bucket = (weight // AUTOMATON_WORDS).groupby(pdf["anchor"]).transform("min")
-        return pd.concat([_mark_some(part, window) for _, part in pdf.groupby(bucket)] or [as_ranges(*[np.empty(0, np.int64)] * 3)])
+        return pd.concat([_mark_some(part, window) for _, part in pdf.groupby(bucket)])
 
     return mark
 
@@ -78,7 +78,7 @@ def _mark_some(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     recur = head[of[np.append(head[1:], len(h)) - 1] != of[head]]
     if not len(recur):
-        return as_ranges(*[np.empty(0, np.int64)] * 3)
+        return as_ranges(pdf, np.empty(0, np.int64), np.empty(0, np.int64))
     letters = code.astype("<u4").tobytes().decode("utf-32-le")
     machine = ahocorasick.Automaton()
     for k, p in enumerate(at[order[recur]].tolist()):
@@ -92,7 +92,7 @@ def _mark_some(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
                 found.append(k)
                 off.append(end - window + 1)
     found = np.array(found, dtype=np.int64)
-    return as_ranges(pdf["anchor"].to_numpy()[found], pdf["seg"].to_numpy()[found], np.array(off, dtype=np.int64))
+    return as_ranges(pdf, found, np.array(off, dtype=np.int64))
 
 
 def remove_phrases(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, out_col: str = "dedup") -> DataFrame:

@@ -112,7 +112,7 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, depth: int) -
 
 def _marker(length: int):
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["anchor", "seg"]).sort_values(["doc", "tid", "span"])
+        pdf = pdf.sort_values(["doc", "tid", "span"])
         size = sizes(pdf["span"].to_numpy())
         data = np.frombuffer(b"".join(pdf["body"]), dtype=np.uint8)
         begin = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])
@@ -120,7 +120,7 @@ def _marker(length: int):
         off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         # windows lie inside their segments, so what is compared never crosses from one segment into the next before the full length
         marked = np.flatnonzero(longest_previous_factors(data, begin[row] + off, length) >= length)
-        return as_ranges(pdf["anchor"].to_numpy()[row[marked]], pdf["seg"].to_numpy()[row[marked]], off[marked])
+        return as_ranges(pdf, row[marked], off[marked])
 
     return mark
 

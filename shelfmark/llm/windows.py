@@ -6,11 +6,13 @@ for about half a window's length. Only segments are shuffled, as (anchor, hash,
 written as a table:
 
 1. anchors that occur once anywhere hold no repeated window and are dropped after one aggregation;
-2. of segments with equal anchor and hash (128 bits of the content together), every one but the first is repeated whole;
-3. an anchor with different segments, or a segment with its anchor twice, is ``mixed``: the text of the first of each of its
-   segments goes to a shard chosen by the anchor, where the operator's own method marks the windows that also start in an
-   earlier segment. An anchor with more than ``HOT`` different segments would outgrow its shard: its windows become segments of
-   their own (one window each), so that rule 2 settles them.
+2. segments with equal anchor and hash (128 bits of the content together) are one class. Its text goes to a shard chosen by the anchor, as
+   its first and its last place, and the operator's own method marks the windows there that also start in an earlier one. The
+   marks of the last place hold for all places after the first, since they see the same windows before them;
+3. an anchor with more than ``HOT`` classes would outgrow its shard. Its windows become classes of their own: those that
+   stand once are dropped, and the others go to shards chosen by their hash, to be marked by the same method.
+
+Hashes choose what is looked at; nothing is removed that the operator's method has not marked.
 
 Aggregations have map-side minima and the joins read written tables, so a passage that stands in a third of all documents, or
 any number of copies, never gathers in one task. Texts are shuffled two times, as join partners of what concerns them.
@@ -185,8 +187,8 @@ def _size() -> Column:
 
 
 def _texts(docs: DataFrame, reps: DataFrame, kind: Kind) -> DataFrame:
-    """The bytes of segments, taken from their documents: anchor, seg, doc, tid, span, hot, body."""
-    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "seg", "span", "hot")).alias("wanted"))
+    """The bytes of classes, taken from their first documents: rows of ``_TEXT_COLS``."""
+    wanted = reps.groupBy("doc", "tid").agg(F.collect_list(F.struct("anchor", "seg", "span", "two", "last", "hot")).alias("wanted"))
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -195,42 +197,82 @@ def _texts(docs: DataFrame, reps: DataFrame, kind: Kind) -> DataFrame:
                 parts = kind.split(text)
                 for w in wanted_:
                     start = starts(w["span"])
-                    rows.append((w["anchor"], w["seg"], doc, tid, w["span"], w["hot"], kind.cut(parts, start, start + sizes(w["span"]) + kind.window - 1)))
+                    last = w["last"]
+                    rows.append((w["anchor"], w["seg"], doc, tid, w["span"], w["two"], last["doc"], last["tid"], last["span"], w["hot"], kind.cut(parts, start, start + sizes(w["span"]) + kind.window - 1)))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=_TEXT_COLS)
                     rows = []
             yield pd.DataFrame(rows, columns=_TEXT_COLS)
 
-    return docs.join(wanted, ["doc", "tid"]).select("doc", "tid", "text", "wanted").mapInPandas(take, "anchor long, seg long, doc long, tid long, span long, hot boolean, body binary")
+    return docs.join(wanted, ["doc", "tid"]).select("doc", "tid", "text", "wanted").mapInPandas(take, _TEXT_SCHEMA)
+
+
+# no column is null: pandas would turn longs with nulls into floats, which cannot hold them. ``two`` tells whether the last place counts.
+_TEXT_COLS = ["anchor", "seg", "doc", "tid", "span", "two", "last_doc", "last_tid", "last_span", "hot", "body"]
+_TEXT_SCHEMA = "anchor long, seg long, doc long, tid long, span long, two boolean, last_doc long, last_tid long, last_span long, hot boolean, body binary"
+_MARKS = "anchor long, seg long, copy int, low int, high int"
 
 
-_TEXT_COLS = ["anchor", "seg", "doc", "tid", "span", "hot", "body"]
+def _copies(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of classes at their first places (copy 0), and again at their last ones (copy 1) where there are such."""
+    pdf = pdf.drop_duplicates(["anchor", "seg"])
+    again = pdf[pdf["two"].astype(bool)]
+    last = again.assign(doc=again["last_doc"], tid=again["last_tid"], span=again["last_span"])
+    return pd.concat([pdf.assign(copy=0), last.assign(copy=1)]).drop(columns=["two", "last_doc", "last_tid", "last_span"]).reset_index(drop=True)
 
 
-def _by_window(segs: DataFrame, kind: Kind, within: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """Marked windows of anchors with very many segments, each window a segment by itself, and the tables it rests on."""
+def _in_shards(bodies: DataFrame, mark: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """The operator's marks on classes (rows like those of ``_texts``, a written table), dealt to shards by their anchors."""
+    held = bodies.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
+    shards = max(1, math.ceil(held / SHARD_BYTES))
+    dealt = bodies.drop("hot").withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit("shard")), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(lambda pdf: mark(_copies(pdf)), _MARKS)
+
+
+def _by_window(segs: DataFrame, kind: Kind, mark: Callable[[pd.DataFrame], pd.DataFrame], within: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Marks on the classes of anchors with very many, each of their windows a class by itself, and the tables they rest on."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for anchor, seg, doc, tid, span, body in zip(*(pdf[c] for c in ("anchor", "seg", "doc", "tid", "span", "body")), strict=True):
+            pdf = _copies(pdf)
+            for anchor, seg, copy, doc, tid, span, body in zip(*(pdf[c] for c in ("anchor", "seg", "copy", "doc", "tid", "span", "body")), strict=True):
                 units = kind.hashes(kind.again(body))
                 h = [Sums(units, k).every(kind.window).view(np.int64) for k in (0, 1)]
                 off = np.arange(len(h[0]))
-                out.append(pd.DataFrame({"h1": h[0], "h2": h[1], "doc": doc, "tid": tid, "place": starts(span) + off, "anchor": anchor, "seg": seg, "off": off}))
+                out.append(pd.DataFrame({"h1": h[0], "h2": h[1], "doc": doc, "tid": tid, "place": starts(span) + off, "anchor": anchor, "seg": seg, "copy": copy, "off": off}))
             if out:
-                yield pd.concat(out).astype({"place": "int32", "off": "int32"})
+                yield pd.concat(out).astype({"place": "int32", "off": "int32", "copy": "int32"})
 
-    rows = cut(segs.select("anchor", "seg", "doc", "tid", "span", "body").mapInPandas(windows, "h1 long, h2 long, doc long, tid long, place int, anchor long, seg long, off int"), "hot-windows")
-    first = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tid", "place")).alias("first")), "hot-first")
-    later = F.struct("doc", "tid", "place") > F.col("first") if within else F.col("doc") > F.col("first.doc")
-    return rows.join(first, ["h1", "h2"]).where(later).select("anchor", "seg", F.col("off").alias("low"), (F.col("off") + 1).alias("high")), [rows, first]
+    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for body, wanted in zip(pdf["body"], pdf["wanted"], strict=True):
+                parts = kind.again(body)
+                for w in wanted:
+                    (doc, tid, at), (last_doc, last_tid, last_at) = ((x["doc"], x["tid"], x["place"] << 32 | 2) for x in (w["first"], w["last"]))
+                    out.append((w["h1"], w["h2"], doc, tid, at, True, last_doc, last_tid, last_at, False, kind.cut(parts, w["off"], w["off"] + kind.window)))
+            yield pd.DataFrame(out, columns=_TEXT_COLS)
+
+    rows = cut(segs.mapInPandas(windows, "h1 long, h2 long, doc long, tid long, place int, anchor long, seg long, copy int, off int"), "hot-windows")
+    place = F.struct("doc", "tid", F.col("place").cast("long").alias("place"))
+    later = F.col("last") > F.col("first") if within else F.col("last.doc") > F.col("first.doc")
+    found = cut(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("anchor", "seg", "off")).alias("at")).where(later), "hot-classes")
+    # a segment has a bounded number of windows
+    wanted = found.groupBy("at.anchor", "at.seg").agg(F.collect_list(F.struct("h1", "h2", F.col("at.off").alias("off"), "first", "last")).alias("wanted"))
+    bodies = segs.select("anchor", "seg", "body").join(wanted.hint("merge"), ["anchor", "seg"]).select("body", "wanted")
+    bodies = cut(bodies.mapInPandas(cut_out, _TEXT_SCHEMA), "hot-bodies")
+    confirmed = _in_shards(bodies, mark).where("copy = 1").select(F.col("anchor").alias("h1"), F.col("seg").alias("h2")).distinct()
+    first = cut(found.join(confirmed.hint("merge"), ["h1", "h2"]).select("h1", "h2", "first"), "hot-first")
+    after = place > F.col("first") if within else F.col("doc") > F.col("first.doc")
+    marked = rows.join(first.hint("merge"), ["h1", "h2"]).where(after).select("anchor", "seg", "copy", F.col("off").alias("low"), (F.col("off") + 1).alias("high"))
+    return marked, [rows, found, bodies, first]
 
 
 def repeated(docs: DataFrame, kind: Kind, mark: Callable[[pd.DataFrame], pd.DataFrame], within: bool) -> DataFrame:
     """For each document with repeated windows, ``doc``, ``tid`` and the merged ``spans`` of units that they cover.
 
-    docs: doc (long), tid (long), text. mark: for a shard's segments (rows like ``_texts``), rows anchor, seg, low, high: window
+    docs: doc (long), tid (long), text. mark: for a shard's classes (rows of ``_copies``), rows anchor, seg, copy, low, high: window
     offsets that also start earlier. within: whether an earlier start in the same document, or in another one with its key, counts.
     """
     docs = docs.where("doc is not null and text is not null")
@@ -240,26 +282,25 @@ def repeated(docs: DataFrame, kind: Kind, mark: Callable[[pd.DataFrame], pd.Data
         docs = cut(docs.dropDuplicates(["doc", "tid"]), "different-rows")
         found = cut(_scan(docs, kind), "segments")
     live = found.groupBy("anchor").agg(F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.count("*").alias("n"), F.max(F.col("span").bitwiseAND(F.lit(1).cast("long"))).alias("again"))
-    live = cut(live.where("n > 1 or again = 1").select("anchor", ((F.col("again") == 1) | (F.col("s0") != F.col("s1"))).alias("mixed")), "anchors")
+    live = cut(live.where("n > 1 or again = 1").select("anchor"), "anchors")
     places = cut(found.join(live, "anchor"), "places")
     discard(found)
-    classes = cut(places.groupBy("anchor", "seg", "mixed").agg(F.min(F.struct("doc", "tid", "span")).alias("first"), F.count("*").alias("n")), "classes")
-    mixed = classes.where("mixed")
-    many = cut(mixed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    reps = mixed.select("anchor", "seg", "first.doc", "first.tid", "first.span").join(many, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    place = F.struct("doc", "tid", "span")
+    classes = cut(places.groupBy("anchor", "seg").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
+    later = F.col("last") > F.col("first") if within else F.col("last.doc") > F.col("first.doc")
+    many = cut(classes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    reps = classes.select("anchor", "seg", "first.doc", "first.tid", "first.span", later.alias("two"), "last").join(many, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     bodies = cut(_texts(docs, reps, kind), "bodies")
-    held = bodies.where("not hot").agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(held / SHARD_BYTES))
-    marked = bodies.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit("shard")), F.lit(shards))).groupBy("shard").applyInPandas(mark, "anchor long, seg long, low int, high int")
+    marked = _in_shards(bodies.where("not hot"), mark)
     hot_tables: list[DataFrame] = []
     if many.limit(1).count():
-        by_window, hot_tables = _by_window(bodies.where("hot"), kind, within)
+        by_window, hot_tables = _by_window(bodies.where("hot"), kind, mark, within)
         marked = marked.unionByName(by_window)
-    marks = marked.groupBy("anchor", "seg").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
-    judged = cut(classes.where("mixed or n > 1").join(marks, ["anchor", "seg"], "left").where("n > 1 or marks is not null").select("anchor", "seg", "first", "marks"), "judged")
-    later = F.struct("doc", "tid", "span") > F.col("first") if within else F.col("doc") > F.col("first.doc")
-    whole = F.array(F.struct(F.lit(0).alias("low"), _size().alias("high")))
-    pieces = places.drop("mixed").join(judged, ["anchor", "seg"]).select("doc", "tid", _start().alias("start"), F.when(later, whole).otherwise(F.col("marks")).alias("marks")).where("marks is not null")
+    of = lambda k: F.collect_list(F.when(F.col("copy") == k, F.struct("low", "high")))
+    marks = marked.groupBy("anchor", "seg").agg(of(0).alias("own"), of(1).alias("after"))
+    judged = cut(classes.select("anchor", "seg", "first").join(marks, ["anchor", "seg"]), "judged")
+    later = place > F.col("first") if within else F.col("doc") > F.col("first.doc")
+    pieces = places.join(judged, ["anchor", "seg"]).select("doc", "tid", _start().alias("start"), F.when(later, F.col("after")).otherwise(F.col("own")).alias("marks")).where(F.size("marks") > 0)
     spans = F.transform("marks", lambda m: F.struct((F.col("start") + m["low"]).alias("start"), (F.col("start") + m["high"] + kind.window - 1).alias("end")))
     done = cut(pieces.select("doc", "tid", spans.alias("spans")).groupBy("doc", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     discard(docs, live, places, classes, many, bodies, judged, *hot_tables)
@@ -289,10 +330,9 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def as_ranges(anchor: np.ndarray, seg: np.ndarray, off: np.ndarray) -> pd.DataFrame:
-    """Marked window offsets, sorted within their segments, as ranges."""
-    if not len(off):
-        return pd.DataFrame({"anchor": np.empty(0, np.int64), "seg": np.empty(0, np.int64), "low": np.empty(0, np.int32), "high": np.empty(0, np.int32)})
-    first = np.flatnonzero(np.concatenate([[True], (off[1:] != off[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])]))
-    last = np.append(first[1:], len(off)) - 1
-    return pd.DataFrame({"anchor": anchor[first], "seg": seg[first], "low": off[first].astype(np.int32), "high": (off[last] + 1).astype(np.int32)})
+def as_ranges(pdf: pd.DataFrame, row: np.ndarray, off: np.ndarray) -> pd.DataFrame:
+    """Marked window offsets of the classes at ``row``, sorted within their classes, as ranges."""
+    first = np.flatnonzero(np.concatenate([[True], (off[1:] != off[:-1] + 1) | (row[1:] != row[:-1])])) if len(off) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(off)) - 1 if len(off) else first
+    named = pdf[["anchor", "seg", "copy"]].iloc[row[first]].reset_index(drop=True)
+    return named.assign(low=off[first].astype(np.int32), high=(off[last] + 1).astype(np.int32)).astype({"copy": "int32"})
