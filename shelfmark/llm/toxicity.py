@@ -4,12 +4,13 @@ The categories are predicted one after the other: each linear model sees the wor
 categories before it. In training those probabilities are out of fold: every training row gets them from a model that has not
 seen it, as the rows to be judged later will.
 
-Words are chosen among all the words of a bounded sample of labelled rows, by how far their document frequencies differ
-between the labels. The sample has at most ``MOST_ROWS`` labelled keys, half of each label of the last category where there
+Each link has words and a ridge of its own. Its words are the first of all the words of a bounded sample of labelled rows, in the order
+of how far their document frequencies differ between the link's labels; how many (``SIZES``) and which ridge (``RIDGES``) is chosen by
+the least out-of-fold loss. The sample has at most ``MOST_ROWS`` labelled keys, half of each label of the last category where there
 are enough, least hash first; a key's label is the largest of its rows. Those keys are broadcast (their number is bounded) to find their texts; a text that
 several rows hold counts once, with its largest labels, and where keys have so many texts that there are over ``MOST_ROWS``,
-about that many are taken by a hash of the text. The words are counted on Spark, and the driver gets at most ``VOCABULARY`` words and the
-sample's rows over them. Folds follow a hash of the text, so copies never sit in a fitted and a held-out fold.
+about that many are taken by a hash of the text. The words are counted on Spark, and the driver gets at most the largest of ``SIZES`` words for each
+link and the sample's rows over them. Folds follow a hash of the text, so copies never sit in a fitted and a held-out fold.
 
 Null texts have no words. Rows whose labels are null or missing are judged, not learned from. Without labelled rows of both
 values of a category its probability is the share of ones, or 0. Repeated rows get equal results; an empty table gives an empty one.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, set_aside
 
-VOCABULARY = 320
+SIZES = (320, 2048)
+RIDGES = (2e-4, 2e-3)
 MOST_ROWS = 6000
 FOLDS = 4
 LEAST_DOCS = 4
@@ -92,20 +94,40 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int = 30
     return w, float(b)
 
 
-def fit(x: np.ndarray, labels: np.ndarray, categories: list[str], vocabulary: list[str], fold: np.ndarray, folds: int = FOLDS) -> Chain:
-    """x: rows over words (0 or 1). labels: rows over categories. fold: each row's number, below ``folds``."""
+def _loss(p: np.ndarray, y: np.ndarray) -> float:
+    """Mean logarithmic loss with equal weight of both labels."""
+    p = np.clip(p.astype(np.float64), 1e-6, 1 - 1e-6)
+    return -0.5 * (np.log(p[y > 0]).mean() if (y > 0).any() else 0.0) - 0.5 * (np.log(1 - p[y == 0]).mean() if (y == 0).any() else 0.0)
+
+
+def _out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int, ridge: float) -> np.ndarray:
+    """Each row's probability by a model of the other folds."""
+    out = np.empty(len(x), dtype=np.float32)
+    for k in range(folds):
+        w, b = logistic(x[fold != k], y[fold != k], ridge)
+        out[fold == k] = _sigmoid(x[fold == k] @ w + b)  # an empty fold is none to fill
+    return out
+
+
+def fit(x: np.ndarray, labels: np.ndarray, categories: list[str], vocabulary: list[str], fold: np.ndarray, folds: int = FOLDS, orders: list[np.ndarray] | None = None, sizes: tuple = SIZES, ridges: tuple = RIDGES) -> Chain:
+    """x: rows over words (0 or 1). labels: rows over categories. fold: each row's number, below ``folds``. orders: for each category
+    the columns of x, the most telling first; without them every link has all words."""
     chain, earlier = [], np.zeros((len(x), 0), dtype=np.float32)
     for c, name in enumerate(categories):
-        whole = np.hstack([x, earlier])
         y = labels[:, c].astype(np.float32)
-        w, b = logistic(whole, y)
-        chain.append(Link(name, w[: x.shape[1]].copy(), w[x.shape[1] :].copy(), b))
-        if c + 1 < len(categories):
-            kept_out = np.empty(len(x), dtype=np.float32)
-            for k in range(folds):
-                fw, fb = logistic(whole[fold != k], y[fold != k])
-                kept_out[fold == k] = _sigmoid(whole[fold == k] @ fw + fb)  # an empty fold is none to fill
-            earlier = np.hstack([earlier, kept_out[:, None]])
+        order = np.arange(x.shape[1]) if orders is None else orders[c]
+        tried = []
+        for size in sorted({min(s, len(order)) for s in sizes}):
+            some = np.hstack([x[:, order[:size]], earlier])
+            for ridge in ridges:
+                kept_out = _out_of_fold(some, y, fold, folds, ridge)
+                tried.append((_loss(kept_out, y), size, ridge, kept_out))
+        _, size, ridge, kept_out = min(tried, key=lambda r: r[:3])
+        w, b = logistic(np.hstack([x[:, order[:size]], earlier]), y, ridge)
+        words = np.zeros(x.shape[1], dtype=np.float32)
+        words[order[:size]] = w[:size]
+        chain.append(Link(name, words, w[size:].copy(), b))
+        earlier = np.hstack([earlier, kept_out[:, None]])
     return Chain({w: i for i, w in enumerate(vocabulary)}, tuple(chain))
 
 
@@ -134,29 +156,33 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
 
     schema = "word string, n long, " + ", ".join(f"n_{n} long" for n in names)
     counts = rows.select("text", *names).mapInPandas(words, schema).groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(f"n_{n}").alias(f"n_{n}") for n in names)).where(F.col("n") >= LEAST_DOCS)
+    counts = cut(counts, "words")
     size = rows.agg(F.count("*").alias("all"), *(F.sum(n).alias(n) for n in names)).first()
     if not size["all"]:
-        discard(found)
+        discard(found, counts)
         return Chain({}, tuple(Link(n, np.zeros(0), np.zeros(i), -40.0) for i, n in enumerate(names)))
     apart = []
     for n in names:  # difference of the shares in standard errors
         one, rest = max(size[n], 1), max(size["all"] - size[n], 1)
         p = F.col("n") / size["all"]
         apart.append(F.abs(F.col(f"n_{n}") / one - (F.col("n") - F.col(f"n_{n}")) / rest) / F.sqrt(p * (1 - p) * (1 / one + 1 / rest) + 1e-12))
-    vocabulary = [r["word"] for r in counts.orderBy(F.greatest(*apart, F.lit(0.0)).desc(), "word").limit(VOCABULARY).select("word").collect()]
-    number = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+    telling = [[r["word"] for r in counts.orderBy(a.desc(), "word").limit(max(SIZES)).select("word").collect()] for a in apart]
+    vocabulary = sorted(set().union(*telling))
+    at = {w: i for i, w in enumerate(vocabulary)}
+    orders = [np.array([at[w] for w in ws], dtype=np.int64) for ws in telling]
+    number = docs.sparkSession.sparkContext.broadcast(at)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = [sorted(number.value[w] for w in set(words_of(t)) if w in number.value) for t in pdf["text"]]
-            yield pd.DataFrame({"mark": pdf["mark"], "at": at, **{n: pdf[n] for n in names}})
+            found_at = [sorted(number.value[w] for w in set(words_of(t)) if w in number.value) for t in pdf["text"]]
+            yield pd.DataFrame({"mark": pdf["mark"], "at": found_at, **{n: pdf[n] for n in names}})
 
     got = rows.mapInPandas(places, "mark long, at array<int>, " + ", ".join(f"{n} int" for n in names)).toPandas().sort_values("mark").reset_index(drop=True)
-    discard(found)
+    discard(found, counts)
     x = np.zeros((len(got), len(vocabulary)), dtype=np.float32)
-    for k, at in enumerate(got["at"]):
-        x[k, np.asarray(at, dtype=np.int64)] = 1.0
-    return fit(x, got[names].to_numpy(), names, vocabulary, (got["mark"].to_numpy() % FOLDS).astype(np.int64))
+    for k, places_ in enumerate(got["at"]):
+        x[k, np.asarray(places_, dtype=np.int64)] = 1.0
+    return fit(x, got[names].to_numpy(), names, vocabulary, (got["mark"].to_numpy() % FOLDS).astype(np.int64), orders=orders)
 
 
 def predict(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "chain") -> DataFrame:

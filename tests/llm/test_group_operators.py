@@ -259,7 +259,8 @@ def test_toxicity(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     learn, hold = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
     done = toxicity.digest(toxicity.classify(docs, learn)).join(hold.withColumnRenamed("toxic", "truth"), "doc_id").toPandas()
-    assert done["p_toxic"].between(0, 1).all() and (done["toxic"] == (done["truth"] == 1)).mean() > 0.97
+    assert done["p_toxic"].between(0, 1).all() and (done["toxic"] == (done["truth"] == 1)).mean() > 0.985
+    assert ((done["p_low_quality"] >= 0.5) == (done["quality"] == 0)).mean() >= 0.86 and done["toxic"][done["truth"] == 1].mean() > 0.9
     empty = toxicity.digest(toxicity.classify(docs.limit(5), labels.where("false"))).collect()
     assert len(empty) == 5 and not any(x["toxic"] for x in empty)
 
@@ -312,7 +313,7 @@ def test_chain_by_hand():
     labels[3] = 1 - labels[3]
     fold = np.arange(40) % toxicity.FOLDS
     words = ["alpha", "beta", "gamma", "delta", "eps"]
-    chain = toxicity.fit(x, labels, ["one", "two"], words, fold)
+    chain = toxicity.fit(x, labels, ["one", "two"], words, fold, ridges=(2e-4,))
     out = np.empty(40, dtype=np.float32)
     for k in range(toxicity.FOLDS):
         w, b = toxicity.logistic(x[fold != k], labels[fold != k, 0].astype(np.float32))
@@ -327,6 +328,16 @@ def test_chain_by_hand():
         assert np.allclose(chain.judge([text])[0], p, atol=1e-6)
 
 
+def test_links_choose_their_words():
+    """A link whose label hangs on one word takes few, one whose label is spread over many takes more."""
+    r = np.random.default_rng(3)
+    x = (r.random((600, 60)) < 0.3).astype(np.float32)
+    labels = np.stack([(x[:, :40].sum(axis=1) > 12).astype(int), x[:, 50].astype(int)], axis=1)
+    orders = [np.arange(60), np.array([50, *range(50), *range(51, 60)])]
+    chain = toxicity.fit(x, labels, ["many", "one"], [f"w{i}" for i in range(60)], np.arange(600) % 4, orders=orders, sizes=(2, 40), ridges=(2e-4, 2e-3))
+    assert [int((link.words != 0).sum()) for link in chain.links] == [40, 2] and len(chain.links[1].earlier) == 1
+
+
 def test_language_decision_by_hand():
     """Frequencies, family and votes of each text, computed one n-gram at a time."""
     texts = {"en": ["the cat and the dog", "this is the house", "where is the road"], "de": ["der hund und die katze", "das ist ein haus", "wo ist der weg"], "nl": ["de hond en de kat", "dat is een huis", "waar is de weg"], "fr": ["le chat et la maison", "une rose des bois", "la route et le pont"], "fi": ["talo on suuri", "kissa ja koira", "tie on pitka"]}
