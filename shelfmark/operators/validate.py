@@ -98,8 +98,8 @@ def write_errors(books: DataFrame, book: str = "book") -> DataFrame:
     return checked.withColumn("error", F.concat(F.lit('"'), F.col(f"{book}.title"), F.lit('": Incomplete metadata: '), F.array_join("gate_warnings", ", ")))
 
 
-def _violation(df: DataFrame, rule: str, key: Column, severity: str = "error") -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(severity).alias("severity"))
+def _violation(df: DataFrame, rule: str | Column, key: Column, severity: str = "error") -> DataFrame:
+    return df.select((F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), key.cast("string").alias("key"), F.lit(severity).alias("severity"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -166,14 +166,37 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str, rule
 
 
 def check_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations of keys, references, enumerations and counts among the tables given."""
-    parts = [duplicate_keys(tables[t], (k,), f"primary:{t}") for t, k in PRIMARY.items() if t in tables]
-    parts += [duplicate_keys(tables[t], ks, f"unique:{t}") for t, ks in UNIQUE if t in tables]
-    parts += [orphans(tables[c], k, tables[p], pk, f"foreign:{c}.{k}") for c, k, p, pk in FOREIGN if c in tables and p in tables]
-    parts += [_violation(tables[t].where(~F.col(c).isin(*vs)), f"enum:{t}.{c}", F.col(PRIMARY[t])) for t, c, vs in ENUMS if t in tables]
+    """Violations (rule, key, severity) of keys, references, enumerations and counts among the tables given, each key once a rule.
+
+    One pass: each table is read once and gives a row for each of its keys and references (rule, key, and whether it is one that
+    must be unique, one that others refer to, one that refers, or a wrong value). One shuffle brings the sides of a rule together. Counts are
+    combined before it, so a key that many rows refer to is one row of each task.
+    """
+    roles: dict[str, list[tuple[str, Column, Column]]] = {t: [] for t in tables}
+    text = lambda *ks: F.concat_ws("|", *(F.col(k).cast("string") for k in ks))
+    always = F.lit(True)
+    for t, k in PRIMARY.items():
+        if t in tables:
+            roles[t].append((f"primary:{t}", text(k), "own", always))
+    for t, ks in UNIQUE:
+        if t in tables:
+            roles[t].append((f"unique:{t}", text(*ks), "own", always))
+    for c, k, p, pk in FOREIGN:
+        if c in tables and p in tables:
+            roles[c].append((f"foreign:{c}.{k}", F.col(k), "refers", F.col(k).isNotNull()))
+            roles[p].append((f"foreign:{c}.{k}", F.col(pk), "named", F.col(pk).isNotNull()))
+    for t, c, vs in ENUMS:
+        if t in tables:
+            roles[t].append((f"enum:{t}.{c}", F.col(PRIMARY[t]), "wrong", ~F.col(c).isin(*vs)))
     if "scrape_runs" in tables:
-        parts.append(_violation(tables["scrape_runs"].where("request_count < 0"), "negative:scrape_runs.request_count", F.col("scrape_run_id")))
-    return _all(parts)
+        roles["scrape_runs"].append(("negative:scrape_runs.request_count", F.col("scrape_run_id"), "wrong", F.col("request_count") < 0))
+    parts = []
+    for t, rules in roles.items():
+        rows = F.array(*(F.when(F.coalesce(where, F.lit(False)), F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(role).alias("role"))) for rule, key, role, where in rules))
+        parts.append(tables[t].select(F.explode(rows).alias("r")).where("r is not null").select("r.*"))
+    count = {role: F.count_if(F.col("role") == role) for role in ("own", "refers", "named", "wrong")}
+    sides = _all(parts).groupBy("rule", "key").agg(*(c.alias(role) for role, c in count.items()))
+    return _violation(sides.where("own > 1 or wrong > 0 or (refers > 0 and named = 0)"), F.col("rule"), F.col("key"))
 
 
 def reconcile(items: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -60,6 +60,8 @@ TABLES = {
     "import_records": _strings("import_record_id import_run_id cleaned_record_id export_record_id internal_id item_id item_payload_json status validation_warnings_json created_at"),
 }
 PRIMARY = {"pipeline_runs": "run_id", "scrape_runs": "scrape_run_id", "raw_scraped_records": "raw_record_id", "cleaning_runs": "cleaning_run_id", "cleaned_records": "cleaned_record_id", "export_runs": "export_run_id", "export_records": "export_record_id", "import_runs": "import_run_id", "import_records": "import_record_id"}
+#: The run that a table's rows belong to, by which it is partitioned.
+RUN_OF = {"pipeline_runs": "run_id", "scrape_runs": "pipeline_run_id", "raw_scraped_records": "scrape_run_id", "cleaning_runs": "pipeline_run_id", "cleaned_records": "cleaning_run_id", "export_runs": "pipeline_run_id", "export_records": "export_run_id", "import_runs": "pipeline_run_id", "import_records": "import_run_id"}
 UNIQUE = (("raw_scraped_records", ("internal_id",)), ("cleaned_records", ("internal_id",)), ("export_records", ("export_run_id", "cleaned_record_id", "format")), ("import_records", ("import_run_id", "cleaned_record_id")))
 FOREIGN = (
     ("scrape_runs", "pipeline_run_id", "pipeline_runs", "run_id"), ("raw_scraped_records", "scrape_run_id", "scrape_runs", "scrape_run_id"),

@@ -7,11 +7,11 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import TABLES
+from ..schemas import PRIMARY, RUN_OF, TABLES
 
 FIXTURES = T.StructType([T.StructField("fixtures", T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("id", "kind", "sourceUrl", "file", "expected", "capturedAt", "capturedByMode", "purpose", "notes")), T.StructField("redactions", T.ArrayType(T.StringType()))])))])
 SAMPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("subjectId", "sourceUrl", "sourceHtml", "domHtml", "capturedAt")])
@@ -42,16 +42,70 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_table(df: DataFrame, root: str, name: str, mode: str = "append", by: str | None = None) -> None:
-    """Columns that a table lacks in ``df`` become null; ``by`` partitions it, as by a run."""
+def _typed(df: DataFrame, name: str) -> DataFrame:
+    """The table's columns in their order and types; those that ``df`` lacks are null."""
     have = set(df.columns)
-    rows = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]))
-    writer = rows.write.mode(mode)
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]))
+
+
+def write_table(df: DataFrame, root: str, name: str, mode: str = "append", by: str | None = None) -> None:
+    """Appends, or overwrites everything; ``by`` partitions the table, as by a run. ``replace_runs`` and ``upsert`` can be repeated."""
+    writer = _typed(df, name).write.mode(mode)
     (writer.partitionBy(by) if by else writer).parquet(f"{root}/{name}")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}").select(*TABLES[name].names)
+
+
+def has_table(spark: SparkSession, root: str, name: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def replace_runs(df: DataFrame, root: str, name: str, statuses: tuple[str, ...] = (), status: str | None = None) -> dict[str, int]:
+    """Writes whole runs: each run in ``df`` replaces what the table held of it, other runs stay, so a repeated or retried write leaves
+    no second copy. Returns the rows written (``n``) and those of each of the ``statuses``, counted by the job that writes them.
+
+    Tables are partitioned by the run that their rows belong to (``RUN_OF``). A row without a run is an error of the job.
+    """
+    run = RUN_OF[name]
+    rows = _typed(df, name).withColumn(run, F.when(F.coalesce(F.col(run), F.lit("")) == "", F.raise_error(F.lit(f"{name}: a row without {run}"))).otherwise(F.col(run)))
+    seen = Observation()
+    counts = [F.count_if(F.col(status) == s).alias(s) for s in statuses]
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), *counts)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(f"{root}/{name}")
+    return seen.get
+
+
+def upsert(df: DataFrame, root: str, name: str) -> dict[str, int]:
+    """Rows replace those with their primary key, wherever these stand; other rows stay. Of several rows of ``df`` with one key the one with the largest
+    values stays. Only runs that hold or get such a key are written again, from a staged copy, so a write that fails can be repeated."""
+    spark = df.sparkSession
+    key, run = PRIMARY[name], RUN_OF[name]
+    cols = TABLES[name].names
+    new = _typed(df, name).groupBy(key).agg(F.max(F.struct(*cols)).alias("r")).select("r.*")
+    if not has_table(spark, root, name):
+        return replace_runs(new, root, name)
+    new = stage(new, "upsert")
+    old = read_table(spark, root, name)
+    held = old.select(key, run).join(new.select(key), key, "left_semi").select(run)
+    touched = stage(held.union(new.select(run)).distinct(), "touched")
+    stay = old.join(touched, run, "left_semi").join(new.select(key), key, "left_anti").select(*cols)
+    merged = stage(stay.unionByName(new), "merged")
+    counts = replace_runs(merged, root, name)
+    # runs that lost their last row to another one
+    left = touched.join(merged.select(run).distinct(), run, "left_anti")
+    for row in left.toLocalIterator():
+        drop_run(spark, root, name, row[run])
+    return counts
+
+
+def drop_run(spark: SparkSession, root: str, name: str, value: str) -> None:
+    """Deletes one run's rows from a table."""
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(RUN_OF[name], value)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{named}")
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def _below(path: Column, root: str) -> Column:
@@ -110,14 +164,19 @@ def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_DECISION.elementType).json(path)
 
 
+#: Stands alone on a line between the entries of a text export; outside of entries, bibliography readers skip it.
+ENTRY_END = "\n\x1e\n"
+
+
 def write_text_export(records: DataFrame, path: str, fmt: str) -> None:
-    """One entry a record, as text files, entries apart by an empty line."""
-    records.where(F.col("format") == fmt).select(F.concat("payload_text", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+    """One entry a record, as text files, entries apart by a line with the record separator, which becomes a space within entries."""
+    entry = F.replace("payload_text", F.lit("\x1e"), F.lit(" "))
+    records.where((F.col("format") == fmt) & entry.isNotNull()).select(entry.alias("value")).write.mode("overwrite").option("lineSep", ENTRY_END).text(path)
 
 
 def read_text_export(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a text export."""
-    return spark.read.option("lineSep", "\n\n").text(path).select(F.col("value").alias("entry"))
+    """The entries of a text export, with all their lines."""
+    return spark.read.option("lineSep", ENTRY_END).text(path).select(F.col("value").alias("entry"))
 
 
 def comparison_rows(records: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
