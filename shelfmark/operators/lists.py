@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import absolute_url, count_text, filled, has_text, let, owner_id, strict_subject_url, strip_tags, subject_id
 from ..site import SITE, Site
+from ..sources.store import stage
 from .pagehtml import anchor_links
 
 PAGE = 15
+BLOCK = 1_000  # pages whose running sums one task takes
 LINKS = "array<struct<url:string,title:string>>"
 
 
@@ -17,15 +19,21 @@ def _subject(site: Site) -> str:
     return f"(?:https?:)?//{site.host.replace('.', chr(92) + '.')}/subject/[0-9]+/?"
 
 
+def _first_of_each(links: Column, *order) -> Column:
+    """Structs (k, i, x) of the elements ``x`` of ``links`` (structs k, x) that come first for their key by ``order`` and place; by key. Sorts, so any number of links is well."""
+    keyed = F.array_sort(F.transform(links, lambda s, i: F.struct(s["k"].alias("k"), *(o(s["x"]).alias(f"o{n}") for n, o in enumerate(order)), i.alias("i"), s["x"].alias("x"))))
+    return let(keyed, lambda ss: F.filter(ss, lambda s, j: (j == 0) | (s["k"] != F.get(ss, j - 1)["k"])))
+
+
 def _first_seen(links: Column, key) -> Column:
-    """The first link of each key, in order. Pages hold a few dozen links."""
+    """The first link of each key, in order."""
     keyed = F.transform(links, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
-    return let(keyed, lambda xs: F.transform(F.array_distinct(F.transform(xs, lambda s: s["k"])), lambda k: F.filter(xs, lambda s: s["k"] == k)[0]["x"]))
+    return F.transform(F.array_sort(F.transform(_first_of_each(keyed), lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
 
 
 def list_links(html: Column, site: Site = SITE) -> Column:
     """Links of a list page in order, each address once; titles from the attribute, else from the anchor's text."""
-    pieces = F.slice(F.split(html, "(?i)(?=<a\\s)"), 1, 1_000_000)
+    pieces = F.split(html, "(?i)(?=<a\\s)")
     url = f"href=\"({_subject(site)})\""
 
     def link(p: Column) -> Column:
@@ -44,12 +52,13 @@ def dom_links(html: Column, site: Site = SITE, backfill: bool = False) -> Column
     made = F.transform(anchor_links(html), lambda a: F.struct(strict_subject_url(a["href"], site).alias("url"), F.coalesce(filled(a["title_attr"]), a["text"], F.lit("")).alias("title")))
 
     def unique(found: Column) -> Column:
-        def one(u: Column, i: Column) -> Column:
-            same = F.filter(found, lambda x: x["url"] == u)
-            title = F.coalesce(F.get(F.filter(same, lambda x: x["title"] != ""), F.lit(0))["title"], F.lit("")) if backfill else same[0]["title"]
-            return F.struct(u.alias("url"), title.alias("title"), (i + 1).alias("position"))
-
-        return F.transform(F.array_distinct(F.transform(found, lambda x: x["url"])), one)
+        keyed = F.transform(found, lambda x: F.struct(x["url"].alias("k"), x.alias("x")))
+        first = _first_of_each(keyed)
+        if backfill:  # both are in the order of the addresses
+            titled = _first_of_each(keyed, lambda x: x["title"] == "")
+            first = F.zip_with(first, titled, lambda a, b: F.struct(a["k"].alias("k"), a["i"].alias("i"), F.struct(a["k"].alias("url"), b["x"]["title"].alias("title")).alias("x")))
+        placed = F.array_sort(F.transform(first, lambda s: F.struct(s["i"].alias("i"), s["x"]["url"].alias("url"), s["x"]["title"].alias("title"))))
+        return F.transform(placed, lambda s, i: F.struct(s["url"].alias("url"), s["title"].alias("title"), (i + 1).alias("position")))
 
     return let(F.filter(made, lambda x: x["url"].isNotNull()), unique)
 
@@ -98,13 +107,16 @@ def series_info(html: Column) -> Column:
     return F.struct(name.alias("name"), F.regexp_extract(html, "册\\s*数[：:]\\s*([0-9]+)", 1).try_cast("int").alias("count"), html.rlike("(?i)class=[\"']next[\"'][^>]*>\\s*<a\\s").alias("has_next"))
 
 
-def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"], most_pages: int | None = None, need_new: bool = False) -> tuple[DataFrame, DataFrame]:
+def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"], most_pages: int | None = None, need_new: bool = False, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Pages (list_col, page, url, d: page_diagnostics) to links (list_col, position, url, title) and one summary row a list.
 
     Pages count in order up to the first empty page, repeated address, page without a next one, or the page with which the
-    declared total is reached; that page itself counts. A list may have any number of pages: a link's first sight is found by
-    list and key, and the lists' windows run over rows of one page each with its new links. ``most_pages`` is a crawler's
-    limit, off unless given. With ``need_new`` a page without a new link is the last one too.
+    declared total is reached; that page itself counts. ``most_pages`` is a crawler's limit, off unless given. With ``need_new`` a page
+    without a new link is the last one too.
+
+    A list may have any number of pages: a link's first sight is found by list and key, and running sums are prefix sums over
+    blocks of ``block`` pages. Windows run within a block, or over the totals of a list's blocks; the page that ends a list is an aggregate.
+    The pages with their new links are written once, without html, since several passes read them.
     """
     seen = pages if most_pages is None else pages.where(F.col("page") < most_pages)
     shown = seen.select(list_col, "page", "url", *(F.col(f"d.{c}").alias(c) for c in ("visible", "total", "has_next")), F.posexplode_outer("d.links").alias("pos", "l"))
@@ -112,23 +124,31 @@ def assemble(pages: DataFrame, list_col: str = "uid", link_key=lambda x: x["url"
     fresh = F.when((F.row_number().over(first) == 1) & F.col("pos").isNotNull(), F.struct("pos", F.col("l.url").alias("url"), F.col("l.title").alias("title")))
     same = lambda c: F.first(c).alias(c)
     seen = shown.withColumn("fresh", fresh).groupBy(list_col, "page", "url").agg(same("visible"), same("total"), same("has_next"), F.array_sort(F.collect_list("fresh")).alias("fresh"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"))
-    by_list = Window.partitionBy(list_col).orderBy("page", "url")
-    so_far, before = by_list.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_list.rowsBetween(Window.unboundedPreceding, -1)
     seen = seen.withColumn("again", F.row_number().over(Window.partitionBy(list_col, "url").orderBy("page")) > 1).withColumn("new", F.when(F.col("again"), 0).otherwise(F.size("fresh")))
-    seen = seen.withColumn("known", F.sum("new").over(so_far)).withColumn("declared", F.coalesce(F.first(F.when(F.col("total") > 0, F.col("total")), ignorenulls=True).over(so_far), F.lit(0)))
+    seen = stage(seen.withColumn("block", F.floor(F.col("page") / block)), "list-pages")
+    at, stated = F.struct("page", "url"), F.when(F.col("total") > 0, F.col("total"))
+    totals = seen.groupBy(list_col, "block").agg(F.sum("new").alias("n"), F.min_by(stated, F.when(F.col("total") > 0, at)).alias("stated"))
+    earlier = Window.partitionBy(list_col).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(list_col, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"), F.first("stated", ignorenulls=True).over(earlier).alias("stated"))
+    so_far = Window.partitionBy(list_col, "block").orderBy("page", "url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = seen.withColumn("known", F.sum("new").over(so_far)).withColumn("declared", F.first(stated, ignorenulls=True).over(so_far))
+    seen = seen.join(carried, [list_col, "block"]).withColumns({"known": F.col("earlier") + F.col("known"), "declared": F.coalesce("stated", "declared", F.lit(0))})
     looped = F.col("again") | (F.col("copies") > 1)
     stop = looped | (F.col("visible") == 0) | ((F.col("declared") > 0) & (F.col("known") >= F.col("declared"))) | ~F.col("has_next")
     if need_new:
         stop = stop | (F.col("new") == 0)
-    used = seen.withColumn("stopped", F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).where("stopped = 0")
-    spread = used.where(~F.col("again")).select(list_col, (F.col("known") - F.col("new")).alias("earlier"), F.posexplode("fresh").alias("i", "l"))
-    links = spread.select(list_col, (F.col("earlier") + F.col("i") + 1).cast("int").alias("position"), "l.url", "l.title")
-    changed = F.array_distinct(F.collect_list(F.when((F.col("total") > 0) & (F.col("total") != F.col("declared")), F.col("total"))))
+    last = seen.where(stop).groupBy(list_col).agg(F.min(at).alias("last"))
+    used = seen.join(last, list_col, "left").where(F.col("last").isNull() | (at <= F.col("last")))
+    spread = used.where(~F.col("again")).select(list_col, (F.col("known") - F.col("new")).alias("before"), F.posexplode("fresh").alias("i", "l"))
+    links = spread.select(list_col, (F.col("before") + F.col("i") + 1).cast("int").alias("position"), "l.url", "l.title")
+    other = used.where((F.col("total") > 0) & (F.col("total") != F.col("declared"))).groupBy(list_col, "total").agg(F.min(at).alias("at"))
+    changed = other.groupBy(list_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "total"))), lambda s: s["total"]).alias("other_totals"))
     summary = used.groupBy(list_col).agg(
         F.max("declared").alias("total"), F.count_if(~F.col("again")).alias("pages"), F.sum(F.when(~F.col("again"), F.col("visible")).otherwise(0)).alias("visible"), F.max("known").cast("int").alias("unique_links"),
-        F.max(F.when(looped, F.col("url"))).alias("loop_url"), changed.alias("other_totals"),
+        F.max(F.when(looped, F.col("url"))).alias("loop_url"),
     )
-    return links, summary
+    summary = summary.join(changed, list_col, "left")
+    return links, summary.withColumn("other_totals", F.coalesce("other_totals", F.array().cast(changed.schema["other_totals"].dataType)))
 
 
 def assemble_series(pages: DataFrame, list_col: str = "series", site: Site = SITE, most_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -298,5 +318,17 @@ def upsert_readlists(entries: DataFrame) -> DataFrame:
     return entries.where(has_text(F.col("uid"))).groupBy("uid").agg(F.min("pos").alias("pos"), F.max_by("url", "pos").alias("url"), F.max_by(F.coalesce("label", F.lit("")), F.col("pos")).alias("label"))
 
 
+def fold_readlists(log: DataFrame) -> DataFrame:
+    """The registry (uid, pos, url, label) after a log of entries (pos, op, uid, url, label) in the order of ``pos``, ``op`` being upsert or delete.
+
+    An entry's url and label are those of its last upsert, its place that of the first upsert after its last delete. Both steps are aggregates
+    with a row for each key from each task, whatever the number of changes to one key. Changes without a key count for nothing.
+    """
+    log = log.where(has_text(F.col("uid")))
+    gone = log.where("op = 'delete'").groupBy("uid").agg(F.max("pos").alias("gone"))
+    alive = log.where("op = 'upsert'").join(gone, "uid", "left").where("gone is null or pos > gone")
+    return upsert_readlists(alive)
+
+
 def delete_readlists(entries: DataFrame, uids: DataFrame) -> DataFrame:
     return entries.join(uids, "uid", "left_anti")
