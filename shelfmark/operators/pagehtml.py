@@ -1,10 +1,15 @@
-"""The one HTML helper: raw fields of a captured page, in one Arrow-batched pass."""
+"""The one HTML helper: raw fields of a captured page, in one Arrow-batched pass.
+
+Work is linear in the page, however broken it is: an element knows its place among its siblings and what it stands in when it is made, and an
+end tag that closes nothing is known by a count of open elements.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,13 +29,28 @@ _SPACES = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u
 _TO_SPACE = {ord(c): " " for c in _SPACES}
 
 
+# what an element may stand in: marks of its ancestors, as bits
+IN_H1, IN_PICTURE, IN_REPORT, IN_FULL = 1, 2, 4, 8
+
+
 class Node:
-    __slots__ = ("attrs", "kids", "parent", "tag", "text")
+    __slots__ = ("attrs", "kids", "marks", "parent", "place", "tag", "text", "within")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, text: str = ""):
         self.tag, self.attrs, self.parent, self.text, self.kids = tag, attrs, parent, text, []
+        self.within = self.place = 0
         if parent is not None:
+            self.place, self.within = len(parent.kids), parent.within | parent.marks
             parent.kids.append(self)
+        self.marks = IN_H1 if tag == "h1" else 0
+        if attrs:
+            own = attrs.get("id")
+            if own == "mainpic":
+                self.marks |= IN_PICTURE
+            elif own == "link-report":
+                self.marks |= IN_REPORT
+            if "class" in attrs and (self.has_class("hidden") or self.has_class("all")):
+                self.marks |= IN_FULL
 
     def walk(self) -> Iterator[Node]:
         todo = [self]
@@ -45,14 +65,6 @@ class Node:
     def has_class(self, name: str) -> bool:
         return name in self.attrs.get("class", "").split()
 
-    def inside(self, test) -> bool:
-        node = self.parent
-        while node is not None:
-            if test(node):
-                return True
-            node = node.parent
-        return False
-
     def inner(self) -> str:
         """The markup of its children, as browsers write it."""
         out: list[str] = []
@@ -78,21 +90,26 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         if tag not in _VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
+        if not self.open.get(tag):
+            return
+        while True:  # what it leaves open is closed for good
+            node = self.at
+            self.open[node.tag] -= 1
             self.at = node.parent
+            if node.tag == tag:
+                return
 
     def handle_data(self, data):
         Node("#text", {}, self.at, data)
@@ -111,8 +128,7 @@ def _squash(s: str) -> str:
 
 def _until_break(label: Node) -> Iterator[Node]:
     """The siblings after a label, up to the next line break."""
-    kids = label.parent.kids
-    for n in kids[kids.index(label) + 1 :]:
+    for n in islice(label.parent.kids, label.place + 1, None):
         if n.tag == "br":
             return
         yield n
@@ -121,9 +137,9 @@ def _until_break(label: Node) -> Iterator[Node]:
 def _series(labels: list[Node]) -> str | None:
     for label in labels:
         if "丛书" in label.content():
-            after = [n for n in label.parent.kids[label.parent.kids.index(label) + 1 :] if n.tag != "#text"]
-            if after and after[0].tag == "a":
-                return after[0].content().strip(_SPACES) or None
+            after = next((n for n in islice(label.parent.kids, label.place + 1, None) if n.tag != "#text"), None)
+            if after is not None and after.tag == "a":
+                return after.content().strip(_SPACES) or None
             text = "".join(n.content() for n in _until_break(label)).replace("&nbsp;", " ")
             return re.sub(r"\s*ISBN[:：]?\s*[0-9-]+.*$", "", text, flags=re.I | re.S).strip(_SPACES) or None
     return None
@@ -160,20 +176,20 @@ def _landmarks(root: Node) -> tuple[dict[str, Node], set[str]]:
             first.setdefault("info", n)
         if n.tag in ("title", "h1"):
             first.setdefault(n.tag, n)
-        elif n.tag == "span" and "span" not in first and n.inside(lambda p: p.tag == "h1"):
+        elif n.tag == "span" and "span" not in first and n.within & IN_H1:
             first["span"] = n
-        elif n.tag == "img" and "image" not in first and n.inside(lambda p: p.attrs.get("id") == "mainpic"):
+        elif n.tag == "img" and "image" not in first and n.within & IN_PICTURE:
             first["image"] = n
         elif n.tag == "meta":
             marks.update(x for x in (n.attrs.get("property"), n.attrs.get("name")) if x)
         elif n.tag == "script" and n.attrs.get("type") == "application/ld+json":
             marks.add("json_ld")
-        if n.has_class("intro"):
+        if "class" in n.attrs and n.has_class("intro"):
             first.setdefault("intro", n)
-            if n.inside(lambda p: p.attrs.get("id") == "link-report"):
+            if n.within & IN_REPORT:
                 first.setdefault("report", n)
-                if "full" not in first and n.inside(lambda p: p.has_class("hidden") or p.has_class("all")):
-                    first["full"] = n
+                if n.within & IN_FULL:
+                    first.setdefault("full", n)
     return first, marks
 
 
