@@ -12,7 +12,7 @@ each with the words around it, are shuffled to the windows of that token and com
 texts by a hash of the text. Both ways give the same places. A token that is the rarest of many windows and frequent in the corpus
 is a skewed join key, which adaptive execution splits.
 
-Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased. Null texts and items have no words; items
+Texts of any length are read whole. Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased. Null texts and items have no words; items
 without words or without a key match nothing. Repeated items count one time for each item key, and different texts of one key are
 all windows of it. A document word is hit if any occurrence of a window covers it; a document is contaminated if some word is hit
 and hit words are at least a twentieth of all. Repeated documents get equal results; without documents there are none, and without

@@ -7,7 +7,7 @@ one at least, spread by a hash of the text; a text counts once for a language, h
 the labels is learned; only their number, that of the world's languages, has no bound of its own. The n-gram frequencies are counted on
 Spark and only that many small vectors reach the driver. Prediction is a sum of weights per n-gram inside each task.
 
-A text that is null or has no letter is ``und`` with score 0. Without any learnable language every text is ``und``. Repeated
+Texts of any length are read whole, one over ``CHUNK_BYTES`` by itself. A text that is null or has no letter is ``und`` with score 0. Without any learnable language every text is ``und``. Repeated
 rows and keys get equal results for equal texts; an empty table gives an empty one. A null key is not held out. Columns of the input with the
 outputs' names stay, as ``<name>_input``.
 """

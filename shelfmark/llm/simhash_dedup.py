@@ -10,7 +10,7 @@ a spanning forest of the links it finds, never the pairs, and connected componen
 
 The trees are not broadcast: their number grows with the corpus. Each query travels to the shards that can answer it instead.
 
-Null text has no words, its fingerprint is zero, and it links like any other. Repeated rows keep their places and get equal results; a null key takes
+Texts of any length are read whole, their shingles 65,536 at a time. Null text has no words, its fingerprint is zero, and it links like any other. Repeated rows keep their places and get equal results; a null key takes
 part in no component and gets none unless its fingerprint's class has a key. An empty table gives an empty one.
 """
 

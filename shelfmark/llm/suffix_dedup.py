@@ -6,7 +6,7 @@ sorts their suffixes, and takes the longest previous factor of each window start
 it in suffix order, that start earlier in that text. A window is marked if that factor has the full length. Strings are judged
 on the input, not on what is left.
 
-Null text counts as empty. Nothing of a row with a null key is removed. Kept bytes may cut a character in two; the result is
+Texts of any length are read whole, as segments of bounded length. Null text counts as empty. Nothing of a row with a null key is removed. Kept bytes may cut a character in two; the result is
 binary. Repeated equal rows get equal results; rows with one key and different texts follow each other in the order of a hash of
 their texts, so a string in both goes from the second (see ``windows``). An empty table gives an empty one. A column of the input with the
 result's name stays, as ``<name>_input``.

@@ -12,7 +12,7 @@ several rows hold counts once, with its largest labels, and where keys have so m
 about that many are taken by a hash of the text. The words are counted on Spark, and the driver gets at most the largest of ``SIZES`` words for each
 link and the sample's rows over them. Folds follow a hash of the text, so copies never sit in a fitted and a held-out fold.
 
-Null texts have no words. Rows whose labels are null or missing are judged, not learned from. Without labelled rows of both
+Texts of any length are read whole. Null texts have no words. Rows whose labels are null or missing are judged, not learned from. Without labelled rows of both
 values of a category its probability is the share of ones, or 0. Repeated rows get equal results; an empty table gives an empty one.
 A column of the input with the result's name stays, as ``<name>_input``.
 """
