@@ -85,6 +85,11 @@ FROM ({PAGE_FIELDS}) f
 """
 
 
+def dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt to all cores: the table that they are made of may be one split, however many rows it has."""
+    return rows.repartition(2 * spark.sparkContext.defaultParallelism, key)
+
+
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detail pages, dealt to all cores: the table they are made of may be one split."""
     return run_sql(spark, sf_dir, PAGES).repartition(2 * spark.sparkContext.defaultParallelism, "k")

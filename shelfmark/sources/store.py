@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -114,9 +116,31 @@ def _below(path: Column, root: str) -> Column:
     return F.substring_index(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), f"{bare}/", -1)
 
 
+#: Hadoop's setting under which tasks move their own files; by default the driver moves all of them, one by one, when a job ends.
+_MOVED_BY_TASKS = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by a few tasks a core; by default each folder is a task of its own, up to 10,000."""
+    before = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING, before)
+
+
+def write_folders(rows: DataFrame, root: str, by: tuple[str, ...], fmt: str) -> None:
+    """Rows into a folder for each value of ``by``, beside what is there; for trees of many small folders that nobody reads before the write has ended."""
+    rows.write.mode("append").option(*_MOVED_BY_TASKS).partitionBy(*by).format(fmt).save(root)
+
+
 def page_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Page files at any depth, read whole: html without a byte order mark, and file (the path below the root)."""
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+    with _listing(spark):
+        found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     return found.select(F.regexp_replace("value", "^\\uFEFF", "").alias("html"), _below(F.col("_metadata.file_path"), root).alias("file"))
 
 
@@ -137,7 +161,8 @@ def read_samples(spark: SparkSession, root: str, glob: str = "*.html", metadata:
     The source html is preferred to the captured one, a byte order mark is dropped, and the batch is the first folder below the root.
     A sample without its page keeps null html.
     """
-    meta = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", metadata).option("multiLine", True).schema(SAMPLE).json(root)
+    with _listing(spark):
+        meta = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", metadata).option("multiLine", True).schema(SAMPLE).json(root)
     meta = meta.withColumn("path", _below(F.col("_metadata.file_path"), root))
     folder = F.regexp_replace("path", "[^/]*\\z", "")
     rows = meta.withColumn("file", F.concat(folder, F.coalesce("sourceHtml", "domHtml"))).withColumn("batch", F.split("path", "/")[0]).join(page_files(spark, root, glob), "file", "left")
