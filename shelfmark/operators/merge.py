@@ -9,6 +9,7 @@ from ..functions import normalize as nz
 from ..functions.text import candidate_id, js_trim
 from ..schemas import BOOK_FIELDS, CREATOR_DDL, ID_FIELDS, STRING_FIELDS
 from ..site import SITE, Site
+from ..sources.store import stage
 from . import exports, pages, validate
 
 # Field groups of the merge policy.
@@ -147,6 +148,13 @@ def responses(rows: DataFrame) -> DataFrame:
     return out.withColumn("error", error).withColumns({"ok": F.col("error").isNull(), "model": F.when(F.col("error").isNull(), F.col("model"))}).drop("content")
 
 
+def answered(rows: DataFrame) -> DataFrame:
+    """The rows of ``responses`` that are ok."""
+    # outer, then filtered: a plain filter would be pushed down to the table and repeat the parsing of the answer
+    one = F.when(F.col("ok"), F.array(F.struct(*rows.columns)))
+    return rows.select(F.explode_outer(one).alias("r")).where("r is not null").select("r.*")
+
+
 def request_log(rows: DataFrame) -> DataFrame:
     """Requests and failures by kind and status. rows: kind, status, ok."""
     return rows.groupBy("kind", "status").agg(F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("failures"))
@@ -179,7 +187,8 @@ def mode_summary(compared: DataFrame) -> DataFrame:
 
 def field_changes(compared: DataFrame, column: str = "accepted") -> DataFrame:
     """How often each field changed, by mode."""
-    return compared.where("ok").select("mode", F.explode(column).alias("field")).groupBy("mode", "field").agg(F.count("*").alias("n"))
+    # outer, then filtered: a plain explode has a filter inferred that repeats the merge below it
+    return compared.where("ok").select("mode", F.explode_outer(column).alias("field")).where("field is not null").groupBy("mode", "field").agg(F.count("*").alias("n"))
 
 
 def mode_pairs(compared: DataFrame) -> DataFrame:
@@ -250,7 +259,8 @@ def promotion_rows(candidates: DataFrame, with_skipped: bool = False) -> tuple[D
     # outer, then filtered: a plain filter would be pushed down and repeat every expression that the status is made of
     kept = F.array(F.struct("candidate_id", "model_record_id", "payload", "status", "promotion_warnings", "promotion_status"))
     chosen = kept if with_skipped else F.when(F.col("promotion_status") == "prepared", kept)
-    rows = candidates.select(F.explode_outer(chosen).alias("r")).where("r is not null").select("r.*")
+    # written once: the candidates would be built for each of the two tables
+    rows = stage(candidates.select(F.explode_outer(chosen).alias("r")).where("r is not null").select("r.*"), "promoted")
     key = F.col("candidate_id")
     exported = rows.select(F.concat(F.lit("export-catalog-json-"), key).alias("export_record_id"), F.col("model_record_id").alias("cleaned_record_id"), F.lit("catalog-json").alias("format"), F.to_json("payload").alias("payload_json"), F.col("status").alias("validation_status"), F.to_json("promotion_warnings").alias("validation_warnings_json"))
     imported = rows.select(F.concat(F.lit("import-catalog-json-"), key).alias("import_record_id"), F.col("model_record_id").alias("cleaned_record_id"), F.concat(F.lit("export-catalog-json-"), key).alias("export_record_id"), F.to_json("payload").alias("item_payload_json"), F.col("promotion_status").alias("status"), F.to_json("promotion_warnings").alias("validation_warnings_json"))

@@ -490,7 +490,7 @@ def m10_page_requests(spark, sf):
 
 def proposals(spark, sf) -> DataFrame:
     """Rule books with model answers: title changed (k % 7), language filled (k % 3), pages as a number (k % 11), publisher emptied (k % 5)."""
-    p = table(spark, sf, "part").withColumn("k", F.col("p_partkey"))
+    p = synth.dealt(spark, table(spark, sf, "part"), "p_partkey").withColumn("k", F.col("p_partkey"))
     author = F.array(F.struct(F.lit("").alias("first_name"), F.lit("Author").alias("last_name"), F.lit("author").alias("creator_type"), F.lit(1).alias("field_mode"), F.lit(None).cast("boolean").alias("needs_review"))).cast(CREATORS)
     known = {
         "book_url": F.concat(F.lit("https://book.example.org/subject/"), F.col("k").cast("string"), F.lit("/")), "book_id": F.col("k").cast("string"), "title": F.col("p_name"), "publisher": F.col("p_brand"), "publish_date": (F.col("p_size") + 1950).cast("string"),
@@ -516,7 +516,7 @@ _CHANGED = "concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'language' END, CASE
 
 
 def merged(spark, sf) -> DataFrame:
-    r = merge.responses(proposals(spark, sf)).where("ok")
+    r = merge.answered(merge.responses(proposals(spark, sf)))
     return r.withColumn("merged", merge.merge_model(F.col("rule"), F.col("model")))
 
 

@@ -1,10 +1,14 @@
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from shelfmark.operators import merge
 from shelfmark.plans import captures
 from shelfmark.sources import store
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     root = str(tmp_path / "tree")
@@ -28,3 +32,19 @@ def test_captured_titles_keep_other_references(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(con.execute(entry.oracle_sql()["e2_captured_pages"]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["m1_merged_records", "m6_replayed_records", "m7_field_changes", "m8_promotion_candidates", "a15_mode_summary"])
+def test_answers_are_parsed_once(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") == 1
+
+
+def test_candidates_are_built_once_for_both_tables(spark):
+    plan = entry.queries()["m9_promotion_rows"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object(" not in plan
+
+
+def test_field_changes_count_each_field_once(spark):
+    rows = spark.createDataFrame([("a", True, ["x", "y"]), ("a", True, []), ("a", False, ["x"]), ("b", True, None), ("b", True, ["x"])], "mode string, ok boolean, accepted array<string>")
+    assert sorted(tuple(r) for r in merge.field_changes(rows).collect()) == [("a", "x", 1), ("a", "y", 1), ("b", "x", 1)]
