@@ -32,7 +32,7 @@ _NAMES = f"(SELECT c_custkey AS k, translate(cast(c_custkey AS string), '0123456
 
 
 def _names(spark, sf) -> DataFrame:
-    return run_sql(spark, sf, f"SELECT * FROM {_NAMES}")
+    return synth.dealt(spark, run_sql(spark, sf, f"SELECT * FROM {_NAMES}"), "k")
 
 
 @query(f"SELECT k, k % 3 <> 2 AS east, CASE WHEN k % 3 = 0 THEN z ELSE z || '·' || z END AS dotted FROM {_NAMES}")

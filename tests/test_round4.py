@@ -48,3 +48,8 @@ def test_candidates_are_built_once_for_both_tables(spark):
 def test_field_changes_count_each_field_once(spark):
     rows = spark.createDataFrame([("a", True, ["x", "y"]), ("a", True, []), ("a", False, ["x"]), ("b", True, None), ("b", True, ["x"])], "mode string, ok boolean, accepted array<string>")
     assert sorted(tuple(r) for r in merge.field_changes(rows).collect()) == [("a", "x", 1), ("a", "y", 1), ("b", "x", 1)]
+
+
+@pytest.mark.parametrize("name", ["c9_split_names", "c11_creators_with_notes"])
+def test_names_are_dealt_to_all_cores(spark, name):
+    assert entry.queries()[name](spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
