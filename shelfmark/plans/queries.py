@@ -415,7 +415,7 @@ def a5_list_summary(spark, sf):
 
 @query(f"SELECT 'warning' AS severity, count(*) AS n FROM (SELECT uid, page FROM ({_ENTRIES}) e GROUP BY 1, 2 HAVING count(DISTINCT subject) < count(*)) f HAVING count(*) > 0")
 def v8_pagination_audit(spark, sf):
-    d = diagnosed(spark, sf).withColumnsRenamed({"uid": "person", "page": "page_index", "n": "declared_total"})
+    d = store.stage(diagnosed(spark, sf), "diagnosed").withColumnsRenamed({"uid": "person", "page": "page_index", "n": "declared_total"})
     people = lists.list_summary(d.groupBy("person").agg(F.max("declared_total").alias("declared_total")))
     checks = lists.page_checks(d).select("person", "page_index", "expected_start", "expected_end", "visible_links", "d")
     subjects = d.select(F.explode("d.links").alias("l")).select("l.url").distinct().withColumn("subject_id", tx.subject_id(F.col("url")))
