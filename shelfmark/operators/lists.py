@@ -90,15 +90,15 @@ def series_links(html: Column, site: Site = SITE) -> Column:
     bare = lambda c: F.regexp_replace(c, "<[^>]*>", "")
 
     def collect(parts: Column, rx: str) -> Column:
-        got = F.transform(parts, lambda p: F.struct(absolute_url(F.regexp_extract(p, rx, 1), site).alias("url"), F.trim(bare(F.regexp_extract(p, rx, 2))).alias("title"), F.regexp_extract(p, rx, 2).contains("<img").alias("image"), (F.regexp_extract(p, rx, 1) != "").alias("ok")))
-        return _first_seen(F.filter(got, lambda x: x["ok"] & (x["title"] != "") & ~x["image"]), lambda x: subject_id(x["url"]))
+        got = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, rx, 1).alias("href"), F.regexp_extract(p, rx, 2).alias("body")))
+        told = F.transform(F.filter(got, lambda x: (x["href"] != "") & ~x["body"].contains("<img")), lambda x: F.struct(absolute_url(x["href"], site).alias("url"), F.trim(bare(x["body"])).alias("title")))
+        return _first_seen(F.filter(told, lambda x: x["title"] != ""), lambda x: subject_id(x["url"]))
 
     items = F.regexp_extract_all(html, F.lit("(?is)<div[^>]+class=[\"'][^\"']*subject-item[^\"']*[\"'][^>]*>(.*?)</div>\\s*</div>"), 1)
     first = collect(items, f"(?is)<h2[^>]*>\\s*<a[^>]+href=[\"']({_subject(site)})[\"'][^>]*>(.*?)</a>")
     area = F.regexp_extract(html, "(?is)<div[^>]+class=[\"'][^\"']*subject-list[^\"']*[\"'][^>]*>(.*?)</div>\\s*(?:<div[^>]+class=[\"'](?:paginator|aside)|\\z)", 1)
     second = collect(F.split(area, "(?i)(?=<a\\s)"), anchor)
-    plain = lambda xs: F.transform(xs, lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title")))
-    return F.when(F.size(first) > 0, plain(first)).otherwise(plain(second))
+    return let(first, lambda xs: F.when(F.size(xs) > 0, xs).otherwise(second))
 
 
 def series_info(html: Column) -> Column:
@@ -158,11 +158,12 @@ def assemble_series(pages: DataFrame, list_col: str = "series", site: Site = SIT
     is null if it is not shown. ``mismatch`` tells of a declared count other than that of the volumes.
     """
     links, info = series_links(F.col("html"), site), series_info(F.col("html"))
-    shown = pages.select(list_col, "page", "url", links.alias("links"), info.alias("i"))
+    # written once, without html: both results and the names read it
+    shown = stage(pages.select(list_col, "page", "url", links.alias("links"), info.alias("i")), "series-pages")
     total = F.when(F.col("page") == 0, F.col("i.count"))
     d = F.struct("links", F.coalesce(total, F.lit(0)).alias("total"), F.col("i.has_next").alias("has_next"), F.size("links").alias("visible"))
     volumes, summary = assemble(shown.select(list_col, "page", "url", d.alias("d")), list_col, lambda x: subject_id(x["url"]), most_pages, need_new=True)
-    names = pages.where(F.col("page") == 0).groupBy(list_col).agg(F.min(info["name"]).alias("name"))
+    names = shown.where(F.col("page") == 0).groupBy(list_col).agg(F.min("i.name").alias("name"))
     declared = F.when(F.col("total") > 0, F.col("total"))
     differs = F.coalesce(declared != F.col("unique_links"), F.lit(False))
     out = summary.join(names, list_col, "left").select(list_col, F.coalesce("name", F.lit("")).alias("name"), declared.alias("declared"), "pages", F.col("unique_links").alias("volumes"), differs.alias("mismatch"))

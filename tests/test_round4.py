@@ -55,7 +55,7 @@ def test_names_are_dealt_to_all_cores(spark, name):
     assert entry.queries()[name](spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
-@pytest.mark.parametrize("name", ["v8_audit_errors"])
+@pytest.mark.parametrize("name", ["v8_audit_errors", "w6_series_assembly"])
 def test_list_pages_are_read_once(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "subject-num" not in plan and "<h1" not in plan
