@@ -1,12 +1,13 @@
 """Newly captured pages as a stream: parsed, validated and kept. A page is parsed once.
 
-``append_books`` appends; an address counts once within a batch. ``keep_books`` has a state for each address on disk, without expiry:
-the hash of its last page and when it was captured. A page that has not changed, or that is older than the last one, is skipped; a changed
+``append_books`` appends; an address counts once within a batch. ``keep_books`` has a state on disk, without expiry, by blocks of addresses: for each
+address the hash of its last page and when it was captured. A page that has not changed, or that is older than the last one, is skipped; a changed
 one replaces what was kept of its address, also where it can no longer be parsed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,8 @@ from ..site import SITE, Site
 
 #: A captured page: ``seq`` rises with the time of capture.
 CAPTURED = T.StructType([*RAW_PAGE.fields, T.StructField("seq", T.LongType())])
+#: Into how many blocks the addresses of a state are dealt; fixed, since a checkpoint belongs to its number.
+BLOCKS = 1 << 13
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEPT = "url string, seq long, book_json string, status string, warnings array<string>, parse_error string, batch long"
@@ -47,24 +50,33 @@ def append_books(stream: DataFrame, books: str, errors: str, checkpoint: str, si
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def changed_pages(stream: DataFrame) -> DataFrame:
-    """Of a stream of captured pages (url, html, seq) those that differ from the last page of their address, the last one of each batch."""
+def changed_pages(stream: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """Of a stream of captured pages (url, html, seq) those that differ from the last page of their address, the last one of each batch.
+
+    Addresses share the state of one of ``blocks``, by their hash: what a batch costs beside its rows is bounded by the blocks, and not a call
+    for each address. A block's state grows with its addresses and is written again when one of them comes."""
 
     def last_of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = None
+        best: dict[str, tuple[int, str, str | None]] = {}
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if best is None or (row.seq, row.sha) > (best.seq, best.sha):
-                    best = row
-        seq, sha = state.get if state.exists else (None, None)
-        if best is None or (seq is not None and best.seq < seq):
-            return
-        state.update((int(best.seq), best.sha))
-        if best.sha != sha:
-            yield pd.DataFrame([(key[0], best.html, int(best.seq))], columns=["url", "html", "seq"])
+            for url, seq, sha, html in zip(pdf["url"], pdf["seq"], pdf["sha"], pdf["html"], strict=True):
+                if url not in best or (seq, sha) > best[url][:2]:
+                    best[url] = int(seq), sha, html
+        known = json.loads(state.get[0]) if state.exists else {}
+        fresh = []
+        for url, (seq, sha, html) in best.items():
+            last = known.get(url)
+            if last is None or last[0] <= seq:
+                known[url] = (seq, sha)
+                if last is None or last[1] != sha:
+                    fresh.append((url, html, seq))
+        state.update((json.dumps(known),))
+        if fresh:
+            yield pd.DataFrame(fresh, columns=["url", "html", "seq"])
 
     keyed = stream.where("url is not null").withColumn("sha", F.sha2(F.coalesce("html", F.lit("")), 256)).withColumn("seq", F.coalesce("seq", F.lit(0)))
-    return keyed.groupBy("url").applyInPandasWithState(last_of, CAPTURED, "seq long, sha string", "append", GroupStateTimeout.NoTimeout)
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(blocks)))
+    return keyed.groupBy("block").applyInPandasWithState(last_of, CAPTURED, "known string", "append", GroupStateTimeout.NoTimeout)
 
 
 def keep_books(stream: DataFrame, kept: str, checkpoint: str, site: Site = SITE) -> StreamingQuery:

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import pagehtml
+from shelfmark.streaming import intake
 
 from .test_catalog import PAGE
 
@@ -34,3 +36,19 @@ def test_plain_pages_and_known_tags_are_not_read_by_the_standard_parser(monkeypa
     expected = pagehtml.parse_page(page)
     monkeypatch.setattr(pagehtml.HTMLParser, "feed", lambda self, data: pytest.fail(f"read again: {data}"))
     assert pagehtml.parse_page(page) == expected and expected["entries"] == [{"label": "ISBN", "value": "1 & 2"}]
+
+
+def test_addresses_share_states(spark, tmp_path):
+    inbox, state = f"{tmp_path}/in", f"{tmp_path}/state"
+
+    def feed(rows, number):
+        rows.select(F.format_string("u%d", "id").alias("url"), F.col("html"), F.lit(number).cast("long").alias("seq")).write.mode("append").parquet(inbox)
+        changed = intake.changed_pages(intake.read_pages(spark, inbox, schema=intake.CAPTURED), 5)
+        run = changed.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out{number}")).option("checkpointLocation", state).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5
+        return spark.read.parquet(f"{tmp_path}/out{number}")
+
+    assert feed(spark.range(300).withColumn("html", F.lit("a")), 1).count() == 300
+    again = feed(spark.range(400).withColumn("html", F.when(F.col("id") % 2 == 0, "a").otherwise("b")), 2)
+    assert {r["url"] for r in again.collect()} == {f"u{i}" for i in range(400) if i % 2 or i >= 300}
