@@ -109,7 +109,13 @@ _VOLUME = (
 )
 
 
+def file_stem(filename: Column) -> Column:
+    return F.regexp_replace(filename, "\\.[^.]+\\z", "")
+
+
 def volume_number(filename: Column) -> Column:
-    name = F.regexp_replace(filename, "\\.[^.]+\\z", "")
-    found = [filled(F.regexp_extract(name, p, 1)) for p in _VOLUME]
-    return pad2(F.coalesce(*found, F.try_element_at(F.regexp_extract_all(name, F.lit("([0-9]+)"), 1), F.lit(-1))))
+    """The number of a file's name, of two digits at least; null if its stem has no digit. Each rule is named once, so it is tried once."""
+    name = file_stem(filename)
+    # a list of matches is null at its end, where a single extract would be compared with the empty string and made again
+    found = [F.try_element_at(F.regexp_extract_all(name, F.lit(p), 1), F.lit(1)) for p in _VOLUME]
+    return F.regexp_replace(F.coalesce(*found, F.try_element_at(F.regexp_extract_all(name, F.lit("([0-9]+)"), 1), F.lit(-1))), "^([0-9])\\z", "0$1")

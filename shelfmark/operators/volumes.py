@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import pad2, volume_number
+from ..functions.normalize import file_stem, pad2, volume_number
 
 # Supported file types.
 EXTENSIONS = ("epub", "pdf", "cbz", "cbr", "mobi", "azw3")
@@ -18,7 +18,9 @@ def supported_files(files: DataFrame) -> DataFrame:
 
 def match_files(volumes: DataFrame, files: DataFrame) -> DataFrame:
     """Volumes (series, volume_number, ...) with path and file_status; of files with one number the last by name counts. files: series, name, path."""
-    numbered = files.where(F.lower(F.substring_index("name", ".", -1)).isin(*EXTENSIONS)).withColumn("volume_number", volume_number(F.col("name"))).where("volume_number is not null")
+    kept = files.where(F.lower(F.substring_index("name", ".", -1)).isin(*EXTENSIONS) & file_stem(F.col("name")).rlike("[0-9]"))
+    # every stem with a digit has a number; a column that cannot be null has no filter inferred for the join, which would repeat the rules
+    numbered = kept.withColumn("volume_number", F.coalesce(volume_number(F.col("name")), F.lit("")))
     last = numbered.groupBy("series", "volume_number").agg(F.max(F.struct("name", "path")).alias("f")).select("series", "volume_number", F.col("f.path").alias("path"))
     return volumes.join(last, ["series", "volume_number"], "left").withColumn("file_status", F.when(F.col("path").isNotNull(), "matched").otherwise("missing"))
 

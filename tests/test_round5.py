@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import pagehtml
+import __spark_entry__ as entry
+from shelfmark.operators import pagehtml, volumes
 from shelfmark.streaming import intake
 
 from .test_catalog import PAGE
@@ -52,3 +53,16 @@ def test_addresses_share_states(spark, tmp_path):
     assert feed(spark.range(300).withColumn("html", F.lit("a")), 1).count() == 300
     again = feed(spark.range(400).withColumn("html", F.when(F.col("id") % 2 == 0, "a").otherwise("b")), 2)
     assert {r["url"] for r in again.collect()} == {f"u{i}" for i in range(400) if i % 2 or i >= 300}
+
+
+def test_volume_numbers_are_read_once(spark):
+    plan = entry.queries()["j13_volume_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("卷([0-9]+)") == 1
+
+
+def test_files_are_matched_by_each_rule(spark):
+    names = {"x 卷3.pdf": "03", "第12话 v4.epub": "12", "vol. 7 第x.CBZ": "07", "a (5) 9.epub": "05", "a 9 b 120.mobi": "120", "no digit.epub": None, "7.txt": None, "none.7": None, "vol.2.epub": "02", "v٣.epub": None}
+    wanted = spark.createDataFrame([("s", n) for n in ("03", "12", "07", "05", "120", "02", "")] + [("s", None)], "series string, volume_number string")
+    files = spark.createDataFrame([("s", n, f"/{n}") for n in names], "series string, name string, path string")
+    got = {r["volume_number"]: r["path"] for r in volumes.match_files(wanted, files).collect()}
+    assert got == {v: f"/{k}" for k, v in names.items() if v} | {"": None, None: None}
