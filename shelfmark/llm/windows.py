@@ -132,9 +132,14 @@ def segments(units: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
         start = np.repeat(start, extra + 1) + step * 4 * kind.window
         size = np.diff(np.append(start, n))
     anchor = least[start]
-    reach = size + kind.run - 1
-    at = np.repeat(start - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
-    seen = np.add.reduceat(grams[at] == np.repeat(anchor, reach), np.concatenate([[0], np.cumsum(reach)[:-1]]), dtype=np.int64)
+    seen = np.zeros(len(start), dtype=np.int64)
+    ordered = np.sort(grams)
+    twice = np.flatnonzero(np.isin(anchor, ordered[1:][ordered[1:] == ordered[:-1]]))
+    if len(twice):
+        reach = size[twice] + kind.run - 1
+        head = np.concatenate([[0], np.cumsum(reach)[:-1]])
+        at = np.repeat(start[twice] - head, reach) + np.arange(reach.sum())
+        seen[twice] = np.add.reduceat(grams[at] == np.repeat(anchor[twice], reach), head, dtype=np.int64)
     return anchor.view(np.int64), second.of(start, start + size + kind.window - 1).view(np.int64), start, size, seen > 1
 
 
