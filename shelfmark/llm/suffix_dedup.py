@@ -1,10 +1,10 @@
 """Suffix-array deduplication: later copies of long byte strings go, the first stays.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: in a document with a smaller key, or earlier in
-the same document. Candidate regions come from ``windows``; a shard lays its segments end to end in the order of their places,
-sorts their suffixes, and takes the longest previous factor of each window start from the nearest suffixes, before and after
-it in suffix order, that start earlier in that text. A window is marked if that factor has the full length. Strings are judged
-on the input, not on what is left.
+the same document. Candidate regions come from ``windows``; a shard lays its segments end to end, ranks their suffixes, and orders
+the window starts by suffix and, among equal ones, by their places. The longest previous factor of a start has the full length if the
+start before it in that order shares so much, and then its window is marked. ``longest_previous_factors`` measures shorter ones
+too, from previous and next smaller places. Strings are judged on the input, not on what is left.
 
 Texts of any length are read whole, as segments of bounded length. Null text counts as empty. Nothing of a row with a null key is removed. Kept bytes may cut a character in two; the result is
 binary. Repeated equal rows get equal results; rows with one key and different texts follow each other in the order of a hash of
@@ -50,8 +50,9 @@ def _dense(key: np.ndarray, most: int) -> np.ndarray:
     else:
         order = np.argsort(key)
         key = key[order]
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.cumsum(np.diff(key, prepend=-1) != 0)
+    rank, new = np.empty(n, dtype=np.int64), np.ones(n, dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    rank[order] = np.cumsum(new)
     return rank
 
 
@@ -110,16 +111,50 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, depth: int) -
     return out
 
 
+def repeated_starts(data: np.ndarray, room: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``starts``, listed in the order of their places, have a longest previous factor of ``length`` bytes or more; ascending.
+
+    data: segments end to end, each once, however many places it has. room: how many bytes each of their bytes has to the end of its segment.
+    Suffixes are ranked by exactly ``length`` bytes, within their segments alone. Equal ones stand together in suffix order, by place, so the
+    nearest earlier start of such a factor is the neighbour before; what shorter factors share need not be measured.
+    """
+    letters = np.flatnonzero(np.bincount(data, minlength=256))
+    number = np.zeros(256, dtype=np.int64)
+    number[letters] = np.arange(len(letters))
+    width, bits = max(1, len(letters) - 1).bit_length(), max(1, len(data).bit_length())
+    steps = [length]
+    while steps[-1] * width + bits > 62 and steps[-1] > 1:
+        steps.append((steps[-1] + 1) // 2)
+    size = steps.pop()
+    coded, key = np.append(number[data], np.zeros(size, dtype=np.int64)), np.zeros(len(data), dtype=np.int64)
+    for k in range(size):
+        key = key << width | coded[k : k + len(data)]
+    at, most, rank = np.flatnonzero(room >= size), len(data), np.zeros(len(data), dtype=np.int64)
+    rank[at] = _dense(key[at], 1 << width * size)
+    for longer in reversed(steps):
+        at = np.flatnonzero(room >= longer)
+        # two runs that may overlap make the longer one
+        rank[at], size = _dense(rank[at] * (most + 1) + rank[at + longer - size], most * (most + 2)), longer
+    bits = max(1, len(starts).bit_length())
+    both = np.sort(rank[starts] << bits | np.arange(len(starts)))
+    again = np.flatnonzero(both[1:] >> bits == both[:-1] >> bits) + 1
+    return np.sort(both[again] & ((1 << bits) - 1))
+
+
 def _marker(length: int):
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc", "tid", "span"])
         size = sizes(pdf["span"].to_numpy())
-        data = np.frombuffer(b"".join(pdf["body"]), dtype=np.uint8)
-        begin = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])
+        # a class stands once in the text, whether it has one place or two
+        body = pdf.groupby(["anchor", "seg"], sort=False).ngroup().to_numpy()
+        _, one = np.unique(body, return_index=True)
+        data = np.frombuffer(b"".join(pdf["body"].iloc[one]), dtype=np.uint8)
+        reach = size[one] + length - 1
+        begin = np.concatenate([[0], np.cumsum(reach)[:-1]])
+        room = np.repeat(begin + reach, reach) - np.arange(len(data))
         row = np.repeat(np.arange(len(size)), size)
         off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        # windows lie inside their segments, so what is compared never crosses from one segment into the next before the full length
-        marked = np.flatnonzero(longest_previous_factors(data, begin[row] + off, length) >= length)
+        marked = repeated_starts(data, room, begin[body[row]] + off, length)
         return as_ranges(pdf, row[marked], off[marked])
 
     return mark
