@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from .pagehtml import anchor_links
 
 PAGE = 15
 BLOCK = 1_000  # pages whose running sums one task takes
+TASK_LINKS = 200_000  # links that one task sorts
 LINKS = "array<struct<url:string,title:string>>"
 
 
@@ -253,13 +256,17 @@ def candidate_sources(links: DataFrame, by: str, within: str) -> DataFrame:
     """Rows (url, position from 1, source) in the order of (by, within), columns of ``links`` (url, source, by, within).
 
     Positions within one url and ``by`` are ranked and added to the count of those before, so that no task sorts all rows of a
-    url; its window has a row for each value of ``by``, with a count only.
+    url; its window has a row for each value of ``by``, with a count only. The links are written once and dealt by their number, so
+    that a task sorts about ``TASK_LINKS`` rows at any size.
     """
-    counts = links.groupBy("url", by).agg(F.count("*").alias("n"))
+    links = stage(links.select("url", by, within, "source").withColumn("__key", F.struct("url", by)), "candidate-links")
+    parts = max(links.sparkSession.sparkContext.defaultParallelism, math.ceil(links.count() / TASK_LINKS))
+    counts = links.groupBy("__key", "url", by).agg(F.count("*").alias("n")).repartition(parts, "url")
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("url").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = links.withColumn("i", F.row_number().over(Window.partitionBy("url", by).orderBy(within)))
-    before = counts.select(F.col("url").alias("__url"), F.col(by).alias("__by"), earlier.alias("earlier"))
-    return ranked.join(before, F.col("url").eqNullSafe(F.col("__url")) & F.col(by).eqNullSafe(F.col("__by"))).select("url", (F.col("earlier") + F.col("i")).alias("position"), "source")
+    ranked = links.repartition(parts, "__key").withColumn("i", F.row_number().over(Window.partitionBy("__key").orderBy(within)))
+    before = counts.select("__key", earlier.alias("earlier")).repartition(parts, "__key")
+    # a key is a struct, whose nulls equal each other
+    return ranked.join(before, "__key").select("url", (F.col("earlier") + F.col("i")).alias("position"), "source")
 
 
 def exclude_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
