@@ -243,7 +243,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
             yield pd.DataFrame(predict_texts(held.value, texts), columns=["lang", "score"])
 
     named = unused(docs, "language")
-    out = docs.withColumn(named, guess(F.col(text_col)))
+    # so that a filter by the result is not pushed below it, which would predict every text twice, in two Python workers for each task
+    out = docs.withColumn(named, guess.asNondeterministic()(F.col(text_col)))
     return out.withColumns({lang_out: F.col(f"{named}.lang"), score_out: F.col(f"{named}.score")}).drop(named)
 
 
