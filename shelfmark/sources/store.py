@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..schemas import PRIMARY, RUN_OF, TABLES
 from .packed import _files
 
+#: Subfolders of a corpus.
+CORPUS_FOLDERS = 1024
 FIXTURES = T.StructType([T.StructField("fixtures", T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("id", "kind", "sourceUrl", "file", "expected", "capturedAt", "capturedByMode", "purpose", "notes")), T.StructField("redactions", T.ArrayType(T.StringType()))])))])
 SAMPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("subjectId", "sourceUrl", "sourceHtml", "domHtml", "capturedAt")])
 _DECISION = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("model_record_id", "candidate_id", "decision", "notes")]))
@@ -180,6 +182,16 @@ def _marked(html: Column) -> Column:
     return F.when(html.startswith("\ufeff"), F.concat(F.lit("\ufeff"), html)).otherwise(html)
 
 
+def write_corpus(pages: DataFrame, root: str, manifest: str = "manifest.json") -> None:
+    """Pages (id, kind, url, html) as files in subfolders, with a manifest of lines, one a page, from the tasks that write the files; ``read_corpus`` reads
+    both. A page without html is listed and has no file."""
+    name = _named(pages, "id")
+    folder = F.lpad(F.pmod(F.xxhash64("id"), F.lit(CORPUS_FOLDERS)).cast("string"), 4, "0")
+    rows = pages.withColumn("file", F.concat(F.lit("pages/"), folder, F.lit("/"), name, F.lit(".html"))).withColumn("html", _marked(F.col("html")))
+    row = F.struct("id", "kind", F.col("url").alias("sourceUrl"), F.concat(F.lit("./"), "file").alias("file"))
+    with_files(rows, root).select(F.array(row).alias("fixtures")).write.json(f"{root}/{manifest}")
+
+
 def write_samples(samples: DataFrame, root: str) -> None:
     """Samples (subject_id, url, batch, html) as folders ``{batch}/{sample}``, each with its page and its metadata; ``read_samples`` reads them. A batch is the
     name of a folder that is not hidden. A sample without html has no page, one without a batch stands in the folder ``none``."""

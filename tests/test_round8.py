@@ -55,3 +55,19 @@ def test_files_with_whole_texts(spark, tmp_path):
     plan = store.page_files(spark, str(tmp_path), "*.html")._jdf.queryExecution().optimizedPlan().toString()
     assert "content" in plan  # no codec is looked for
     assert store.page_files(spark, str(tmp_path), "*.gz").columns == ["html", "file"]
+
+
+def test_corpus_of_odd_pages(spark, tmp_path):
+    spark.createDataFrame(ODD, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    equal_to_sql(spark, "s1_corpus_pages", str(tmp_path))
+
+
+def test_corpus_is_written_in_one_pass(spark, tmp_path):
+    """A file for each page that has html, in a bounded number of folders; the manifest comes from the tasks that write them."""
+    ids = ["12", "12", "12-1", "a/b", "../c", "_d", ".e", "f g%20+", "", None, "gone"]
+    rows = spark.createDataFrame([(x, "subject-page", f"u{i}", f"<p>{i}\n</p>" if x != "gone" else None) for i, x in enumerate(ids)], "id string, kind string, url string, html string")
+    store.write_corpus(rows, str(tmp_path))
+    files = [f for f in written(tmp_path) if f.endswith(".html")]
+    assert len(files) == len(ids) - 1 and not [f for f in written(tmp_path / "pages") if f not in files]
+    got = store.read_corpus(spark, str(tmp_path), lines=True).select("id", "kind", "url", "html")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
