@@ -9,13 +9,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import PRIMARY, RUN_OF, TABLES
-from .packed import _files
+from . import trees
 
 #: Subfolders of a corpus.
 CORPUS_FOLDERS = 1024
@@ -141,42 +140,16 @@ def write_folders(rows: DataFrame, root: str, by: tuple[str, ...], fmt: str) ->
     rows.write.mode("append").option(*_MOVED_BY_TASKS).partitionBy(*by).format(fmt).save(root)
 
 
-def with_files(rows: DataFrame, root: str, file: str = "file", content: str = "html") -> DataFrame:
-    """``rows`` without their content, which the tasks that make them write as files below the root; null content makes no file.
-
-    Tasks write the files themselves, one call a file: Spark's writer makes folders and files twice and, on a local disk without Hadoop's native library, starts
-    a process for each of them to set its mode. A file appears whole, under a hidden name before, so a task can run again. As in ``packed``, paths are those
-    of a mounted file system or of any that pyarrow knows by its scheme.
-    """
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, top = _files(root)
-        top, made = top.rstrip("/"), None
-        for batch in batches:
-            at = batch.schema.get_field_index(content)
-            for name, body in zip(batch.column(file), batch.column(at), strict=True):
-                if not body.is_valid:
-                    continue
-                folder, _, own = f"{top}/{name.as_py()}".rpartition("/")
-                if folder != made:
-                    files.create_dir(folder, recursive=True)
-                    made = folder
-                hidden = f"{folder}/.{own}-{uuid.uuid4().hex}"
-                with files.open_output_stream(hidden) as out:
-                    out.write(body.as_buffer())
-                files.move(hidden, f"{folder}/{own}")
-            yield batch.remove_column(at)
-
-    kept = T.StructType([f for f in rows.schema.fields if f.name != content])
-    return rows.withColumn(content, F.col(content).cast("binary")).mapInArrow(put, kept)
-
-
 def _named(rows: DataFrame, key: str) -> Column:
     """A name of a file or folder for each row: its key, encoded and never hidden, and the row's number among those of the key, so that no two rows share a name."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*(c for c in rows.columns if c != key))).cast("string")
     return F.coalesce(F.concat(F.lit("page-"), F.url_encode(F.col(key).cast("string")), F.lit("-"), place), F.concat(F.lit("none-"), place))
 
 
+def _unmarked(text: Column) -> Column:
+    return F.regexp_replace(text, "^\\uFEFF", "")
+
+
 def _marked(html: Column) -> Column:
     """Readers drop a byte order mark; a page that begins with one of its own gets another."""
     return F.when(html.startswith("\ufeff"), F.concat(F.lit("\ufeff"), html)).otherwise(html)
@@ -189,7 +162,7 @@ def write_corpus(pages: DataFrame, root: str, manifest: str = "manifest.json") -
     folder = F.lpad(F.pmod(F.xxhash64("id"), F.lit(CORPUS_FOLDERS)).cast("string"), 4, "0")
     rows = pages.withColumn("file", F.concat(F.lit("pages/"), folder, F.lit("/"), name, F.lit(".html"))).withColumn("html", _marked(F.col("html")))
     row = F.struct("id", "kind", F.col("url").alias("sourceUrl"), F.concat(F.lit("./"), "file").alias("file"))
-    with_files(rows, root).select(F.array(row).alias("fixtures")).write.json(f"{root}/{manifest}")
+    trees.with_files(rows, root).select(F.array(row).alias("fixtures")).write.json(f"{root}/{manifest}")
 
 
 def write_samples(samples: DataFrame, root: str) -> None:
@@ -200,26 +173,44 @@ def write_samples(samples: DataFrame, root: str) -> None:
     meta = F.to_json(F.struct(F.col("subject_id").alias("subjectId"), F.col("url").alias("sourceUrl"), F.when(F.col("html").isNotNull(), "source.html").alias("sourceHtml")))
     both = F.array(F.struct(F.lit("source.html").alias("name"), _marked(F.col("html")).alias("html")), F.struct(F.lit("metadata.json").alias("name"), meta.alias("html")))
     files = rows.select("folder", F.inline(both)).select(F.concat("folder", F.lit("/"), "name").alias("file"), "html")
-    with_files(files, root).write.format("noop").mode("overwrite").save()
+    trees.with_files(files, root).write.format("noop").mode("overwrite").save()
 
 
 #: Endings of files that are never compressed. The text reader looks for a codec for each file, which takes longer than reading it.
 _PLAIN_FILES = (".html", ".htm", ".txt", ".json")
 
 
-def _whole_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Files at any depth, read whole: value without a byte order mark, and file (the path below the root)."""
-    plain = glob.endswith(_PLAIN_FILES)
-    with _listing(spark):
-        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        found = reader.format("binaryFile").load(root) if plain else reader.text(root, wholetext=True)
-    value = F.col("content").cast("string") if plain else F.col("value")
-    return found.select(F.regexp_replace(value, "^\\uFEFF", "").alias("value"), _below(F.col("_metadata.file_path"), root).alias("file"))
+def _tree(spark: SparkSession, root: str, *globs: str) -> trees.Tree | None:
+    """The root as a tree that tasks list and read, where they can open its files and know the patterns."""
+    known = all(g.endswith(_PLAIN_FILES) and not re.search(r"[\[\]{}^\\]", g) for g in globs) and not re.search(r"[*?\[\]{}\\]", root)
+    path = trees.located(spark, root) if known else ""
+    return trees.listed(spark, path, new_dir(spark, "listed")) if path and trees.is_folder(path) else None
+
+
+def _whole_files(spark: SparkSession, root: str, glob: str, tree: trees.Tree | None) -> DataFrame:
+    """Files at any depth, read whole: value without a byte order mark, and file (the path below the root). Without a tree Spark lists and reads them."""
+    if tree:
+        found, value, file = tree.with_bodies(tree.named(glob), "file", "value"), F.col("value"), F.col("file")
+    else:
+        plain = glob.endswith(_PLAIN_FILES)
+        with _listing(spark):
+            reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            found = reader.format("binaryFile").load(root) if plain else reader.text(root, wholetext=True)
+        value, file = F.col("content").cast("string") if plain else F.col("value"), _below(F.col("_metadata.file_path"), root)
+    return found.select(_unmarked(value).alias("value"), file.alias("file"))
+
+
+def _with_pages(rows: DataFrame, root: str, glob: str, tree: trees.Tree | None) -> DataFrame:
+    """``rows`` with the html of their file, null where there is none."""
+    if not tree:
+        return rows.join(_whole_files(rows.sparkSession, root, glob, None).withColumnRenamed("value", "html"), "file", "left")
+    found = rows.join(tree.named(glob).select("file", F.col("file").alias("_at")).hint("merge"), "file", "left")  # a list is small as a file, not in memory
+    return tree.with_bodies(found, "_at", "html").withColumn("html", _unmarked(F.col("html"))).drop("_at")
 
 
 def page_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Page files at any depth, read whole: html without a byte order mark, and file (the path below the root)."""
-    return _whole_files(spark, root, glob).withColumnRenamed("value", "html")
+    return _whole_files(spark, root, glob, _tree(spark, root, glob)).withColumnRenamed("value", "html")
 
 
 def read_corpus(spark: SparkSession, root: str, manifest: str = "manifest.json", glob: str = "*.html", lines: bool = False) -> DataFrame:
@@ -230,7 +221,7 @@ def read_corpus(spark: SparkSession, root: str, manifest: str = "manifest.json",
     """
     listed = spark.read.schema(FIXTURES).option("multiLine", not lines).json(f"{root}/{manifest}").select(F.explode("fixtures").alias("f")).select("f.*")
     listed = listed.withColumn("file", F.regexp_replace("file", "^(\\./)+", ""))
-    return listed.join(page_files(spark, root, glob), "file", "left").withColumnRenamed("sourceUrl", "url")
+    return _with_pages(listed, root, glob, _tree(spark, root, glob)).withColumnRenamed("sourceUrl", "url")
 
 
 def read_samples(spark: SparkSession, root: str, glob: str = "*.html", metadata: str = "metadata.json") -> DataFrame:
@@ -239,12 +230,13 @@ def read_samples(spark: SparkSession, root: str, glob: str = "*.html", metadata:
     The source html is preferred to the captured one, a byte order mark is dropped, and the batch is the first folder below the root.
     A sample without its page keeps null html.
     """
-    found = _whole_files(spark, root, metadata).where(F.col("value").rlike("[^ \t\r\n]"))
+    tree = _tree(spark, root, glob, metadata)
+    found = _whole_files(spark, root, metadata, tree).where(F.col("value").rlike("[^ \t\r\n]"))
     parsed = F.coalesce(F.from_json("value", T.ArrayType(SAMPLE)), F.array(F.lit(None).cast(SAMPLE)))  # what is broken keeps a row
     meta = found.select(F.col("file").alias("path"), F.inline(parsed))
     folder = F.regexp_replace("path", "[^/]*\\z", "")
-    rows = meta.withColumn("file", F.concat(folder, F.coalesce("sourceHtml", "domHtml"))).withColumn("batch", F.split("path", "/")[0]).join(page_files(spark, root, glob), "file", "left")
-    return rows.select(F.col("subjectId").alias("subject_id"), F.col("sourceUrl").alias("url"), "batch", "html")
+    rows = meta.withColumn("file", F.concat(folder, F.coalesce("sourceHtml", "domHtml"))).withColumn("batch", F.split("path", "/")[0])
+    return _with_pages(rows, root, glob, tree).select(F.col("subjectId").alias("subject_id"), F.col("sourceUrl").alias("url"), "batch", "html")
 
 
 def sample_order(samples: DataFrame) -> DataFrame:

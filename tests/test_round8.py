@@ -1,3 +1,4 @@
+import gzip
 import os
 
 import duckdb
@@ -52,8 +53,8 @@ def test_files_with_whole_texts(spark, tmp_path):
     (tmp_path / "t" / "b" / "x.html").write_bytes(b"\r\nx\r")
     got = sorted((tuple(r) for r in store.read_samples(spark, str(tmp_path)).collect()), key=repr)
     assert got == sorted([("1", None, "t", "\ufeff"), ("2", None, "t", "\r\nx\r"), ("3", None, "t", None), (None, None, "t", None)], key=repr)
-    plan = store.page_files(spark, str(tmp_path), "*.html")._jdf.queryExecution().optimizedPlan().toString()
-    assert "content" in plan  # no codec is looked for
+    for glob, plain in (("*.html", "MapInArrow"), ("{x,dom}.html", "content")):  # no codec is looked for
+        assert plain in store.page_files(spark, str(tmp_path), glob)._jdf.queryExecution().optimizedPlan().toString()
     assert store.page_files(spark, str(tmp_path), "*.gz").columns == ["html", "file"]
 
 
@@ -71,3 +72,34 @@ def test_corpus_is_written_in_one_pass(spark, tmp_path):
     assert len(files) == len(ids) - 1 and not [f for f in written(tmp_path / "pages") if f not in files]
     got = store.read_corpus(spark, str(tmp_path), lines=True).select("id", "kind", "url", "html")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver lists no folder; pages go to many tasks and through no join; Spark's own listing, used for other patterns and file systems, finds the same."""
+    names = ["a/source.html", "a/deep/x y%20+.html", "top.html", "_c/x.html", ".d/x.html", "k=1/_x.html", "k=1/_x=.html", "_k=1/x.html", "a/x.htmlx", "a/xhtml", "e/none.html", "a/s.txt"]
+    for name in names:
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text("" if "none" in name else name)
+    (tmp_path / "link").symlink_to(tmp_path / "t")
+    spark.conf.set("fs.viewfs.mounttable.shelf.link./in", f"file://{tmp_path}")
+    roots = [f"{tmp_path}/t", f"file://{tmp_path}/t/", f"{tmp_path}/link", "viewfs://shelf/in/t"]
+    read = lambda root, glob: sorted(tuple(r) for r in store.page_files(spark, root, glob).select("file", "html").collect())
+    found = {(root, glob): read(root, glob) for root in roots for glob in ("*.html", "?our*.html")}
+    (tmp_path / "t" / "packed.txt.gz").write_bytes(gzip.compress(b"packed"))
+    assert read(roots[0], "*.gz") == [("packed.txt.gz", "packed")]
+    read_by_spark = read(roots[0], "{*,none}.html")
+    monkeypatch.setattr(store.trees, "is_folder", lambda path: False)
+    for root in (roots[0], roots[1]):
+        assert found[root, "*.html"] == read(root, "*.html") == read_by_spark
+    for root in roots:
+        assert found[root, "*.html"] == found[roots[0], "*.html"] and found[root, "?our*.html"] == [("a/source.html", "a/source.html")]
+    assert len(read_by_spark) == 5
+
+
+def test_pages_are_not_joined(spark, tmp_path):
+    rows = spark.range(30).select(F.col("id").cast("string").alias("subject_id"), F.lit("u").alias("url"), F.lit("b").alias("batch"), F.lit("<p>").alias("html"))
+    store.write_samples(rows, str(tmp_path))
+    got = store.read_samples(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Scan binaryFile" not in plan and plan.index("MapInArrow") < plan.index("SortMergeJoin")
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and got.where("html = '<p>'").count() == 30
