@@ -162,7 +162,7 @@ def write_corpus(pages: DataFrame, root: str, manifest: str = "manifest.json") -
     folder = F.lpad(F.pmod(F.xxhash64("id"), F.lit(CORPUS_FOLDERS)).cast("string"), 4, "0")
     rows = pages.withColumn("file", F.concat(F.lit("pages/"), folder, F.lit("/"), name, F.lit(".html"))).withColumn("html", _marked(F.col("html")))
     row = F.struct("id", "kind", F.col("url").alias("sourceUrl"), F.concat(F.lit("./"), "file").alias("file"))
-    trees.with_files(rows, root).select(F.array(row).alias("fixtures")).write.json(f"{root}/{manifest}")
+    trees.with_files(rows, root).select(F.array(row).alias("fixtures")).write.option("compression", "gzip").json(f"{root}/{manifest}")
 
 
 def write_samples(samples: DataFrame, root: str) -> None:
